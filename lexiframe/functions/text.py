@@ -80,14 +80,16 @@ def space_tokens(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Word n-grams joined by one space, in order."""
+    """Word n-grams joined by one space, in order. Built from ``n`` shifted copies of the token
+    array zipped together, so no lambda indexes the token array (which could be re-evaluated per
+    element once projections are collapsed)."""
     if n == 1:
         return tokens
-    idx = F.sequence(F.lit(0), F.size(tokens) - n)
-    grams = F.transform(
-        idx, lambda i: F.array_join(F.slice(tokens, i + 1, n), " ")
-    )
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+    size = F.size(tokens)
+    shifted = [F.slice(tokens, k + 1, F.greatest(size, F.lit(1))).alias(f"g{k}") for k in range(n)]
+    z = F.arrays_zip(*shifted)
+    full = F.filter(z, lambda e: e[f"g{n - 1}"].isNotNull())
+    return F.transform(full, lambda e: F.concat_ws(" ", *[e[f"g{k}"] for k in range(n)]))
 
 
 def ngrams_upto(tokens: Column, n_max: int) -> Column:
