@@ -97,7 +97,7 @@ SELECT article_id, CAST(try_strptime(regexp_extract('Date: ' || strftime(date, '
 def date_extract(spark, d):
     a = V.dated_articles(spark, d)
     raw = F.regexp_extract("raw_text", r"Date: ([0-9]{2}\.[0-9]{2}\.[0-9]{4})", 1)
-    return a.select("article_id", F.try_to_date(raw, F.lit("dd.MM.yyyy")).alias("date"))
+    return a.select("article_id", F.try_to_date(raw, "dd.MM.yyyy").alias("date"))
 
 
 @register("date_parts", sql=S.with_(S.ART) + "SELECT article_id, year(date) AS year, quarter(date) AS quarter, month(date) AS month FROM art")
