@@ -123,7 +123,7 @@ def r6(c: Column) -> Column:
 
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since 1970 for a TIMESTAMP_NTZ column, independent of the session time zone."""
-    return F.timestampdiff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
 def first_line(text: Column) -> Column:

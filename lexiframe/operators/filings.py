@@ -39,8 +39,10 @@ def parse_frame(docs: DataFrame, json_col: str) -> DataFrame:
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Per key, the values of the row with the largest order tuple (``max(struct)``, map-side combined)."""
-    packed = F.struct(*[F.col(c) for c in list(order) + list(values)])
-    return df.groupBy(*keys).agg(F.max(packed).alias("_r")).select(*keys, *[F.col(f"_r.{v}").alias(v) for v in values])
+    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+                      *[F.col(c).alias(f"_v{i}") for i, c in enumerate(values)])
+    return df.groupBy(*keys).agg(F.max(packed).alias("_r")).select(
+        *keys, *[F.col(f"_r._v{i}").alias(v) for i, v in enumerate(values)])
 
 
 def wide_metrics(df: DataFrame, keys: Sequence[str], name_col: str, value_col: str, names: Sequence[str]) -> DataFrame:
