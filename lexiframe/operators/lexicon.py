@@ -24,9 +24,10 @@ def max_term_words(lex: Sequence[tuple[str, str]]) -> int:
 
 def word_join(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, n_max: int) -> DataFrame:
     """(id, category, n_terms): distinct whole-word lexicon terms per text and category."""
-    grams = df.select(id_col, F.explode(X.ngrams_upto(X.word_tokens(F.col(text_col)), n_max)).alias("term"))
-    hits = grams.join(F.broadcast(lexicon), "term")
-    return hits.groupBy(id_col, "category").agg(F.count_distinct("term").alias("n_terms"))
+    toks = df.select(id_col, X.word_tokens(F.col(text_col)).alias("_t"))
+    grams = toks.select(id_col, F.explode(X.ngrams_upto(F.col("_t"), n_max)).alias("term"))
+    hits = grams.join(F.broadcast(lexicon), "term").select(id_col, "category", "term").distinct()
+    return hits.groupBy(id_col, "category").agg(F.count(F.lit(1)).alias("n_terms"))
 
 
 def substring_join(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:

@@ -58,6 +58,7 @@ def doc_tokens(text_col: str = "text"):
 
 
 def uni_bi_grams(tokens):
+    """Callers pass a materialised token column so the n-gram zip does not re-tokenise."""
     from ..functions.text import ngrams
     return F.concat(tokens, ngrams(tokens, 2))
 
@@ -68,19 +69,29 @@ def document_frequency(docs: DataFrame, id_col: str, grams_col: str) -> DataFram
     return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def document_frequency_from_tf(tf: DataFrame) -> DataFrame:
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def vocabulary(df_table: DataFrame, n_docs: int, min_df: float, max_df: float) -> DataFrame:
     """Terms with ``min_df * n <= df <= max_df * n`` (proportions of documents)."""
     return df_table.filter((F.col("df") >= F.lit(min_df * n_docs)) & (F.col("df") <= F.lit(max_df * n_docs)))
 
 
-def tfidf_long(docs: DataFrame, id_col: str, grams_col: str, vocab: DataFrame, n_docs: int) -> DataFrame:
-    """(id, term, weight): raw count x smooth idf ``ln((1+n)/(1+df)) + 1``, L2-normalised per document.
-    The vocabulary is joined as a broadcast only when its size is known to be bounded; otherwise a
-    shuffle join on the term."""
-    tf = docs.select(id_col, F.explode(F.col(grams_col)).alias("term")).groupBy(id_col, "term").agg(
+def term_counts(docs: DataFrame, id_col: str, grams_col: str) -> DataFrame:
+    """(id, term, tf): raw n-gram counts per document. Documents are hash-partitioned by id once;
+    the (id, term) aggregate, the per-document norm and the join back then need no further shuffle."""
+    by_doc = docs.repartition(id_col)
+    return by_doc.select(id_col, F.explode(F.col(grams_col)).alias("term")).groupBy(id_col, "term").agg(
         F.count(F.lit(1)).alias("tf"))
+
+
+def tfidf_long(tf: DataFrame, id_col: str, vocab: DataFrame, n_docs: int) -> DataFrame:
+    """(id, term, weight): raw count x smooth idf ``ln((1+n)/(1+df)) + 1``, L2-normalised per
+    document. ``tf`` is the (id, term, tf) table, also the source of the document frequencies."""
     idf = vocab.select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    w = tf.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    # vocabulary size is bounded by (distinct terms per document) / min_df, independent of corpus size
+    w = tf.join(F.broadcast(idf), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, id_col).select(id_col, "term", X.r6(F.col("w") / F.col("norm")).alias("weight"))
 

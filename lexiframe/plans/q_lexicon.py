@@ -60,14 +60,17 @@ def lexicon_exclude_own(spark, d):
                     .alias("n_other_capitals"))
 
 
-def _lex_feature_cols(grams, words):
+def _lex_feature_frame(df, grams, words):
+    """Counts first (one projection over materialised n-grams), shares and flags from the counts:
+    every array expression is evaluated once per row."""
+    g = df.select("doc_id", grams.alias("_g"), words.alias("_w"))
+    counts = g.select("doc_id", "_w", *[LX.term_counts(F.col("_g"), [t for c, t in C.LEXICON if c == cat]).alias(f"{cat}_count")
+                                       for cat in C.LEXICON_CATEGORIES])
     cols = []
     for cat in C.LEXICON_CATEGORIES:
-        terms = [t for c, t in C.LEXICON if c == cat]
-        n = LX.term_counts(grams, terms)
-        cols += [n.alias(f"{cat}_count"), X.r6(X.safe_div(n, words)).alias(f"{cat}_share"),
-                 (n > 0).cast("int").alias(f"{cat}_flag")]
-    return cols
+        n = F.col(f"{cat}_count")
+        cols += [n, X.r6(X.safe_div(n, F.col("_w"))).alias(f"{cat}_share"), (n > 0).cast("int").alias(f"{cat}_flag")]
+    return counts.select("doc_id", *cols)
 
 
 def _lex_feature_sql():
@@ -87,9 +90,8 @@ FROM w LEFT JOIN dg ON dg.doc_id = w.doc_id LEFT JOIN {LEX_VALUES} ON lx.term =
 GROUP BY w.doc_id""")
 def lexicon_features(spark, d):
     docs = V.table(spark, d, "documents").select("doc_id", "text")
-    grams = X.ngrams_upto(X.word_tokens(F.col("text")), N_MAX)
-    words = F.size(X.space_tokens(F.col("text")))
-    return docs.select("doc_id", *_lex_feature_cols(grams, words))
+    toks = docs.select("doc_id", X.word_tokens(F.col("text")).alias("_t"), F.size(X.space_tokens(F.col("text"))).alias("_n"))
+    return _lex_feature_frame(toks, X.ngrams_upto(F.col("_t"), N_MAX), F.col("_n"))
 
 
 def _type_terms(t):

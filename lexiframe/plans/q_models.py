@@ -24,14 +24,14 @@ vocab AS (SELECT term, df FROM dfq, n WHERE df >= {MIN_DF} * n.n AND df <= {MAX_
 
 
 def doc_grams(spark, d):
-    docs = V.table(spark, d, "documents")
-    return docs.select("doc_id", M.uni_bi_grams(M.doc_tokens("text")).alias("g"))
+    docs = V.table(spark, d, "documents").select("doc_id", M.doc_tokens("text").alias("_t"))
+    return docs.select("doc_id", M.uni_bi_grams(F.col("_t")).alias("g"))
 
 
 def _vocab(spark, d):
-    g = doc_grams(spark, d)
+    tf = M.term_counts(doc_grams(spark, d), "doc_id", "g")
     n_docs = V.table(spark, d, "documents").count()
-    return g, M.vocabulary(M.document_frequency(g, "doc_id", "g"), n_docs, MIN_DF, MAX_DF), n_docs
+    return tf, M.vocabulary(M.document_frequency_from_tf(tf), n_docs, MIN_DF, MAX_DF), n_docs
 
 
 @register("bag_of_ngrams", sql=S.with_(GRAMS_SQL) + "SELECT term, df FROM vocab")
@@ -44,8 +44,8 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(g) AS ter
 w AS (SELECT tf.doc_id, tf.term, tf.tf * (ln((1.0 + n.n) / (1.0 + v.df)) + 1.0) AS w FROM tf JOIN vocab v USING (term), n)
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def tfidf(spark, d):
-    g, vocab, n_docs = _vocab(spark, d)
-    return M.tfidf_long(g, "doc_id", "g", vocab, n_docs)
+    tf, vocab, n_docs = _vocab(spark, d)
+    return M.tfidf_long(tf, "doc_id", vocab, n_docs)
 
 
 LABELED_SQL = S.with_(S.ART) + """,
