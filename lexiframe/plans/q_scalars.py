@@ -145,7 +145,7 @@ def math_ratio_clip_root(spark, d):
 
 @register("array_ops", sql=f"""
 SELECT doc_id, len(list_filter(t, lambda x: length(x) > 3)) AS n_long, len(list_distinct(t)) AS n_distinct,
-       array_to_string(list_transform(t[1:3], lambda x: upper(x)), ' ') AS head_upper,
+       array_to_string(list_transform(t[1:3], lambda x: CAST(length(x) AS VARCHAR)), ' ') AS head_lengths,
        CAST(len(list_filter(t, lambda x: length(x) >= 20)) = 0 AS INTEGER) AS all_short,
        CAST(list_contains(t, 'the') AS INTEGER) AS any_the
 FROM (SELECT doc_id, {S.word_tokens_sql('text')} AS t FROM documents)""")
@@ -154,7 +154,7 @@ def array_ops(spark, d):
     docs = _docs(spark, d).select("doc_id", t.alias("t"))
     return docs.select("doc_id", F.size(F.filter("t", lambda x: F.length(x) > 3)).alias("n_long"),
                        F.size(F.array_distinct("t")).alias("n_distinct"),
-                       F.array_join(F.transform(F.slice("t", 1, 3), lambda x: F.upper(x)), " ").alias("head_upper"),
+                       F.array_join(F.transform(F.slice("t", 1, 3), lambda x: F.length(x).cast("string")), " ").alias("head_lengths"),
                        F.forall("t", lambda x: F.length(x) < 20).cast("int").alias("all_short"),
                        F.exists("t", lambda x: x == "the").cast("int").alias("any_the"))
 
