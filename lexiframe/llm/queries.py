@@ -1,6 +1,6 @@
 """The queries of this subpackage: name -> (function of session and folder, DuckDB SQL or None)."""
 
-from . import bpe, decontaminate, exact_dedup, sharding, warc
+from . import bpe, decontaminate, exact_dedup, near_dedup, sharding, warc
 
-MODULES = [exact_dedup, decontaminate, warc, sharding, bpe]
+MODULES = [exact_dedup, decontaminate, warc, near_dedup, sharding, bpe]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
