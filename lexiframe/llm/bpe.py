@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 
 
 def byte_symbols() -> list[str]:
@@ -215,7 +215,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     kind = rows.schema["id"].dataType.simpleString()
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    out = rows.mapInArrow(run, schema + (", ids array<int>, decoded string" if with_ids else ""))
+    out = mapped(rows, run, schema + (", ids array<int>, decoded string" if with_ids else ""))
     return out.withColumnRenamed("id", id_col)
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +26,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(write_table(df, name))
 
 
+_sent: set[str] = set()
+
+
+def mapped(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose function may use this package on any worker: the package goes along as a zip, once
+    for each application, as with ``--py-files``."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _sent:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        path = os.path.join(tempfile.mkdtemp(prefix="lexiframe-"), "lexiframe.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for d, _, names in os.walk(package):
+                for n in (n for n in names if n.endswith(".py")):
+                    z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), os.path.dirname(package)))
+        sc.addPyFile(path)
+        _sent.add(sc.applicationId)
+    return df.mapInArrow(fn, schema)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that the driver and all executors can reach."""
     return table_dir(spark, name)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, stored, table
+from .common import bitmap_of, mapped, stored, table
 
 #: a word is a run of these bytes after lower-casing A-Z: digits, a-z, all of any character beyond ASCII
 SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -95,8 +95,8 @@ def find_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                                                 [b.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.string()])],
                 ["item", "n", "fp", "slot", "gram"])
 
-    wanted = stored(items.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text"))
-                    .mapInArrow(item_windows, f"item {item_kind}, n int, fp long, slot long, gram string").distinct(),
+    texts = items.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text"))
+    wanted = stored(mapped(texts, item_windows, f"item {item_kind}, n int, fp long, slot long, gram string").distinct(),
                     "decon-items")
     sizes = sorted(r["n"] for r in wanted.select("n").distinct().collect())  # at most ``window`` numbers
     marked = np.zeros(slots // 8 + 4096, dtype=np.uint8)
@@ -128,10 +128,11 @@ def find_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     ["row", "id", "n_words", "windows"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scanned = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
-                                 F.col(text_col).cast("string").alias("text")).mapInArrow(
-        doc_windows, f"row long, id {kind}, n_words long, "
-                     "windows array<struct<start:int,n:int,fp:long,gram:string>>"), "decon-documents")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
+                        F.col(text_col).cast("string").alias("text"))
+    scanned = stored(mapped(texts, doc_windows, f"row long, id {kind}, n_words long, "
+                                                "windows array<struct<start:int,n:int,fp:long,gram:string>>"),
+                     "decon-documents")
     hits = scanned.select("row", F.explode("windows").alias("w")).select("row", "w.*")
     want = wanted.select(F.col("item"), F.col("fp").alias("wfp"), F.col("gram").alias("wgram"))
     found = hits.join(want, (F.col("fp") == F.col("wfp")) & (F.col("gram") == F.col("wgram")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import mapped, stored, table
 from .components import components
 from .decontaminate import Hashes, grams
 
@@ -140,7 +140,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"),
                        F.col(text_col).cast("string").alias("text"))
-    known = stored(rows.mapInArrow(sketch, f"id {kind}, th long, n long, key binary, sig binary"), "near-sketches")
+    known = stored(mapped(rows, sketch, f"id {kind}, th long, n long, key binary, sig binary"), "near-sketches")
     classes = stored(known.where("n > 0").groupBy("key").agg(
         F.min(F.struct("id", "th")).alias("rep"), F.min("id").alias("first"), F.any_value("sig").alias("sig"),
         F.any_value("n").alias("n")), "near-classes")
@@ -199,8 +199,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held:
             yield _pairs(solve(cell, *held))
 
-    links = stored(cells.repartition("band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j")
-                   .mapInArrow(link, "a binary, b binary").distinct(), "near-links")
+    cells = cells.repartition("band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j")
+    links = stored(mapped(cells, link, "a binary, b binary").distinct(), "near-links")
     tree = components(links)
     rooted = classes.select("key", "first").join(tree, F.col("key") == F.col("node"), "left").select(
         "key", "first", F.coalesce("root", "key").alias("root"))

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored, table, text_or_empty
+from .common import mapped, shared_folder, stored, table, text_or_empty
 
 DICT_FRAME = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -138,7 +138,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([count], pa.int64())})
 
-    return stored(marked.mapInArrow(write, "path string, records long"), "warc-archives")
+    return stored(mapped(marked, write, "path string, records long"), "warc-archives")
 
 
 def read_archives(archives: DataFrame, folder: str, batch_rows: int = 2048) -> DataFrame:
@@ -177,8 +177,8 @@ def read_archives(archives: DataFrame, folder: str, batch_rows: int = 2048) -> D
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return archives.repartition("path").mapInArrow(
-        read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return mapped(
+        archives.repartition("path"), read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op6_warc(spark, sf_dir):
