@@ -72,3 +72,13 @@ def bit_is_set(bits: str, slot: str) -> Column:
     return F.expr(
         f"coalesce((cast(conv(hex(substring({bits}, cast(bitmap_bit_position({slot}) div 8 as int) + 1, 1)), 16, 10) as int)"
         f" & shiftleft(1, cast(bitmap_bit_position({slot}) % 8 as int))) != 0, false)")
+
+
+def hash_sample(df: DataFrame, hash_col: str, n: int) -> DataFrame:
+    """About ``n`` rows at most, those of the smallest values of a 64-bit hash column; all, if there are no more
+    than ``n``. One count, and no sort, so nothing gathers that grows with the table."""
+    total = df.select(hash_col).count()
+    if total <= n:
+        return df
+    top = int(-(1 << 63) + (1 << 64) * (0.9 * n / total))
+    return df.where(F.col(hash_col) < F.lit(top)).limit(n)

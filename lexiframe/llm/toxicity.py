@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, table, text_or_empty
+from .common import hash_sample, mapped, table, text_or_empty
 from .decontaminate import SPLIT, Hashes
 
 PREAMBLE = bytes(range(1, 17))
@@ -164,16 +164,16 @@ def held_out(id_col: str):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           max_rows: int = 8000, max_chars: int = 20_000) -> dict:
-    """Fit on at most ``max_rows`` labelled rows that are not held out (those of the smallest id hashes), the
+    """Fit on at most ``max_rows`` labelled rows that are not held out (of the smallest id hashes), the
     first ``max_chars`` characters of each; the bound is on learning alone, every text is scored whole. Of
     several labels of an id the highest counts; null ids and labels are no labels. Rows that repeat an id are
     learnt from once for each text."""
     y = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg(
         (F.max(label_col) > 0).cast("int").alias("y"))
-    sample = (docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.substring(text_col, 1, max_chars).alias("text"))
-              .join(y, F.col("id") == F.col("lid")).select("text", "y", F.xxhash64("id", "text").alias("h"))
-              .orderBy("h").limit(max_rows))
-    return fit([(r["text"], r["y"]) for r in sample.collect()])
+    rows = (docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+            .join(y, F.col("id") == F.col("lid")).select("id", "text", "y", F.xxhash64("id").alias("h")))
+    sample = hash_sample(rows, "h", max_rows).select("id", F.substring("text", 1, max_chars).alias("text"), "y", "h")
+    return fit([(r["text"], r["y"]) for r in sorted(sample.collect(), key=lambda r: (r["h"], r["id"], r["text"] or ""))])
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, shared_folder, stored, table, text_or_empty
+from .common import hash_sample, mapped, shared_folder, stored, table, text_or_empty
 
 DICT_FRAME = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -110,9 +110,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                    .select(F.col("key").alias("fkey"), "first"), "warc-first")
     marked = rows.join(first, (F.col("key") == F.col("fkey")) & (F.col("n") >= min_payload), "left").select(
         "id", "url", "payload", F.when(~F.col("first").eqNullSafe(F.col("id")), F.col("first")).alias("refers_to"))
-    seen = (rows.select("id", "url", F.substring("payload", 1, sample_chars).alias("payload"),
-                        F.xxhash64("id", "key").alias("h")).orderBy("h").limit(samples).collect())
-    trained = train([record(r["id"], r["url"], r["payload"].encode(), None, date) for r in seen], dict_bytes)
+    seen = hash_sample(rows.select("id", "url", "payload", F.xxhash64("id").alias("h")), "h", samples).select(
+        "id", "url", F.substring("payload", 1, sample_chars).alias("payload"), "h").collect()
+    trained = train([record(r["id"], r["url"], r["payload"].encode(), None, date)
+                     for r in sorted(seen, key=lambda r: (r["h"], r["payload"]))], dict_bytes)
 
     def write(batches):
         fs, base = pafs.FileSystem.from_uri(folder)
