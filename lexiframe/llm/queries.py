@@ -1,6 +1,6 @@
 """The queries of this subpackage: name -> (function of session and folder, DuckDB SQL or None)."""
 
-from . import bpe, decontaminate, exact_dedup, near_dedup, sharding, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, html_main, near_dedup, sharding, toxicity, warc
 
-MODULES = [toxicity, exact_dedup, decontaminate, warc, near_dedup, sharding, bpe]
+MODULES = [toxicity, html_main, exact_dedup, decontaminate, warc, near_dedup, sharding, bpe]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
