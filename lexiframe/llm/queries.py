@@ -1,6 +1,6 @@
 """The queries of this subpackage: name -> (function of session and folder, DuckDB SQL or None)."""
 
-from . import bpe, decontaminate, exact_dedup, html_main, near_dedup, secrets, sharding, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, html_main, near_dedup, secret_scan, sharding, suffix_dedup, toxicity, warc
 
-MODULES = [toxicity, html_main, secrets, exact_dedup, decontaminate, warc, near_dedup, sharding, bpe]
+MODULES = [toxicity, html_main, secret_scan, exact_dedup, decontaminate, warc, near_dedup, sharding, suffix_dedup, bpe]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
