@@ -12,16 +12,19 @@ and a single match shows in its length.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Sequence
+from itertools import groupby
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_sample, mapped, table, text_or_empty
-from .decontaminate import SPLIT, Hashes
+from .decontaminate import SPLIT
 
 PREAMBLE = bytes(range(1, 17))
 WINDOW, HOP = 40, 24
@@ -33,27 +36,36 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(SPLIT).split()
 
 
-def support(docs: list[list[bytes]]) -> tuple[Counter, int]:
-    """In how many different (word before, word, word after) each segment occurs, and how many there are."""
-    known, names, seen = Hashes(), {}, []
+def support(docs: Iterable[list[bytes]], least: int = 2) -> tuple[Counter, int]:
+    """In how many different (word before, word, word after) each segment occurs, from ``least`` on, and how many
+    there are."""
+    known: dict[bytes, int] = {}
+    seen = []
     for w in docs:
         if not w:
             continue
+        for x in w:
+            if x not in known:
+                known[x] = xxhash.xxh3_64_intdigest(x)
         h = np.zeros(len(w) + 2, dtype=np.uint64)
         h[1:-1] = [known[x] for x in w]
-        names.update(zip(h[1:-1].tolist(), w))
-        seen.append(np.stack([h[1:-1], (h[:-2] * np.uint64(3) + h[1:-1]) * np.uint64(0x9E3779B97F4A7C15) + h[2:]]))
+        seen.append(np.unique(np.stack([h[1:-1], (h[:-2] * np.uint64(3) + h[1:-1]) * np.uint64(0x9E3779B97F4A7C15) + h[2:]]), axis=1))
     if not seen:
         return Counter(), 0
     pairs = np.concatenate(seen, axis=1)
+    del seen
     _, at = np.unique(pairs[1], return_index=True)
     words, counts = np.unique(pairs[0][at], return_counts=True)
-    out = Counter()
-    for h, n in zip(words.tolist(), counts.tolist()):
-        w = b" " + names[h] + b" "
-        for size in range(SHORTEST, min(len(w), LONGEST)):
-            out[w[:size]] += n
-        out[w] += n
+    del pairs
+    count_of = dict(zip(words.tolist(), counts.tolist()))
+    ordered = sorted((b" " + x + b" ", count_of[h]) for x, h in known.items())
+    del known, count_of
+    out = Counter({w: n for w, n in ordered if n >= least})
+    for size in range(SHORTEST, LONGEST):  # words that begin alike stand together
+        for start, same in groupby(ordered, key=lambda wn: wn[0][:size]):
+            n = sum(n for w, n in same if len(w) > size)
+            if n >= least and len(start) == size:
+                out[start] += n
     return out, len(at)
 
 
@@ -127,8 +139,8 @@ class Scorer:
 
 def dictionaries(rows: list[tuple[str | None, int]], most: int = 65536) -> dict:
     """Contents of the two dictionaries, at most ``most`` bytes each; the strongest segments lie nearest."""
-    toxic, n_toxic = support([words_of(t) for t, y in rows if y])
-    plain, n_plain = support([words_of(t) for t, y in rows if not y])
+    toxic, n_toxic = support(words_of(t) for t, y in rows if y)
+    plain, n_plain = support(words_of(t) for t, y in rows if not y)
     return {"toxic": b"".join(segments(toxic, n_toxic, plain, n_plain)[::-1])[-most:],
             "ordinary": b"".join(segments(plain, n_plain, toxic, n_toxic)[::-1])[-most:]}
 
@@ -163,7 +175,7 @@ def held_out(id_col: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_rows: int = 8000, max_chars: int = 20_000) -> dict:
+          max_rows: int = 6000, max_chars: int = 20_000) -> dict:
     """Fit on at most ``max_rows`` labelled rows that are not held out (of the smallest id hashes), the
     first ``max_chars`` characters of each; the bound is on learning alone, every text is scored whole. Of
     several labels of an id the highest counts; null ids and labels are no labels. Rows that repeat an id are
@@ -176,8 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([(r["text"], r["y"]) for r in sorted(sample.collect(), key=lambda r: (r["h"], r["id"], r["text"] or ""))])
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """One row per row of ``docs``: id, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 from ``threshold``).
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3,
+          carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: id, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 from ``threshold``), and
+    the ``carry`` columns.
 
     Null text is the empty text, which has one blank window and so a score. Texts are scored whole, whatever
     their length. Null ids are not held out; rows that repeat an id are scored each. No rows give no rows."""
@@ -186,15 +200,17 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     def run(batches):
         scorer = Scorer(shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(scorer.scores(b.column(2).to_pylist()), pa.float64())],
-                ["id", "held_out", "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"),
-                       text_or_empty(F.col(text_col)).alias("text"))
-    return mapped(rows, run, f"id {kind}, held_out boolean, score double").select(
-        F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+            scores = pa.array(scorer.scores(b.column(2).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([scores, *(b.column(i) for i in (0, 1, *range(3, b.num_columns)))], names)
+
+    rows = docs.select(F.col(id_col).alias("__id"), held_out(id_col).alias("__held"),
+                       text_or_empty(F.col(text_col)).alias("__text"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
+    names = ["__score", "__id", "__held", *(f"__c{i}" for i in range(len(carry)))]
+    kinds = dict(rows.dtypes) | {"__score": "double"}
+    return mapped(rows, run, ", ".join(f"{n} {kinds[n]}" for n in names)).select(
+        F.col("__id").alias(id_col), *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)],
+        F.col("__held").alias("held_out"), F.col("__score").alias("score"),
+        (F.col("__score") >= threshold).cast("int").alias("predicted"))
 
 
 def op1_toxicity(spark, sf_dir):
