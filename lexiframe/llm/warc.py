@@ -125,7 +125,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             for i, url, text, ref in zip(*(b.column(c).to_pylist() for c in range(4))):
                 if out is None:
                     path = f"{base}/{uuid.uuid4().hex}.warc.zst"
-                    out = fs.open_output_stream(path)
+                    out = fs.open_output_stream(path, compression=None)
                     out.write(struct.pack("<II", DICT_FRAME, len(trained)) + trained)
                     count = done = 0
                 packed = zip_.compress(record(i, url, text.encode(), ref, date))
@@ -151,7 +151,7 @@ def read_archives(archives: DataFrame, folder: str, batch_rows: int = 2048) -> D
         for b in batches:
             for path, records in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows, seen = [], 0
-                with fs.open_input_stream(path) as f:
+                with fs.open_input_stream(path, compression=None) as f:
                     for raw in frames(f):
                         h, payload = parse(raw)
                         digest = h["warc-payload-digest"].removeprefix("sha1:")
