@@ -31,8 +31,8 @@ KINDS = ("assign", "access", "hex", "field")
 
 KEYWORDS = set("password passwd pwd secret token key apikey api access auth credential credentials private bearer".split())
 TOKENS = re.compile(r"[^\W_]+|[^\s\w]|_")
-#: where a token that is not quiet stands: digits and joining signs, mixed or all-upper case, very long runs, keywords
-LOUD = [re.compile(x) for x in (r"[0-9_=+/]+", r"[a-z](?=[A-Z])", r"[A-Z]{2,}", r"\b[^\W_]{24,}")]
+#: where a token that is not quiet stands: digits, quotes and joining signs, mixed or all-upper case, very long runs, keywords
+LOUD = [re.compile(x) for x in (r"[0-9_=+/:\"']+", r"[a-z](?=[A-Z])", r"[A-Z]{2,}", r"\b[^\W_]{24,}")]
 LOUD_WORDS = ("passw", "pwd", "secret", "token", "key", "api", "access", "auth", "credential", "private", "bearer")
 LOUD_WORD = re.compile("|".join(LOUD_WORDS), re.I | re.A)
 O, B, I = 0, 1, 2
@@ -108,7 +108,7 @@ class Field:
         outside leads at such a token at least. A run of k quiet tokens inside costs k times that; it must cost
         more than the transitions can give back: for every k that a region does not already hold (a run of
         PAD or more, whatever stands at its ends), and for short runs between outside tokens."""
-        quiet = ["word", "sign", ":", "\"", "'", "-", ".", "@"]
+        quiet = ["word", "sign", "-", ".", "@"]
         sizes = ["1", "2", "3", "4", "6", "8", "12", "16", "20"]
         least = min(self._lead(("bias", "kind=" + k, "letters=" + s)) for k in quiet for s in sizes)
         for d in [*range(-REACH, 0), *range(1, REACH + 1)]:
