@@ -52,14 +52,19 @@ def proximity_rx(a: str, b: str, max_gap: int) -> str:
     return f"(?:{one(a, b)})|(?:{one(b, a)})"
 
 
+def quoted(col: Column) -> Column:
+    """Text of a column as a literal pattern."""
+    return F.concat(F.lit("\\Q"), F.replace(col, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
 def mask_word_rx(stem_col: Column) -> Column:
     """Pattern (as a column, stem varies per row) matching the whole word that starts with the stem.
     Group 1 is the boundary character kept in front of the mask."""
-    return F.concat(F.lit(f"(^|{NONWORD})(?i:"), stem_col, F.lit(f"){WORD}*"))
+    return F.concat(F.lit(f"(^|{NONWORD})(?i:"), quoted(stem_col), F.lit(f"){WORD}*"))
 
 
 def stem_hit_rx(stem_col: Column) -> Column:
-    return F.concat(F.lit(f"(?:^|{NONWORD})(?i:"), stem_col, F.lit(")"))
+    return F.concat(F.lit(f"(?:^|{NONWORD})(?i:"), quoted(stem_col), F.lit(")"))
 
 
 def sentences(text: Column) -> Column:
@@ -126,6 +131,12 @@ def epoch_micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def pad_id(col: str) -> Column:
+    """An id with leading zeros, ten digits at least; longer ids are not cut."""
+    text = F.col(col).cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(10)), "0")
+
+
 def first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
 

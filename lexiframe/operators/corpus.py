@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import tables as TB
+
 
 def dedupe_by(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], keep: str = "first") -> DataFrame:
     """One row per key: the row with the smallest (``first``) or largest (``last``) order tuple.
@@ -35,11 +37,14 @@ def row_index(df: DataFrame, order_cols: Sequence[str | Column], name: str = "ro
     spark = df.sparkSession
     n = num_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(partition_cols) + list(order_cols)
-    ranged = (
+    # Written once: counts and rows must come from one and the same range partitioning. Two exchanges of
+    # differently pruned frames would sample their own bounds.
+    ranged = TB.stored(
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33))
+        .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)),
+        "row-index",
     )
     grp = list(partition_cols)
     blocks = ranged.groupBy("_pid", *grp).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_start"))
@@ -67,11 +72,11 @@ def ntile_of(idx: str, total: str, n: int) -> Column:
 
 
 def member_flags(df: DataFrame, col: str, lists: Mapping[str, Sequence[str]]) -> DataFrame:
-    """``flag = 1`` if ``col`` is in the list (one left join per list against a broadcast list)."""
+    """``flag = 1`` if ``col`` is in the list (one left join per list; the planner sees the list's size)."""
     spark = df.sparkSession
     out = df
     for flag, items in lists.items():
-        lst = F.broadcast(spark.createDataFrame([(x,) for x in sorted(set(items))], f"_m string"))
+        lst = spark.createDataFrame([(x,) for x in sorted(set(items))], "_m string")
         out = (out.join(lst, out[col] == lst["_m"], "left")
                .withColumn(flag, F.col("_m").isNotNull().cast("int")).drop("_m"))
     return out

@@ -60,25 +60,33 @@ def lagged(df: DataFrame, part: str, order: str, cols: Sequence[str], lags: Sequ
     return out
 
 
-def asof(queries: DataFrame, prices: DataFrame, key: str, qdate: str, pdate: str, value: str,
-         direction: str = "after") -> DataFrame:
-    """Nearest price on/after (``after``) or strictly before (``before``) each query date, per key.
-    Queries and prices are unioned and scanned once in date order per key (a window that streams,
-    no range-join fan-out): ``first(ignore nulls)`` over the following rows or ``last(ignore nulls)``
-    over the preceding rows. Query rows sort before price rows of the same date."""
-    qcols = [c for c in queries.columns]
+def asof(queries: DataFrame, prices: DataFrame, key: str, qdate: str, pdate: str, value: str) -> DataFrame:
+    """Nearest price on or after (``<value>_after``) and strictly before (``<value>_before``) each query date.
+
+    Queries and prices are one frame, exchanged once by key and year, so a hot key spans many tasks. Within a
+    year each direction is a growing frame (``last(ignore nulls)`` up to the current row, once in date order and
+    once in reverse). Where a year has no price on that side, the first or last price of the nearest year that
+    has one is taken from a table of one row per key and year. Query rows sort before prices of their date."""
+    qcols = list(queries.columns)
     q = queries.select(*qcols, F.col(qdate).alias("_d"), F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("_v"))
     p = prices.select(*[F.lit(None).cast(queries.schema[c].dataType).alias(c) if c != key else F.col(key)
                         for c in qcols], F.col(pdate).alias("_d"), F.lit(1).alias("_kind"), F.col(value).cast("double").alias("_v"))
-    u = q.unionByName(p)
-    order = [F.col("_d"), F.col("_kind")]
-    if direction == "after":
-        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        pick = F.first("_v", ignorenulls=True).over(w)
-    else:
-        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        pick = F.last("_v", ignorenulls=True).over(w)
-    return u.withColumn("_pick", pick).filter(F.col("_kind") == 0).select(*qcols, F.col("_pick").alias(f"{value}_{direction}"))
+    u = q.unionByName(p).withColumn("_year", F.year("_d")).repartition(key, "_year")
+    block = Window.partitionBy(key, "_year")
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    near = u.withColumn("_before", F.last("_v", ignorenulls=True).over(block.orderBy("_d", "_kind").rowsBetween(*upto)))
+    near = near.withColumn("_after", F.last("_v", ignorenulls=True).over(
+        block.orderBy(F.desc("_d"), F.desc("_kind")).rowsBetween(*upto))).filter(F.col("_kind") == 0)
+    priced = F.col("_v").isNotNull()
+    years = u.groupBy(key, "_year").agg(F.min_by("_v", F.when(priced, F.col("_d"))).alias("_first"),
+                                        F.max_by("_v", F.when(priced, F.col("_d"))).alias("_last"))
+    earlier = Window.partitionBy(key).orderBy("_year").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(key).orderBy(F.desc("_year")).rowsBetween(Window.unboundedPreceding, -1)
+    years = years.select(F.col(key).alias("_k"), F.col("_year").alias("_y"),
+                         F.last("_last", ignorenulls=True).over(earlier).alias("_prev"),
+                         F.last("_first", ignorenulls=True).over(later).alias("_next"))
+    return near.join(years, (F.col(key) == F.col("_k")) & (F.col("_year") == F.col("_y")), "left").select(
+        *qcols, F.coalesce("_after", "_next").alias(f"{value}_after"), F.coalesce("_before", "_prev").alias(f"{value}_before"))
 
 
 def period_return(prices: DataFrame, key: str, date: str, value: str, start: str, end: str) -> DataFrame:
@@ -92,14 +100,48 @@ def period_return(prices: DataFrame, key: str, date: str, value: str, start: str
 HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
 
+def without_tables(html: Column) -> Column:
+    """Text outside of all ``<table>`` elements, however deeply they are nested: the text is cut before each
+    opening and after each closing tag, and a running depth says which pieces lie outside."""
+    pieces = F.split(html, r"(?i)(?=<table\b)|(?<=</table>)")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(acc, piece):
+        low = F.lower(piece)
+        opened = acc["depth"] + F.when(low.rlike(r"^<table\b"), 1).otherwise(0)
+        closed = F.greatest(opened - F.when(low.endswith("</table>"), 1).otherwise(0), F.lit(0))
+        return F.struct(closed.alias("depth"), F.when(opened == 0, F.concat(acc["out"], piece)).otherwise(
+            F.when(closed == 0, F.concat(acc["out"], F.lit(" "))).otherwise(acc["out"])).alias("out"))
+
+    return F.when(html.rlike(r"(?i)<table\b"), F.aggregate(pieces, start, step)["out"]).otherwise(html)
+
+
+def decode_numbers(text: Column) -> Column:
+    """Numeric character references (decimal and hexadecimal) as the characters that they name."""
+    parts = F.split(text, "&#")
+
+    def one(p):
+        ref = F.regexp_extract(p, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        hexa = F.lower(F.substring(ref, 1, 1)) == "x"
+        code = F.when(hexa, F.conv(F.substring(ref, 2, 6), 16, 10)).otherwise(ref).cast("int")
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        fits = (ref != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(fits, F.concat(char, F.substring(p, F.length(ref) + 2, F.length(p)))).otherwise(F.concat(F.lit("&#"), p))
+
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), one)
+    return F.when(F.contains(text, F.lit("&#")), F.concat(F.get(parts, 0), F.array_join(rest, ""))).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
     """Visible text: drop tables, then script/style blocks, comments, all tags; decode entities;
     collapse whitespace. Scripts go before tags because script bodies may contain tag-like text."""
-    t = F.regexp_replace(html, r"(?is)<table\b.*?</table>", " ")
+    t = without_tables(html)
     t = F.regexp_replace(t, r"(?is)<script\b.*?</script>", " ")
     t = F.regexp_replace(t, r"(?is)<style\b.*?</style>", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
-    for ent, ch in HTML_ENTITIES:
+    for ent, ch in HTML_ENTITIES[:-1]:
         t = F.replace(t, F.lit(ent), F.lit(ch))
+    t = decode_numbers(t)
+    t = F.replace(t, F.lit(HTML_ENTITIES[-1][0]), F.lit(HTML_ENTITIES[-1][1]))
     return X.collapse_space(t)

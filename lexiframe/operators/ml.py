@@ -3,19 +3,21 @@ grid trials). Vectors stay sparse; every fit is a distributed MLlib job."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import (IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer,
+from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer,
                                 SQLTransformer, StandardScaler, UnivariateFeatureSelector,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import models as M
 from ..functions import text as X
+from ..sources import tables as TB
 
 NUMERIC = ["excl", "comma", "words", "chars", "sents"]
 
@@ -50,20 +52,26 @@ def labeled_frame(spark, d) -> DataFrame:
                     F.size(F.split(t, r"\.")).cast("double").alias("sents"))
 
 
-def feature_pipeline(top_k: int = 1000) -> Pipeline:
-    """tokens -> uni+bi-grams -> counts (df 0.5 %..70 %) -> idf -> L2 -> + numeric -> top-k F test."""
-    return Pipeline(stages=[
+def fit_features(lab: DataFrame, top_k: int = 1000) -> PipelineModel:
+    """tokens -> uni+bi-grams -> counts (df 0.5 %..70 %, no cap on terms) x smooth idf + 1 -> L2 -> + numeric ->
+    top-k F test."""
+    counts = Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="tok", pattern=M.TOKEN_RX, gaps=False, toLowercase=True),
         NGram(n=2, inputCol="tok", outputCol="bi"),
         SQLTransformer(statement="SELECT *, concat(tok, bi) AS grams FROM __THIS__"),
-        CountVectorizer(inputCol="grams", outputCol="tf", minDF=0.005, maxDF=0.7, vocabSize=1 << 20),
-        IDF(inputCol="tf", outputCol="idf"),
-        Normalizer(inputCol="idf", outputCol="tfidf", p=2.0),
+        CountVectorizer(inputCol="grams", outputCol="tf", minDF=0.005, maxDF=0.7, vocabSize=(1 << 31) - 1),
+    ]).fit(lab)
+    counted = counts.transform(lab)
+    idf = IDF(inputCol="tf", outputCol="idf").fit(counted)  # ln((1 + n) / (1 + df)), to which 1 is added
+    rest = Pipeline(stages=[
+        ElementwiseProduct(inputCol="tf", outputCol="weighted", scalingVec=Vectors.dense(idf.idf.toArray() + 1.0)),
+        Normalizer(inputCol="weighted", outputCol="tfidf", p=2.0),
         VectorAssembler(inputCols=["tfidf", *NUMERIC], outputCol="raw"),
         UnivariateFeatureSelector(featuresCol="raw", outputCol="features", labelCol="label",
                                   selectionMode="numTopFeatures").setFeatureType("continuous")
         .setLabelType("categorical").setSelectionThreshold(top_k),
-    ])
+    ]).fit(counted)
+    return PipelineModel(stages=[*counts.stages, *rest.stages])
 
 
 def with_weights(df: DataFrame, positive_boost: float = 1.0) -> DataFrame:
@@ -72,9 +80,10 @@ def with_weights(df: DataFrame, positive_boost: float = 1.0) -> DataFrame:
 
 
 def training_frame(spark, d) -> DataFrame:
+    """Labelled vectors with class weights, written once: every fit and fold reads them, and not the texts."""
     lab = labeled_frame(spark, d)
-    model = feature_pipeline().fit(lab)
-    return with_weights(model.transform(lab).select("article_id", "label", "features"))
+    vectors = fit_features(lab).transform(lab).select("article_id", "label", "features")
+    return TB.stored(with_weights(vectors), "training-vectors")
 
 
 def rf_base():
@@ -143,15 +152,16 @@ def base_models():
         "rf": RandomForestClassifier(numTrees=100, weightCol="weight", seed=42),
         "gbt": GBTClassifier(maxIter=20, maxDepth=3, weightCol="weight", seed=42),
         "lr": LogisticRegression(weightCol="weight", maxIter=50),
-        "svc": LinearSVC(weightCol="weight", maxIter=50),
+        "svc": Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled"),
+                                LinearSVC(featuresCol="scaled", weightCol="weight", maxIter=50)]),
         "rf_shallow": RandomForestClassifier(numTrees=50, maxDepth=2, weightCol="weight", seed=7),
         "lr_l2": LogisticRegression(weightCol="weight", regParam=0.1, maxIter=50),
     }
 
 
 def _score(model_pred: DataFrame) -> DataFrame:
-    s = vector_to_array("probability")[1] if "probability" in model_pred.columns else F.col("rawPrediction").getItem(0) * 0 + vector_to_array("rawPrediction")[1]
-    return model_pred.select("article_id", s.alias("s"))
+    raw = "probability" if "probability" in model_pred.columns else "rawPrediction"
+    return model_pred.select("article_id", vector_to_array(raw)[1].alias("s"))
 
 
 def stacking_report(spark, d, k: int = 5) -> DataFrame:
@@ -169,8 +179,9 @@ def stacking_report(spark, d, k: int = 5) -> DataFrame:
         col = parts[0]
         for p in parts[1:]:
             col = col.unionByName(p)
+        col = TB.stored(col, f"fold-scores-{name}")  # else each join and each pass over it scores again
         oof = col if oof is None else oof.join(col, "article_id")
-        ts = _score(est.fit(train).transform(test)).withColumnRenamed("s", name)
+        ts = TB.stored(_score(est.fit(train).transform(test)).withColumnRenamed("s", name), f"test-scores-{name}")
         test_scores = ts if test_scores is None else test_scores.join(ts, "article_id")
     names = list(base_models())
     va = VectorAssembler(inputCols=names, outputCol="meta")
@@ -184,53 +195,68 @@ def _fold_metrics(pred: DataFrame) -> DataFrame:
     p = _predicted(pred)
     return p.agg(F.sum(((F.col("pred") == 1) & (F.col("label") == 1)).cast("int")).alias("tp"),
                  F.sum((F.col("pred") == 1).cast("int")).alias("pp"),
-                 F.sum((F.col("label") == 1).cast("int")).alias("ap"))
+                 F.sum((F.col("label") == 1).cast("int")).alias("ap"),
+                 F.sum((F.col("pred") == F.col("label")).cast("int")).alias("right"),
+                 F.count(F.lit(1)).alias("n"))
 
 
-def cross_validate(spark, d, k: int = 5, est=None) -> DataFrame:
-    """Per-fold precision / recall / F1 and their mean and population std."""
-    t = fold_col(training_frame(spark, d), k)
-    est = est or RandomForestClassifier(numTrees=100, maxDepth=4, weightCol="weight", seed=42)
+SCORERS = ["precision", "recall", "f1", "accuracy"]
+
+
+def fold_scores(t: DataFrame, est, k: int) -> DataFrame:
+    """(fold, precision, recall, f1, accuracy) of an estimator over the ``fold`` column of ``t``."""
     rows = None
     for f in range(k):
         m = est.fit(t.filter(F.col("fold") != f))
         r = _fold_metrics(m.transform(t.filter(F.col("fold") == f))).withColumn("fold", F.lit(f))
         rows = r if rows is None else rows.unionByName(r)
-    rows = rows.select("fold", X.safe_div(F.col("tp"), F.col("pp")).alias("precision"),
+    return rows.select("fold", X.safe_div(F.col("tp"), F.col("pp")).alias("precision"),
                        X.safe_div(F.col("tp"), F.col("ap")).alias("recall"),
-                       X.safe_div(2 * F.col("tp"), F.col("pp") + F.col("ap")).alias("f1"))
-    return rows.agg(*[X.r6(F.avg(c)).alias(f"mean_{c}") for c in ["precision", "recall", "f1"]],
-                    *[X.r6(F.stddev_pop(c)).alias(f"std_{c}") for c in ["precision", "recall", "f1"]])
+                       X.safe_div(2 * F.col("tp"), F.col("pp") + F.col("ap")).alias("f1"),
+                       X.safe_div(F.col("right"), F.col("n")).alias("accuracy"))
+
+
+def cross_validate(spark, d, k: int = 10, est=None) -> DataFrame:
+    """Mean and population std over k folds of precision, recall, F1 and accuracy."""
+    t = fold_col(training_frame(spark, d), k)
+    rows = fold_scores(t, est or RandomForestClassifier(numTrees=100, maxDepth=4, weightCol="weight", seed=42), k)
+    return rows.agg(*[X.r6(F.avg(c)).alias(f"mean_{c}") for c in SCORERS],
+                    *[X.r6(F.stddev_pop(c)).alias(f"std_{c}") for c in SCORERS])
 
 
-GRID = [dict(numTrees=n, maxDepth=dp) for n in (50, 100) for dp in (4, 8)]
+#: a few combinations that end in minutes; ``grid_trials`` takes any list of parameter sets
+SMALL_GRID = [dict(numTrees=n, maxDepth=dp) for n in (20, 40) for dp in (4, 8)]
 
 
-def grid_trials(spark, d, k: int = 5) -> DataFrame:
-    """One row per parameter combination: mean precision / recall / F1 over k folds."""
-    t = fold_col(training_frame(spark, d), k).cache()
+def grid_trials(spark, d, grid: list[dict], k: int = 5) -> DataFrame:
+    """One row per parameter set: the mean of four scorers over k folds."""
+    t = fold_col(training_frame(spark, d), k)
     out = None
-    for i, params in enumerate(GRID):
-        est = RandomForestClassifier(weightCol="weight", seed=42, **params)
-        rows = None
-        for f in range(k):
-            r = _fold_metrics(est.fit(t.filter(F.col("fold") != f)).transform(t.filter(F.col("fold") == f)))
-            rows = r if rows is None else rows.unionByName(r)
-        agg = rows.select(X.safe_div(F.col("tp"), F.col("pp")).alias("p"), X.safe_div(F.col("tp"), F.col("ap")).alias("r"),
-                          X.safe_div(2 * F.col("tp"), F.col("pp") + F.col("ap")).alias("f")).agg(
-            F.avg("p").alias("mean_precision"), F.avg("r").alias("mean_recall"), F.avg("f").alias("mean_f1"))
-        agg = agg.select(F.lit(i).alias("trial"), F.lit(str(params)).alias("params"), "*")
+    for i, params in enumerate(grid):
+        scores = fold_scores(t, RandomForestClassifier(weightCol="weight", seed=42, **params), k)
+        agg = scores.agg(*[F.avg(c).alias(f"mean_{c}") for c in SCORERS]).select(
+            F.lit(i).alias("trial"), F.lit(str(params)).alias("params"), "*")
         out = agg if out is None else out.unionByName(agg)
     return out
 
 
+def written_trials(spark, d, grid: list[dict], k: int = 5) -> DataFrame:
+    """The trials as a written table: ranking them, or refitting the best, runs no fit again."""
+    return TB.stored(grid_trials(spark, d, grid, k), "trials")
+
+
+def refit_best(spark, d, trials: DataFrame, grid: list[dict], scorer: str = "precision"):
+    """The forest of the best trial by a scorer, fitted on all labelled vectors."""
+    best = trials.orderBy(F.desc(f"mean_{scorer}"), "trial").select("trial").first()["trial"]
+    return RandomForestClassifier(weightCol="weight", seed=42, **grid[best]).fit(training_frame(spark, d))
+
+
 def score_corpus(spark, d) -> DataFrame:
     """Fit on the labelled articles, score every article in one transform (no batch loop)."""
     from ..plans import views as V
     lab = labeled_frame(spark, d)
-    feats = feature_pipeline().fit(lab)
-    model = RandomForestClassifier(numTrees=100, maxDepth=4, weightCol="weight", seed=42).fit(
-        with_weights(feats.transform(lab).select("article_id", "label", "features")))
+    feats = fit_features(lab)
+    model = rf_base().fit(TB.stored(with_weights(feats.transform(lab).select("article_id", "label", "features")), "training-vectors"))
     a = V.articles(spark, d)
     t = F.col("text")
     allf = a.select("article_id", F.coalesce(F.col("label"), F.lit(0)).cast("double").alias("label"), "text",
@@ -244,14 +270,15 @@ def score_corpus(spark, d) -> DataFrame:
 
 
 def regress(spark, d, kind: str) -> DataFrame:
-    """Writer features -> score regression, RMSE on a random 80/20 split. The score stand-in is the
-    writer's mean event value."""
+    """Writer features -> score regression, RMSE on a random 80/20 split. The score stand-in is the mean value of
+    the writer's views; the features are of the other events alone, so none holds the score."""
     from ..plans import q_keystrokes as QK
     from ..plans import views as V
-    log = QK.event_log(spark, d)
     from . import keystrokes as K
+    views = V.table(spark, d, "events").filter("event_type = 'view'")
+    log = QK.event_log(spark, d).join(views.select("event_id"), "event_id", "left_anti")
     feats = K.time_features(log).join(K.edit_features(log), "id")
-    ev = V.table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias("score"))
+    ev = views.groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias("score"))
     data = feats.join(ev, "id").na.fill(0)
     cols = [c for c in data.columns if c not in ("id", "score")]
     data = VectorAssembler(inputCols=cols, outputCol="features").transform(data)

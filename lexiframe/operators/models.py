@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -63,13 +63,8 @@ def uni_bi_grams(tokens):
     return F.concat(tokens, ngrams(tokens, 2))
 
 
-def document_frequency(docs: DataFrame, id_col: str, grams_col: str) -> DataFrame:
-    """(term, df): number of documents containing each term (distinct per doc, map-side combined)."""
-    per_doc = docs.select(id_col, F.explode(F.array_distinct(F.col(grams_col))).alias("term"))
-    return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
 def document_frequency_from_tf(tf: DataFrame) -> DataFrame:
+    """(term, df): a (id, term, tf) table has one row per document and term."""
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -79,31 +74,33 @@ def vocabulary(df_table: DataFrame, n_docs: int, min_df: float, max_df: float) -
 
 
 def term_counts(docs: DataFrame, id_col: str, grams_col: str) -> DataFrame:
-    """(id, term, tf): raw n-gram counts per document. Documents are hash-partitioned by id once;
-    the (id, term) aggregate, the per-document norm and the join back then need no further shuffle."""
-    by_doc = docs.repartition(id_col)
-    return by_doc.select(id_col, F.explode(F.col(grams_col)).alias("term")).groupBy(id_col, "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf): raw n-gram counts per document, counted in the row: the grams are sorted, and a term's
+    count is the distance of two places where a new term begins. Nothing is shuffled."""
+    d = docs.select(id_col, F.array_sort(F.col(grams_col)).alias("_s"))
+    n = F.size("_s")
+    z = F.arrays_zip(F.col("_s").alias("t"), F.concat(F.array(F.lit(None).cast("string")), F.col("_s")).alias("p"),
+                     F.sequence(F.lit(0), F.greatest(n, F.lit(0))).alias("i"))
+    d = d.select(id_col, n.alias("_n"), F.filter(z, lambda e: e["t"].isNotNull() & ~e["t"].eqNullSafe(e["p"])).alias("_b"))
+    ends = F.concat(F.slice(F.col("_b.i"), 2, F.greatest(F.size("_b"), F.lit(1))), F.array("_n"))
+    rows = F.arrays_zip(F.col("_b.t").alias("term"), F.zip_with(ends, F.col("_b.i"), lambda e, s: (e - s).cast("long")).alias("tf"))
+    return d.filter(F.size("_b") > 0).select(id_col, F.inline(rows))
 
 
 def tfidf_long(tf: DataFrame, id_col: str, vocab: DataFrame, n_docs: int) -> DataFrame:
     """(id, term, weight): raw count x smooth idf ``ln((1+n)/(1+df)) + 1``, L2-normalised per
     document. ``tf`` is the (id, term, tf) table, also the source of the document frequencies."""
     idf = vocab.select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    # vocabulary size is bounded by (distinct terms per document) / min_df, independent of corpus size
-    w = tf.join(F.broadcast(idf), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, id_col).select(id_col, "term", X.r6(F.col("w") / F.col("norm")).alias("weight"))
+    w = tf.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))  # one document's terms
+    return w.select(id_col, "term", X.r6(F.col("w") / norm).alias("weight"))
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """class weight ``n / (k * n_c)`` as a per-row column (k classes present)."""
-    per_class = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    tot = per_class.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"))
-    row = tot.first()
-    n, k = row["n"], row["k"]
-    weights = per_class.select(label, (F.lit(float(n)) / (F.lit(float(k)) * F.col("n_c"))).alias("weight"))
-    return df.join(F.broadcast(weights), label)
+    per_class = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))  # one row per class
+    every = Window.partitionBy()
+    weights = per_class.select(label, (F.sum("n_c").over(every) / (F.count(F.lit(1)).over(every) * F.col("n_c"))).alias("weight"))
+    return df.join(weights, label)
 
 
 def stratified_split(df: DataFrame, label: str, order_col: str, test_share: float, seed: int | None = 42) -> DataFrame:

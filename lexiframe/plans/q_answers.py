@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import catalog as C
 from . import sqlparts as S
 from . import views as V
+from .q_corpus import PRESELECT_SQL, preselected
 from .registry import register
 from ..functions import text as X
 
@@ -121,14 +122,17 @@ def token_cost(spark, d):
 
 
 PROMPT_TEMPLATE = "Does the article quote the person directly? Answer yes or no.\n\n%s"
+EDGE_SPACE = r"^[ \t\r\n]+|[ \t\r\n]+$"
 
 
-@register("prompt_table", sql=f"""
-SELECT doc_id, {S.q(C.PROMPT_MODEL)} AS model, {C.PROMPT_SEED} AS seed, CAST({C.PROMPT_TEMPERATURE} AS DOUBLE) AS temperature,
-       'Does the article quote the person directly? Answer yes or no.' || chr(10) || chr(10) || {SHORT_SQL} AS prompt
-FROM documents""")
+@register("prompt_table", sql=PRESELECT_SQL + f"""
+SELECT article_id, {S.q(C.PROMPT_MODEL)} AS model, {C.PROMPT_SEED} AS seed, CAST({C.PROMPT_TEMPERATURE} AS DOUBLE) AS temperature,
+       'Does the article quote the person directly? Answer yes or no.' || chr(10) || chr(10)
+       || regexp_replace(text, {S.q(EDGE_SPACE)}, '', 'g') AS prompt
+FROM sel WHERE selected = 1""")
 def prompt_table(spark, d):
-    docs = V.table(spark, d, "documents")
-    return docs.select("doc_id", F.lit(C.PROMPT_MODEL).alias("model"), F.lit(C.PROMPT_SEED).alias("seed"),
-                       F.lit(C.PROMPT_TEMPERATURE).alias("temperature"),
-                       F.format_string(PROMPT_TEMPLATE, short_text(F.col("text"))).alias("prompt"))
+    """One prompt per selected article, with its whole trimmed text."""
+    chosen = preselected(spark, d).filter("selected = 1")
+    return chosen.select("article_id", F.lit(C.PROMPT_MODEL).alias("model"), F.lit(C.PROMPT_SEED).alias("seed"),
+                         F.lit(C.PROMPT_TEMPERATURE).alias("temperature"),
+                         F.format_string(PROMPT_TEMPLATE, F.regexp_replace("text", EDGE_SPACE, "")).alias("prompt"))

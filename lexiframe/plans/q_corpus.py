@@ -8,6 +8,7 @@ from . import catalog as C
 from . import sqlparts as S
 from . import views as V
 from .registry import register
+from ..functions import text as X
 from ..operators import corpus as CO
 from ..sources import tables as TB
 
@@ -16,10 +17,10 @@ ART = S.ART
 # ---------------------------------------------------------------- sources
 
 
-@register("src_table", sql="SELECT event_id, ts, user_id, event_type, value FROM events")
+@register("src_table", sql="SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def src_table(spark, d):
     return TB.read_table(spark, f"{d}/events.parquet", V.EVENTS_SCHEMA).select(
-        "event_id", "ts", "user_id", "event_type", "value")
+        "event_id", "ts", "user_id", "event_type", "value", "props")
 
 
 @register("src_multipart", sql="""
@@ -214,8 +215,8 @@ def lookup_capital(spark, d):
 SELECT l.doc_id, l.quality, l.toxic FROM labels l
 WHERE l.doc_id IN (SELECT min(article_id) FROM art GROUP BY text, entity)""")
 def survivor_semi(spark, d):
-    a = V.articles(spark, d).select("article_id", "text", "entity")
-    keep = CO.dedupe_by(a, ["text", "entity"], ["article_id"]).select(F.col("article_id").alias("doc_id"))
+    a = V.articles(spark, d).select("article_id", F.sha2("text", 256).alias("digest"), "entity")
+    keep = CO.dedupe_by(a, ["digest", "entity"], ["article_id"]).select(F.col("article_id").alias("doc_id"))
     return V.table(spark, d, "labels").join(keep, "doc_id", "left_semi")
 
 
@@ -242,8 +243,8 @@ def tenure_months_join(spark, d):
 SELECT article_id, entity FROM (
   SELECT article_id, entity, row_number() OVER (PARTITION BY text, entity ORDER BY article_id) rn FROM art) WHERE rn = 1""")
 def dedupe_first(spark, d):
-    a = V.articles(spark, d).select("article_id", "text", "entity")
-    return CO.dedupe_by(a, ["text", "entity"], ["article_id"]).select("article_id", "entity")
+    a = V.articles(spark, d).select("article_id", F.sha2("text", 256).alias("digest"), "entity")
+    return CO.dedupe_by(a, ["digest", "entity"], ["article_id"]).select("article_id", "entity")
 
 
 @register("row_index", sql=S.with_(ART) + """
@@ -282,33 +283,37 @@ def head_n(spark, d):
 
 
 @register("shuffle_sample")
-def shuffle_sample(spark, d):
-    """Seeded random order of whole articles, first 100 (hash order: engine-specific, rows-only check)."""
-    a = V.articles(spark, d).select("article_id", "entity")
-    return a.orderBy(F.xxhash64("article_id", F.lit(42)), "article_id").limit(100)
+def shuffle_sample(spark, d, fraction: float = 1.0):
+    """Whole articles in a seeded random order (hash order: engine-specific, rows-only check); a ``fraction``
+    below 1 keeps the rows of the lowest part of the hash range."""
+    h = F.xxhash64("article_id", F.lit(42))
+    a = V.articles(spark, d).select("article_id", "entity").withColumn("_h", h)
+    if fraction < 1.0:
+        a = a.filter(F.col("_h") < F.lit(int(-(1 << 63) + (1 << 64) * fraction)))
+    return a.orderBy("_h", "article_id").drop("_h")
 
 
 # ---------------------------------------------------------------- set operations
 
 
 @register("union_corpora", sql="""
-SELECT 'documents' AS corpus, doc_id AS src_id, lang, NULL AS role, length(text) AS n_chars FROM documents
+SELECT 'documents' AS corpus, CAST(doc_id AS VARCHAR) AS src_id, lang, NULL AS role, length(text) AS n_chars FROM documents
 UNION ALL
-SELECT 'conversations', conv_id * 1000 + turn, NULL, role, length(text) FROM conversations""")
+SELECT 'conversations', CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), NULL, role, length(text) FROM conversations""")
 def union_corpora(spark, d):
     docs = V.table(spark, d, "documents").select(
-        F.lit("documents").alias("corpus"), F.col("doc_id").alias("src_id"), "lang", F.length("text").alias("n_chars"))
+        F.lit("documents").alias("corpus"), F.col("doc_id").cast("string").alias("src_id"), "lang", F.length("text").alias("n_chars"))
     conv = V.table(spark, d, "conversations").select(
-        F.lit("conversations").alias("corpus"), (F.col("conv_id") * 1000 + F.col("turn")).alias("src_id"),
+        F.lit("conversations").alias("corpus"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("src_id"),
         "role", F.length("text").alias("n_chars"))
     return docs.unionByName(conv, allowMissingColumns=True).select("corpus", "src_id", "lang", "role", "n_chars")
 
 
-@register("rows_removed", sql="SELECT event_id, user_id, event_type FROM events WHERE event_type = 'view'")
+@register("rows_removed", sql="SELECT event_id, user_id, event_type FROM events WHERE event_type = 'view' OR event_type IS NULL")
 def rows_removed(spark, d):
+    """Rows that a filter takes away: its condition is false or unknown."""
     e = V.table(spark, d, "events").select("event_id", "user_id", "event_type")
-    kept = e.filter(F.col("event_type") != "view")
-    return e.join(kept, "event_id", "left_anti")
+    return e.filter(~F.coalesce(F.col("event_type") != "view", F.lit(False)))
 
 
 @register("distinct_entities", sql=S.with_(ART) + "SELECT DISTINCT entity FROM art")
@@ -316,20 +321,43 @@ def distinct_entities(spark, d):
     return V.articles(spark, d).select("entity").distinct()
 
 
-@register("preselect_flag", sql=f"""
-SELECT doc_id, length(text) AS text_length,
-       len(regexp_extract_all(text, '(\\p{{Lu}}\\p{{Ll}}+)', 1)) AS person_count,
-       len(regexp_extract_all(text, '([0-9]+)', 1)) AS other_count,
-       CAST(length(text) > {C.PRESELECT_MIN_CHARS} AND len(regexp_extract_all(text, '(\\p{{Lu}}\\p{{Ll}}+)', 1)) < {C.PRESELECT_MAX_PERSONS}
-            AND len(regexp_extract_all(text, '([0-9]+)', 1)) < {C.PRESELECT_MAX_OTHERS} AS INTEGER) AS selected
-FROM documents""")
-def preselect_flag(spark, d):
-    from ..functions import text as X
-    docs = V.table(spark, d, "documents")
-    persons = X.count_rx(F.col("text"), r"\p{Lu}\p{Ll}+")
-    others = X.count_rx(F.col("text"), "[0-9]+")
-    out = docs.select("doc_id", F.length("text").alias("text_length"), persons.alias("person_count"),
-                      others.alias("other_count"))
+_PERSONS = [w for w, ty in C.GAZETTEER if ty == "PER"]
+_OTHERS_SQL = f"len(list_filter({S.str_list(C.ENTITY_STEMS)}, lambda s: s <> a.stem AND contains(lower(a.text), s)))"
+_PERSONS_SQL = f"len(list_filter({S.word_tokens_sql('a.text')}, lambda x: list_contains({S.str_list(_PERSONS)}, x)))"
+PRESELECT_SQL = S.with_(ART) + f""",
+pre AS (SELECT a.article_id, a.text, length(a.text) AS text_length, {_PERSONS_SQL} AS person_count, {_OTHERS_SQL} AS other_count FROM art a),
+sel AS (SELECT *, CAST(text_length > {C.PRESELECT_MIN_CHARS} AND person_count < {C.PRESELECT_MAX_PERSONS}
+                       AND other_count < {C.PRESELECT_MAX_OTHERS} AS INTEGER) AS selected FROM pre)"""
+
+
+def preselected(spark, d):
+    """Articles with their length, person and other-entity counts, and whether the model stage takes them."""
+    from ..operators import lexicon as LX
+    from .q_lexicon import entity_mentions
+    a = V.articles(spark, d).select("article_id", "text", "stem", F.lower("text").alias("_low"))
+    out = a.select("article_id", "text", F.length("text").alias("text_length"),
+                   LX.token_hits(X.word_tokens(F.col("text")), _PERSONS).alias("person_count"),
+                   entity_mentions(F.col("_low"), F.col("stem")).alias("other_count"))
     sel = ((F.col("text_length") > C.PRESELECT_MIN_CHARS) & (F.col("person_count") < C.PRESELECT_MAX_PERSONS)
            & (F.col("other_count") < C.PRESELECT_MAX_OTHERS))
     return out.withColumn("selected", sel.cast("int"))
+
+
+@register("preselect_flag", sql=PRESELECT_SQL + "SELECT article_id, text_length, person_count, other_count, selected FROM sel")
+def preselect_flag(spark, d):
+    return preselected(spark, d).drop("text")
+
+
+@register("assemble_by_id", sql=S.with_(ART, S.PASSAGE_ROWS) + """
+SELECT a.article_id, a.entity, a.region, a.date, a.publisher, p.sentlength,
+       CAST(CAST(p.sentlength AS DOUBLE) / (p.sentlength + 1) >= 0.5 AS INTEGER) AS predicted
+FROM art a JOIN passage p USING (article_id)""")
+def assemble_by_id(spark, d):
+    """Scored rows with what other steps know of the article, put together by its id."""
+    from ..operators import articles as AR
+    a = V.articles(spark, d)
+    scored = AR.entity_passage(a).select("article_id", "sentlength")
+    known = a.select("article_id", "entity", "region", "date", "publisher")
+    p = F.col("sentlength").cast("double") / (F.col("sentlength") + 1)
+    return known.join(scored, "article_id").select(
+        "article_id", "entity", "region", "date", "publisher", "sentlength", (p >= 0.5).cast("int").alias("predicted"))

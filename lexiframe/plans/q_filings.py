@@ -13,13 +13,13 @@ from . import catalog as C
 from . import sqlparts as S
 from . import views as V
 from .registry import register
+from ..functions import text as X
 from ..operators import filings as FI
-from ..operators import corpus as CO
 
 FACTS_SQL = f"""
 facts AS (
   SELECT o.o_custkey AS company, f.fact, u.unit, CAST(l.l_shipdate AS DATE) AS end_date, l.l_extendedprice AS val,
-         lpad(CAST(l.l_orderkey AS VARCHAR), 10, '0') AS accn, year(o.o_orderdate) AS fy, o.o_orderpriority AS form,
+         {S.pad_id('l.l_orderkey')} AS accn, year(o.o_orderdate) AS fy, o.o_orderpriority AS form,
          CASE WHEN l.l_linestatus = 'F' THEN 'CY' || CAST(year(l.l_shipdate) AS VARCHAR) END AS frame,
          l.l_orderkey, l.l_linenumber, CAST(o.o_orderdate AS DATE) AS filed
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
@@ -55,8 +55,7 @@ def json_facts(spark, d):
 @register("json_keys", sql=S.with_(FACTS_SQL) + "SELECT DISTINCT fact FROM facts")
 def json_keys(spark, d):
     docs = facts_documents(spark, d)
-    keys = docs.select(F.explode(F.map_keys(F.from_json("json", FI.FACTS_TYPE))).alias("fact"))
-    return keys.distinct()
+    return docs.select(F.explode(F.json_object_keys("json")).alias("fact")).distinct()
 
 
 @register("json_records", sql="""
@@ -140,25 +139,47 @@ def annual_facts(spark, d):
     return _annual(spark, d)
 
 
-def _wide_sql(keys: str) -> str:
-    return ", ".join(f"round(sum(CASE WHEN fact = {S.q(n)} THEN val END), 6) AS {n}" for n in FACT_NAMES)
+UNIT = "USD"
 
+# annual reports in one unit; of a report's values for a fact the latest
+ANNUAL_SQL = f"""
+last AS (SELECT company, accn, fy, fact, end_date, val FROM (
+  SELECT *, row_number() OVER (PARTITION BY company, accn, fy, fact ORDER BY end_date DESC, val DESC, l_linenumber DESC) rn
+  FROM facts WHERE form = {S.q(C.ANNUAL_FORM)} AND unit = {S.q(UNIT)}) WHERE rn = 1),
+newest AS (SELECT company, max(struct_pack(fy := fy, accn := accn)) AS r FROM last GROUP BY company)"""
+
+
+def annual_values(spark, d):
+    """(company, accn, fy, fact, end_date, val): one value per annual report and fact, in one unit."""
+    f = V.facts(spark, d).filter((F.col("form") == C.ANNUAL_FORM) & (F.col("unit") == UNIT)).withColumnRenamed("end", "end_date")
+    return FI.latest_by(f, ["company", "accn", "fy", "fact"], ["end_date", "val", "l_linenumber"], ["end_date", "val"])
+
+
+def _wide_sql() -> str:
+    return ", ".join(f"round(max(CASE WHEN fact = {S.q(n)} THEN val END), 6) AS {n}" for n in FACT_NAMES)
 
-@register("fact_wide", sql=S.with_(FACTS_SQL) + f"SELECT company, accn, {_wide_sql('')} FROM facts GROUP BY ALL")
+
+@register("fact_wide", sql=S.with_(FACTS_SQL, ANNUAL_SQL) + f"""
+SELECT l.company, l.accn, l.fy, {_wide_sql()} FROM last l JOIN newest n ON n.company = l.company AND n.r.accn = l.accn AND n.r.fy = l.fy
+GROUP BY ALL""")
 def fact_wide(spark, d):
-    f = V.facts(spark, d)
-    w = FI.wide_metrics(f, ["company", "accn"], "fact", "val", FACT_NAMES)
-    return w.select("company", "accn", *[F.round(F.col(n), 6).alias(n) for n in FACT_NAMES])
+    """The latest annual report of each company, a column per fact."""
+    v = annual_values(spark, d)
+    newest = v.groupBy("company").agg(F.max(F.struct("fy", "accn")).alias("r")).select("company", "r.fy", "r.accn")
+    w = FI.wide_metrics(v.join(newest, ["company", "fy", "accn"]), ["company", "accn", "fy"], "fact", "val", FACT_NAMES)
+    return w.select("company", "accn", "fy", *[F.round(F.col(n), 6).alias(n) for n in FACT_NAMES])
 
 
-@register("company_matrix", sql=S.with_(FACTS_SQL, f"cm AS (SELECT company, fy, {_wide_sql('')} FROM facts GROUP BY ALL)") + f"""
+@register("company_matrix", sql=S.with_(FACTS_SQL, ANNUAL_SQL, f"""py AS (SELECT company, fy, fact, arg_max(val, (accn, end_date)) AS val FROM last GROUP BY ALL),
+cm AS (SELECT company, fy, {_wide_sql()} FROM py GROUP BY ALL)""") + f"""
 SELECT company, fy, {', '.join(FACT_NAMES)},
        {', '.join(f"lag({n}, 1) OVER (PARTITION BY company ORDER BY fy) AS {n}_t1" for n in FACT_NAMES)},
        {', '.join(f"lag({n}, 2) OVER (PARTITION BY company ORDER BY fy) AS {n}_t2" for n in FACT_NAMES)}
 FROM cm""")
 def company_matrix(spark, d):
-    f = V.facts(spark, d)
-    w = FI.wide_metrics(f, ["company", "fy"], "fact", "val", FACT_NAMES)
+    """A company's years side by side: of a year's annual reports the last, with the two years before."""
+    year = FI.latest_by(annual_values(spark, d), ["company", "fy", "fact"], ["accn", "end_date"], ["val"])
+    w = FI.wide_metrics(year, ["company", "fy"], "fact", "val", FACT_NAMES)
     w = w.select("company", "fy", *[F.round(F.col(n), 6).alias(n) for n in FACT_NAMES])
     return FI.lagged(w, "company", "fy", FACT_NAMES, (1, 2))
 
@@ -177,27 +198,26 @@ def lagged_reports(spark, d):
 
 @register("report_fact_join", sql=S.with_(FACTS_SQL) + """
 SELECT f.company, f.accn, o.o_orderpriority AS form, f.fact, f.val
-FROM facts f JOIN orders o ON o.o_custkey = f.company AND lpad(CAST(o.o_orderkey AS VARCHAR), 10, '0') = f.accn""")
+FROM facts f JOIN orders o ON o.o_custkey = f.company AND o.o_orderkey = f.l_orderkey""")
 def report_fact_join(spark, d):
-    f = V.facts(spark, d).select("company", "accn", "fact", "val")
-    o = V.table(spark, d, "orders").select(F.col("o_custkey").alias("company"),
-                                           F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("accn"),
+    f = V.facts(spark, d).select("company", "accn", "l_orderkey", "fact", "val")
+    o = V.table(spark, d, "orders").select(F.col("o_custkey").alias("company"), F.col("o_orderkey").alias("l_orderkey"),
                                            F.col("o_orderpriority").alias("form"))
-    return f.join(o, ["company", "accn"]).select("company", "accn", "form", "fact", "val")
+    return f.join(o, ["company", "l_orderkey"]).select("company", "accn", "form", "fact", "val")
 
 
-@register("filing_paths", sql="""
-SELECT o_orderkey AS report, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik_padded,
-       replace(format('{:010d}-{:02d}-{:06d}', o_custkey, year(o_orderdate) % 100, o_orderkey), '-', '') AS accession_plain,
-       'edgar/data/' || CAST(o_custkey AS VARCHAR) || '/' || replace(format('{:010d}-{:02d}-{:06d}', o_custkey, year(o_orderdate) % 100, o_orderkey), '-', '') || '/doc' || CAST(o_orderkey AS VARCHAR) || '.htm' AS document_path,
-       'edgar/data/' || CAST(o_custkey AS VARCHAR) || '/' || format('{:010d}-{:02d}-{:06d}', o_custkey, year(o_orderdate) % 100, o_orderkey) || '.txt' AS text_path
+@register("filing_paths", sql=f"""
+SELECT o_orderkey AS report, {S.pad_id('o_custkey')} AS cik_padded,
+       replace(format('{{:010d}}-{{:02d}}-{{:06d}}', o_custkey, year(o_orderdate) % 100, o_orderkey), '-', '') AS accession_plain,
+       'edgar/data/' || CAST(o_custkey AS VARCHAR) || '/' || replace(format('{{:010d}}-{{:02d}}-{{:06d}}', o_custkey, year(o_orderdate) % 100, o_orderkey), '-', '') || '/doc' || CAST(o_orderkey AS VARCHAR) || '.htm' AS document_path,
+       'edgar/data/' || CAST(o_custkey AS VARCHAR) || '/' || format('{{:010d}}-{{:02d}}-{{:06d}}', o_custkey, year(o_orderdate) % 100, o_orderkey) || '.txt' AS text_path
 FROM orders""")
 def filing_paths(spark, d):
     o = V.table(spark, d, "orders")
     acc = F.format_string("%010d-%02d-%06d", F.col("o_custkey"), F.year("o_orderdate") % 100, F.col("o_orderkey"))
     plain = F.replace(acc, F.lit("-"), F.lit(""))
     cik = F.col("o_custkey").cast("string")
-    return o.select(F.col("o_orderkey").alias("report"), F.lpad(cik, 10, "0").alias("cik_padded"), plain.alias("accession_plain"),
+    return o.select(F.col("o_orderkey").alias("report"), X.pad_id("o_custkey").alias("cik_padded"), plain.alias("accession_plain"),
                     F.concat(F.lit("edgar/data/"), cik, F.lit("/"), plain, F.lit("/doc"), F.col("o_orderkey").cast("string"),
                              F.lit(".htm")).alias("document_path"),
                     F.concat(F.lit("edgar/data/"), cik, F.lit("/"), acc, F.lit(".txt")).alias("text_path"))
@@ -229,9 +249,7 @@ FROM q ASOF LEFT JOIN prices a ON a.ticker = q.ticker AND a.date >= q.target
 def asof_price(spark, d):
     q = price_queries(spark, d)
     p = V.prices(spark, d)
-    after = FI.asof(q, p, "ticker", "target", "date", "close", "after")
-    before = FI.asof(q, p, "ticker", "target", "date", "close", "before")
-    return after.join(before, ["report", "ticker", "horizon", "target"]).select(
+    return FI.asof(q, p, "ticker", "target", "date", "close").select(
         "report", "ticker", "horizon", "close_after", "close_before")
 
 
@@ -243,7 +261,7 @@ SELECT report, ticker,
        round(max(CASE WHEN horizon = 12 THEN close END) / max(CASE WHEN horizon = 0 THEN close END) - 1, 6) AS ret_12m
 FROM a GROUP BY report, ticker""")
 def performance_targets(spark, d):
-    after = FI.asof(price_queries(spark, d), V.prices(spark, d), "ticker", "target", "date", "close", "after")
+    after = FI.asof(price_queries(spark, d), V.prices(spark, d), "ticker", "target", "date", "close")
     w = after.groupBy("report", "ticker").pivot("horizon", HORIZONS).agg(F.max("close_after"))
     base = F.col("0")
     return w.select("report", "ticker", *[F.round(F.col(str(h)) / base - 1, 6).alias(f"ret_{h}m") for h in HORIZONS[1:]])
@@ -271,5 +289,3 @@ def html_text(spark, d):
     p = V.table(spark, d, "pages")
     return p.select("page_id", FI.html_text(F.col("html")).alias("text"))
 
-
-__all__ = ["CO"]

@@ -150,9 +150,10 @@ def pos_share_features(spark, d):
 ENTITY_MENTION_SQL = f"len(list_filter({S.str_list(C.ENTITY_STEMS)}, lambda s: s <> a.stem AND contains(lower(a.text), s)))"
 
 
-def entity_mentions(text, stem):
+def entity_mentions(lowered, stem):
+    """Stems other than the row's own in its text; callers pass the text lower-cased, once a row."""
     return F.size(F.filter(F.array(*[F.lit(s) for s in C.ENTITY_STEMS]),
-                           lambda s: (s != stem) & F.lower(text).contains(s)))
+                           lambda s: (s != stem) & lowered.contains(s)))
 
 
 @register("entity_mention_features", sql=S.with_(ART) + f"""
@@ -160,8 +161,8 @@ SELECT article_id, n_entities, round(CAST(n_entities AS DOUBLE) / nullif(words,
        CAST(n_entities > 0 AS INTEGER) AS entities_flag
 FROM (SELECT a.article_id, {ENTITY_MENTION_SQL} AS n_entities, len({S.word_tokens_sql('a.text')}) AS words FROM art a)""")
 def entity_mention_features(spark, d):
-    a = V.articles(spark, d)
-    n = entity_mentions(F.col("text"), F.col("stem"))
+    a = V.articles(spark, d).withColumn("_low", F.lower("text"))
+    n = entity_mentions(F.col("_low"), F.col("stem"))
     out = a.select("article_id", n.alias("n_entities"), F.size(X.word_tokens(F.col("text"))).alias("words"))
     return out.select("article_id", "n_entities", X.r6(X.safe_div(F.col("n_entities"), F.col("words"))).alias("entities_share"),
                       (F.col("n_entities") > 0).cast("int").alias("entities_flag"))

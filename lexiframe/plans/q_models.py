@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import catalog as C
 from . import sqlparts as S
 from . import views as V
 from .registry import register
 from ..functions import text as X
 from ..operators import models as M
 from ..operators import ml as ML
+from ..sources import tables as TB
 
 MIN_DF, MAX_DF = 0.005, 0.7
 
@@ -29,7 +29,7 @@ def doc_grams(spark, d):
 
 
 def _vocab(spark, d):
-    tf = M.term_counts(doc_grams(spark, d), "doc_id", "g")
+    tf = TB.stored(M.term_counts(doc_grams(spark, d), "doc_id", "g"), "term-counts")  # read for df and for weights
     n_docs = V.table(spark, d, "documents").count()
     return tf, M.vocabulary(M.document_frequency_from_tf(tf), n_docs, MIN_DF, MAX_DF), n_docs
 
@@ -161,7 +161,7 @@ def rf_variants(spark, d):
 
 @register("boosted_classifier")
 def boosted_classifier(spark, d):
-    return ML.fit_and_report(spark, d, ML.boosted())
+    return ML.fit_and_report(spark, d, ML.boosted(), boost=10.0)
 
 
 @register("linear_models")
@@ -176,18 +176,19 @@ def stacking(spark, d):
 
 @register("grid_tune")
 def grid_tune(spark, d):
-    return ML.grid_trials(spark, d)
+    return ML.grid_trials(spark, d, ML.SMALL_GRID)
 
 
 @register("rank_trials")
 def rank_trials(spark, d):
-    t = ML.grid_trials(spark, d)
-    return t.orderBy(F.desc("mean_precision"), "trial").select("trial", F.round("mean_precision", 3).alias("mean_precision"))
+    t = ML.written_trials(spark, d, ML.SMALL_GRID)
+    return t.orderBy(F.desc("mean_precision"), "trial").select("trial", "params", *[
+        F.round(f"mean_{m}", 3).alias(f"mean_{m}") for m in ("precision", "recall", "f1", "accuracy")])
 
 
 @register("cross_validate")
 def cross_validate(spark, d):
-    return ML.cross_validate(spark, d, k=5)
+    return ML.cross_validate(spark, d, k=10)
 
 
 @register("score_corpus")
@@ -204,5 +205,3 @@ def rf_regressor(spark, d):
 def boosted_regressor(spark, d):
     return ML.regress(spark, d, "gbt")
 
-
-__all__ = ["C"]

@@ -198,7 +198,7 @@ def flags_frame(spark, d):
     neg_w = [w for k, w in C.POLARITY if k == "negative"]
     return a.select(
         "article_id", RU.compile_rule(HOS).alias("predicted"), "sentlength",
-        entity_mentions(F.col("text"), F.col("stem")).alias("n_entities"),
+        entity_mentions(F.lower("text"), F.col("stem")).alias("n_entities"),
         RU.compile_rule(RU.rules_by_id(["council"])[0]).alias("council"),
         RU.any_word(F.col("text"), C.INTERVIEW_WORDS["interview"] + C.INTERVIEW_WORDS["talk"]).cast("int").alias("interview"),
         F.least(X.safe_div(LX.token_hits(t, pos_w), F.size(t)), F.lit(0.3)).alias("positive"),

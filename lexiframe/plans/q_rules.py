@@ -60,7 +60,7 @@ def rule_frame(spark, d, ids):
     a = AR.entity_passage(V.articles(spark, d))
     rules = RU.rules_by_id(ids)
     if any(r.get("min_entities") is not None for r in rules):
-        a = a.withColumn("n_entities", entity_mentions(F.col("text"), F.col("stem")))
+        a = a.withColumn("_low", F.lower("text")).withColumn("n_entities", entity_mentions(F.col("_low"), F.col("stem"))).drop("_low")
     return a.select("article_id", *[RU.compile_rule(r).alias(r["rule_id"]) for r in rules])
 
 

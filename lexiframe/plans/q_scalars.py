@@ -67,12 +67,12 @@ def str_split_part(spark, d):
     return p.select("page_id", host.alias("host"), F.split_part(host, F.lit("."), F.lit(1)).alias("sub"))
 
 
-@register("str_pad_join", sql="""
-SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik, replace(c_name, '#', '') AS name_plain,
-       'data/' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') || '/' || replace(c_name, '#', '') || '.json' AS path FROM customer""")
+@register("str_pad_join", sql=f"""
+SELECT c_custkey, {S.pad_id('c_custkey')} AS cik, replace(c_name, '#', '') AS name_plain,
+       'data/' || {S.pad_id('c_custkey')} || '/' || replace(c_name, '#', '') || '.json' AS path FROM customer""")
 def str_pad_join(spark, d):
     c = V.table(spark, d, "customer")
-    cik = F.lpad(F.col("c_custkey").cast("string"), 10, "0")
+    cik = X.pad_id("c_custkey")
     plain = F.replace("c_name", F.lit("#"), F.lit(""))
     return c.select("c_custkey", cik.alias("cik"), plain.alias("name_plain"),
                     F.concat(F.lit("data/"), cik, F.lit("/"), plain, F.lit(".json")).alias("path"))
@@ -164,3 +164,27 @@ def first_sentence(spark, d):
     from .q_answers import first_sentence as fs
     c = V.table(spark, d, "conversations")
     return c.select("conv_id", "turn", fs(F.col("text")).alias("first_sentence"))
+
+
+#: the upper half of code page 1251, character by byte (the one free byte stands for itself), and of Latin-1
+CP1251 = "".join(bytes([b]).decode("cp1251") if b != 0x98 else chr(b) for b in range(128, 256))
+LATIN1 = "".join(map(chr, range(128, 256)))
+
+
+def damage_mojibake(text):
+    """UTF-8 bytes read as code page 1251."""
+    return F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), LATIN1, CP1251)
+
+
+def repair_mojibake(text):
+    """Text whose UTF-8 bytes had been read as code page 1251, put right; other text is left as it is."""
+    raw = F.encode(F.translate(text, CP1251, LATIN1), "ISO-8859-1")
+    foreign = F.translate(text, CP1251 + "".join(map(chr, range(128))), "") != ""
+    return F.when(~foreign & F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(text)
+
+
+@register("repair_mojibake", sql="SELECT doc_id, text AS repaired, text AS untouched FROM documents")
+def repair_mojibake_q(spark, d):
+    docs = V.table(spark, d, "documents")
+    damaged = docs.select("doc_id", "text", damage_mojibake(F.col("text")).alias("damaged"))
+    return damaged.select("doc_id", repair_mojibake(F.col("damaged")).alias("repaired"), repair_mojibake(F.col("text")).alias("untouched"))

@@ -15,6 +15,10 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def pad_id(expr: str) -> str:
+    return f"lpad(CAST({expr} AS VARCHAR), CAST(greatest(length(CAST({expr} AS VARCHAR)), 10) AS INTEGER), '0')"
+
+
 def values(rows, cols, alias: str = "t") -> str:
     body = ", ".join("(" + ", ".join(q(v) if isinstance(v, str) else ("NULL" if v is None else str(v)) for v in r) + ")" for r in rows)
     return f"(VALUES {body}) AS {alias}({', '.join(cols)})"

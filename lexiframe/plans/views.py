@@ -11,22 +11,8 @@ from . import catalog as C
 from ..functions import text as X
 
 
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
-
-
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{d}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Text jobs are CPU-bound per row. When the scan yields fewer splits than there are cores (one
-    row group per file), round-robin the rows over the cores once; a large input already has more
-    splits than cores and is left as it is (no extra shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def fixed(spark: SparkSession, rows, schema: str) -> DataFrame:
@@ -158,7 +144,7 @@ def facts(spark, d) -> DataFrame:
             "unit",
             F.to_date("l_shipdate").alias("end"),
             F.col("l_extendedprice").alias("val"),
-            F.lpad(F.col("l_orderkey").cast("string"), 10, "0").alias("accn"),
+            X.pad_id("l_orderkey").alias("accn"),
             F.year("o_orderdate").alias("fy"),
             F.col("o_orderpriority").alias("form"),
             F.when(F.col("l_linestatus") == "F", F.concat(F.lit("CY"), F.year("l_shipdate").cast("string")))

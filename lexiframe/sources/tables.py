@@ -44,6 +44,11 @@ def table_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared checkpoint folder and read back: a lineage cut that survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
+
+
 def write_table(df: DataFrame, name: str, partition_by: Sequence[str] = (), fmt: str = "parquet",
                 path: str | None = None) -> str:
     """Write (overwrite) and return the path; parents are created by the writer."""

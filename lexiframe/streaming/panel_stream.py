@@ -3,7 +3,7 @@
 The reference has no streaming; the panel jobs avoid actions so the same plan can run on a file
 stream of new documents. New article files are joined (stream-static) to the order / customer /
 nation dimensions and counted per (year, quarter, entity); each micro-batch's partial counts are
-appended, and the panel is their sum (a ``complete``-mode aggregate would keep all keys in state)."""
+a partition of their own, and the panel is their sum (a ``complete``-mode aggregate would keep all keys in state)."""
 
 from __future__ import annotations
 
@@ -32,7 +32,8 @@ def start_panel_counts(spark: SparkSession, docs_dir: str, d: str, out_dir: str,
     def write_batch(batch: DataFrame, epoch: int):
         part = batch.groupBy(F.year("date").alias("year"), F.quarter("date").alias("quarter"), "entity").agg(
             F.count(F.lit(1)).alias("n")).withColumn("epoch", F.lit(epoch))
-        part.write.mode("append").partitionBy("epoch").parquet(out_dir)
+        # a batch that is tried again replaces its own partition
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out_dir)
 
     return arts.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir).start()
 
