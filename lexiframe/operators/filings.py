@@ -60,8 +60,10 @@ def lagged(df: DataFrame, part: str, order: str, cols: Sequence[str], lags: Sequ
     return out
 
 
-def asof(queries: DataFrame, prices: DataFrame, key: str, qdate: str, pdate: str, value: str) -> DataFrame:
-    """Nearest price on or after (``<value>_after``) and strictly before (``<value>_before``) each query date.
+def asof(queries: DataFrame, prices: DataFrame, key: str, qdate: str, pdate: str, value: str,
+         direction: str | None = None) -> DataFrame:
+    """Nearest price on or after (``<value>_after``) and strictly before (``<value>_before``) each query date;
+    ``direction`` names the one that is wanted, both by default.
 
     Queries and prices are one frame, exchanged once by key and year, so a hot key spans many tasks. Within a
     year each direction is a growing frame (``last(ignore nulls)`` up to the current row, once in date order and
@@ -85,8 +87,9 @@ def asof(queries: DataFrame, prices: DataFrame, key: str, qdate: str, pdate: str
     years = years.select(F.col(key).alias("_k"), F.col("_year").alias("_y"),
                          F.last("_last", ignorenulls=True).over(earlier).alias("_prev"),
                          F.last("_first", ignorenulls=True).over(later).alias("_next"))
+    found = {"after": F.coalesce("_after", "_next"), "before": F.coalesce("_before", "_prev")}
     return near.join(years, (F.col(key) == F.col("_k")) & (F.col("_year") == F.col("_y")), "left").select(
-        *qcols, F.coalesce("_after", "_next").alias(f"{value}_after"), F.coalesce("_before", "_prev").alias(f"{value}_before"))
+        *qcols, *[c.alias(f"{value}_{k}") for k, c in found.items() if direction in (None, k)])
 
 
 def period_return(prices: DataFrame, key: str, date: str, value: str, start: str, end: str) -> DataFrame:
