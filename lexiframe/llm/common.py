@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -18,11 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of steps that are over when the driver collects them as garbage; have it do
+    so now, and at most one step's files are on disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: later jobs start from the
     files (a lost executor costs nothing) and the planner knows the table's true size."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(write_table(df, name))
 
 

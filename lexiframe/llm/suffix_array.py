@@ -71,25 +71,28 @@ def _induce_by_entry(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int
     """The same for large alphabets, one suffix at a time."""
     n, counts = len(t), np.bincount(t, minlength=k)
     ends = np.cumsum(counts)
-    sa = np.full(n, -1, dtype=np.int64)
+    sa = np.full(n, n, dtype=np.int64)  # n: nothing yet
     chars = t[seeds]
-    first = np.searchsorted(chars, chars, side="right")
-    sa[ends[chars] - (first - np.arange(len(seeds)))] = seeds
-    sa, text, kind = sa.tolist(), t.tolist(), small.tolist()
+    sa[ends[chars] - (np.searchsorted(chars, chars, side="right") - np.arange(len(seeds)))] = seeds
+    sa = sa.tolist()
+    # the character before each suffix, if the suffix before is of the kind to be placed; -1 else
+    before = np.append(-1, t[:-1])
+    larger = np.append(np.where(np.append(True, small[:-1]), -1, before), -1).tolist()
+    smaller = np.append(np.where(np.append(False, small[:-1]), before, -1), -1).tolist()
     head = (ends - counts).tolist()
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not kind[j]:
-            c = text[j]
-            sa[head[c]] = j
-            head[c] += 1
+    for j in sa:  # reads what the loop has placed further on
+        c = larger[j]
+        if c >= 0:
+            at = head[c]
+            sa[at] = j - 1
+            head[c] = at + 1
     tail = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and kind[j]:
-            c = text[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
+    for j in reversed(sa):
+        c = smaller[j]
+        if c >= 0:
+            at = tail[c] - 1
+            sa[at] = j - 1
+            tail[c] = at
     sa[0] = n - 1
     return np.array(sa, dtype=seeds.dtype)
 
