@@ -15,15 +15,16 @@ from ..plans import catalog as C
 
 
 def _cond(x: Column, rule: Mapping, mask: Column) -> Column:
+    make = X.word_rx if rule.get("whole") else X.prefix_rx
     c = F.lit(True)
     if rule.get("any_of"):
-        c = c & F.regexp_like(x, F.lit(X.prefix_rx(rule["any_of"])))
+        c = c & F.regexp_like(x, F.lit(make(rule["any_of"])))
     if rule.get("any_of2"):
-        c = c & F.regexp_like(x, F.lit(X.prefix_rx(rule["any_of2"])))
+        c = c & F.regexp_like(x, F.lit(make(rule["any_of2"])))
     for t in rule.get("all_of", []):
-        c = c & F.regexp_like(x, F.lit(X.prefix_rx(t)))
+        c = c & F.regexp_like(x, F.lit(make(t)))
     if rule.get("none_of"):
-        c = c & ~F.regexp_like(x, F.lit(X.prefix_rx(rule["none_of"])))
+        c = c & ~F.regexp_like(x, F.lit(make(rule["none_of"])))
     if rule.get("proximity"):
         a, b, n = rule["proximity"]
         c = c & F.regexp_like(x, F.lit(X.proximity_rx(a, b, n)))
@@ -44,6 +45,17 @@ def compile_rule(rule: Mapping, sents: str = "passage_sents", text: str = "text"
     return flag.cast("int")
 
 
+def compile_on(rule: Mapping, sents: Column, text: Column, mask: str, n_entities: Column) -> Column:
+    """A rule over given sentences or text, where the mask is a token of theirs."""
+    if rule["scope"] == "sentence":
+        flag = F.exists(sents, lambda s: _cond(s, rule, s.contains(mask)))
+    else:
+        flag = _cond(text, rule, text.contains(mask))
+    if rule.get("min_entities") is not None:
+        flag = flag & (n_entities > rule["min_entities"])
+    return flag.cast("int")
+
+
 def rules_by_id(ids):
     by = {r["rule_id"]: r for r in C.RULES}
     return [by[i] for i in ids]

@@ -96,7 +96,7 @@ LEMMAS = [
 # ---- fixed values: article rules (rules engine input) ----
 # scope: 'sentence' (masked passage sentences) or 'doc' (whole text, lower-cased match).
 # any_of / any_of2 / all_of / none_of are word-start (prefix) term lists; mask=True requires the mask
-# token (sentence scope) or the entity stem (doc scope); proximity = (a, b, max words between).
+# token; whole=True asks for whole words; proximity = (a, b, max words between).
 RULES = [
     dict(rule_id="head_of_state", scope="sentence", any_of=["with", "from", "this"], mask=True),
     dict(rule_id="prime_minister", scope="sentence", any_of=["pour", "dans", "avec", "sur"], mask=True),
@@ -107,14 +107,14 @@ RULES = [
     dict(rule_id="state_council", scope="doc", any_of=["of the", "de la", "in der", "que el"]),
     dict(rule_id="engagement", scope="doc",
          any_of=["meeting", "forum", "citizens", "residents", "public", "hotline", "reception",
-                 "appeal", "dialogue", "volunteers", "council", "assembly", "hearing"]),
+                 "appeal", "dialogue", "volunteers", "council", "assembly", "hearing"], whole=True),
     dict(rule_id="birthday", scope="doc", any_of=["birthday", "anniversaire", "geburtstag", "cumple"]),
     dict(rule_id="envoy_title", scope="doc", any_of=["by the", "par le"], mask=True),
     dict(rule_id="minister_federation", scope="sentence", all_of=["the", "of"], mask=True),
     dict(rule_id="party", scope="sentence", any_of=["and"], none_of=["for", "was"], mask=True),
-    dict(rule_id="visit", scope="doc", any_of=["was", "est", "ist"], any_of2=["from", "par", "von"]),
-    dict(rule_id="festival", scope="doc", any_of=["on the", "sur le"], any_of2=["this", "une"]),
-    dict(rule_id="award", scope="doc", any_of=["able", "ble"], any_of2=["it is", "il est"]),
+    dict(rule_id="visit", scope="doc", any_of=["was", "est", "ist"], any_of2=["from", "par", "von"], whole=True),
+    dict(rule_id="festival", scope="doc", any_of=["on the", "sur le"], any_of2=["this", "une"], whole=True),
+    dict(rule_id="award", scope="doc", any_of=["able", "ble"], any_of2=["it is", "il est"], whole=True),
     dict(rule_id="speech", scope="doc", proximity=("the", "of", 6)),
     dict(rule_id="rating", scope="doc", any_of=["as", "als"], min_entities=5),
 ]

@@ -60,93 +60,6 @@ def lexicon_exclude_own(spark, d):
                     .alias("n_other_capitals"))
 
 
-def _lex_feature_frame(df, grams, words):
-    """Counts first (one projection over materialised n-grams), shares and flags from the counts:
-    every array expression is evaluated once per row."""
-    g = df.select("doc_id", grams.alias("_g"), words.alias("_w"))
-    counts = g.select("doc_id", "_w", *[LX.term_counts(F.col("_g"), [t for c, t in C.LEXICON if c == cat]).alias(f"{cat}_count")
-                                       for cat in C.LEXICON_CATEGORIES])
-    cols = []
-    for cat in C.LEXICON_CATEGORIES:
-        n = F.col(f"{cat}_count")
-        cols += [n, X.r6(X.safe_div(n, F.col("_w"))).alias(f"{cat}_share"), (n > 0).cast("int").alias(f"{cat}_flag")]
-    return counts.select("doc_id", *cols)
-
-
-def _lex_feature_sql():
-    parts = []
-    for cat in C.LEXICON_CATEGORIES:
-        n = f"coalesce(sum(CASE WHEN lx.category = {S.q(cat)} THEN 1 ELSE 0 END), 0)"
-        parts.append(f"CAST({n} AS BIGINT) AS {cat}_count, round(CAST({n} AS DOUBLE) / nullif(any_value(w.words), 0), 6) AS {cat}_share, "
-                     f"CAST({n} > 0 AS INTEGER) AS {cat}_flag")
-    return ", ".join(parts)
-
-
-@register("lexicon_features", sql=S.with_(GRAMS) + f""",
-dg AS (SELECT DISTINCT doc_id, term FROM grams),
-w AS (SELECT doc_id, len({S.space_tokens_sql('text')}) AS words FROM documents)
-SELECT w.doc_id, {_lex_feature_sql()}
-FROM w LEFT JOIN dg ON dg.doc_id = w.doc_id LEFT JOIN {LEX_VALUES} ON lx.term = dg.term
-GROUP BY w.doc_id""")
-def lexicon_features(spark, d):
-    docs = V.table(spark, d, "documents").select("doc_id", "text")
-    toks = docs.select("doc_id", X.word_tokens(F.col("text")).alias("_t"), F.size(X.space_tokens(F.col("text"))).alias("_n"))
-    return _lex_feature_frame(toks, X.ngrams_upto(F.col("_t"), N_MAX), F.col("_n"))
-
-
-def _type_terms(t):
-    return [w for w, ty in C.GAZETTEER if ty == t]
-
-
-@register("entity_type_features", sql=f"""
-SELECT doc_id, {', '.join(f"len(list_filter(t, lambda x: list_contains({S.str_list(_type_terms(ty))}, x))) AS {ty.lower()}_count" for ty in C.ENTITY_TYPES)},
-       {' + '.join(f"len(list_filter(t, lambda x: list_contains({S.str_list(_type_terms(ty))}, x)))" for ty in C.ENTITY_TYPES)} AS all_count,
-       round(CAST({' + '.join(f"len(list_filter(t, lambda x: list_contains({S.str_list(_type_terms(ty))}, x)))" for ty in C.ENTITY_TYPES)} AS DOUBLE) / nullif(n_sent, 0), 6) AS all_per_sentence,
-       {', '.join(f"CAST(len(list_filter(t, lambda x: list_contains({S.str_list(_type_terms(ty))}, x))) > 0 AS INTEGER) AS {ty.lower()}_flag" for ty in C.ENTITY_TYPES)}
-FROM (SELECT doc_id, {S.word_tokens_sql('text')} AS t, len({S.sentences_sql('text')}) AS n_sent FROM documents)""")
-def entity_type_features(spark, d):
-    docs = V.table(spark, d, "documents").select(
-        "doc_id", X.word_tokens(F.col("text")).alias("t"), F.size(X.sentences(F.col("text"))).alias("n_sent"))
-    counts = {ty: LX.token_hits(F.col("t"), _type_terms(ty)) for ty in C.ENTITY_TYPES}
-    total = sum(counts.values(), F.lit(0))
-    return docs.select(
-        "doc_id", *[c.alias(f"{ty.lower()}_count") for ty, c in counts.items()], total.alias("all_count"),
-        X.r6(X.safe_div(total, F.col("n_sent"))).alias("all_per_sentence"),
-        *[(c > 0).cast("int").alias(f"{ty.lower()}_flag") for ty, c in counts.items()])
-
-
-def _pol(kind):
-    return [w for k, w in C.POLARITY if k == kind]
-
-
-@register("polarity_features", sql=f"""
-SELECT doc_id, round(p, 6) AS positive, round(n, 6) AS negative, round(1 - p - n, 6) AS neutral FROM (
-  SELECT doc_id,
-    least(CAST(len(list_filter(t, lambda x: list_contains({S.str_list(_pol('positive'))}, x))) AS DOUBLE) / nullif(len(t), 0), 0.3) AS p,
-    least(CAST(len(list_filter(t, lambda x: list_contains({S.str_list(_pol('negative'))}, x))) AS DOUBLE) / nullif(len(t), 0), 0.3) AS n
-  FROM (SELECT doc_id, {S.word_tokens_sql('text')} AS t FROM documents))""")
-def polarity_features(spark, d):
-    docs = V.table(spark, d, "documents").select("doc_id", X.word_tokens(F.col("text")).alias("t"))
-    n = F.size("t")
-    pos = F.least(X.safe_div(LX.token_hits(F.col("t"), _pol("positive")), n), F.lit(0.3))
-    neg = F.least(X.safe_div(LX.token_hits(F.col("t"), _pol("negative")), n), F.lit(0.3))
-    return docs.select("doc_id", X.r6(pos).alias("positive"), X.r6(neg).alias("negative"),
-                       X.r6(1 - pos - neg).alias("neutral"))
-
-
-def _tag(t):
-    return [w for w, ty in C.POS_TAGS if ty == t]
-
-
-@register("pos_share_features", sql=f"""
-SELECT doc_id, {', '.join(f"round(CAST(len(list_filter(t, lambda x: list_contains({S.str_list(_tag(tg))}, x))) AS DOUBLE) / nullif(len(t), 0), 6) AS share_{tg.lower()}" for tg in C.POS_TAG_SET)}
-FROM (SELECT doc_id, {S.word_tokens_sql('text')} AS t FROM documents)""")
-def pos_share_features(spark, d):
-    docs = V.table(spark, d, "documents").select("doc_id", X.word_tokens(F.col("text")).alias("t"))
-    return docs.select("doc_id", *[X.r6(X.safe_div(LX.token_hits(F.col("t"), _tag(tg)), F.size("t")))
-                                   .alias(f"share_{tg.lower()}") for tg in C.POS_TAG_SET])
-
-
 ENTITY_MENTION_SQL = f"len(list_filter({S.str_list(C.ENTITY_STEMS)}, lambda s: s <> a.stem AND contains(lower(a.text), s)))"
 
 

@@ -1,4 +1,5 @@
-"""Rules I15-I24: one engine, one query per rule family."""
+"""Rules I23 and I24, and the SQL of rules over masked passage sentences (the panels' rules). The rule families
+over the lemmatised passage are in ``q_features``."""
 
 from __future__ import annotations
 
@@ -8,12 +9,11 @@ from . import catalog as C
 from . import sqlparts as S
 from . import views as V
 from .registry import register
-from .q_lexicon import ENTITY_MENTION_SQL, entity_mentions
+from .q_lexicon import ENTITY_MENTION_SQL
 from ..functions import text as X
-from ..operators import articles as AR
 from ..operators import rules as RU
 
-ART, PR = S.ART, S.PASSAGE_ROWS
+ART = S.ART
 
 
 def cond_sql(x: str, rule: dict, mask_sql: str) -> str:
@@ -48,36 +48,6 @@ def rule_sql(rule: dict) -> str:
     return f"CAST({e} AS INTEGER)"
 
 
-def group_sql(ids) -> str:
-    cols = ", ".join(f"{rule_sql(r)} AS {r['rule_id']}" for r in RU.rules_by_id(ids))
-    return S.with_(ART, PR) + f"""
-SELECT a.article_id, {cols}
-FROM art a LEFT JOIN psent p ON p.article_id = a.article_id
-GROUP BY a.article_id"""
-
-
-def rule_frame(spark, d, ids):
-    a = AR.entity_passage(V.articles(spark, d))
-    rules = RU.rules_by_id(ids)
-    if any(r.get("min_entities") is not None for r in rules):
-        a = a.withColumn("_low", F.lower("text")).withColumn("n_entities", entity_mentions(F.col("_low"), F.col("stem"))).drop("_low")
-    return a.select("article_id", *[RU.compile_rule(r).alias(r["rule_id"]) for r in rules])
-
-
-def _make(key):
-    ids = C.RULE_GROUPS[key]
-
-    def fn(spark, d):
-        return rule_frame(spark, d, ids)
-
-    fn.__name__ = key
-    register(key, sql=group_sql(ids))(fn)
-
-
-for _k in C.RULE_GROUPS:
-    _make(_k)
-
-
 def _w(name):
     return f"regexp_matches(a.text, {S.q(S.prefix_rx(C.INTERVIEW_WORDS[name]))})"
 

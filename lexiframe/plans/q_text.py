@@ -78,16 +78,6 @@ def lemma_map(spark, d):
     return docs.select("doc_id", F.array_join(AR.lemmatize(AR.clean_tokens(F.col("text"))), " ").alias("lemma_text"))
 
 
-@register("punct_features", sql=f"""
-SELECT doc_id, length(text) - length(replace(text, '!', '')) AS excl,
-       length(text) - length(replace(text, ',', '')) AS comma,
-       round(CAST(length(text) - length(replace(text, ',', '')) AS DOUBLE) / nullif(len({S.space_tokens_sql('text')}), 0), 6) AS comma_per_word
-FROM documents""")
-def punct_features(spark, d):
-    docs = V.table(spark, d, "documents")
-    return docs.select("doc_id", *[c.alias(k) for k, c in AR.punct_features(F.col("text")).items()])
-
-
 _RAW_SQL = """len(string_split(text, ' ')) AS words, length(text) AS chars, len(string_split(text, '.')) AS sents,
        round(CAST(length(text) AS DOUBLE) / nullif(len(string_split(text, ' ')), 0), 6) AS avg_word,
        round(CAST(len(string_split(text, ' ')) AS DOUBLE) / nullif(len(string_split(text, '.')), 0), 6) AS avg_sent"""
@@ -97,27 +87,3 @@ _RAW_SQL = """len(string_split(text, ' ')) AS words, length(text) AS chars, len(
 def length_raw(spark, d):
     docs = V.table(spark, d, "documents")
     return docs.select("doc_id", *[c.alias(k) for k, c in AR.length_raw(F.col("text")).items()])
-
-
-@register("length_narrow", sql=f"""
-SELECT doc_id, len(t) AS n_words, length(array_to_string(t, ' ')) AS n_chars,
-       round(CAST(length(array_to_string(t, ' ')) AS DOUBLE) / nullif(len(t), 0), 6) AS n_avg_word
-FROM (SELECT doc_id, {_clean_sql('text')} AS t FROM documents)""")
-def length_narrow(spark, d):
-    docs = V.table(spark, d, "documents").select("doc_id", AR.clean_tokens(F.col("text")).alias("t"))
-    return docs.select("doc_id", *[c.alias(k) for k, c in AR.length_narrow(F.col("t")).items()])
-
-
-@register("poly_features", sql="""
-SELECT doc_id, CAST(w AS BIGINT) * w AS p_words, CAST(c AS BIGINT) * c AS p_chars, CAST(s AS BIGINT) * s AS p_sents,
-       round((CAST(c AS DOUBLE) / nullif(w, 0)) * (CAST(c AS DOUBLE) / nullif(w, 0)), 6) AS p_avg_word,
-       round((CAST(w AS DOUBLE) / nullif(s, 0)) * (CAST(w AS DOUBLE) / nullif(s, 0)), 6) AS p_avg_sent
-FROM (SELECT doc_id, len(string_split(text, ' ')) AS w, length(text) AS c, len(string_split(text, '.')) AS s FROM documents)""")
-def poly_features(spark, d):
-    docs = V.table(spark, d, "documents")
-    w = F.size(F.split("text", " ")).cast("bigint")
-    c = F.length("text").cast("bigint")
-    s = F.size(F.split("text", r"\.")).cast("bigint")
-    aw, as_ = X.safe_div(c, w), X.safe_div(w, s)
-    return docs.select("doc_id", (w * w).alias("p_words"), (c * c).alias("p_chars"), (s * s).alias("p_sents"),
-                       X.r6(aw * aw).alias("p_avg_word"), X.r6(as_ * as_).alias("p_avg_sent"))

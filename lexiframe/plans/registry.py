@@ -18,7 +18,7 @@ def register(key: str, sql: str | None = None):
 
 
 MODULES = ["q_corpus", "q_text", "q_lexicon", "q_rules", "q_panel", "q_keystrokes", "q_filings",
-           "q_answers", "q_models", "q_scalars"]
+           "q_answers", "q_features", "q_models", "q_scalars"]
 
 
 def load_all() -> dict[str, tuple[Callable, str | None]]:
