@@ -50,10 +50,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, name: str, partition_by: Sequence[str] = (), fmt: str = "parquet",
-                path: str | None = None) -> str:
+                path: str | None = None, **options) -> str:
     """Write (overwrite) and return the path; parents are created by the writer."""
     path = path or table_dir(df.sparkSession, name)
-    w = df.write.mode("overwrite").format(fmt)
+    w = df.write.mode("overwrite").format(fmt).options(**options)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
