@@ -19,8 +19,6 @@ from . import models as M
 from ..functions import text as X
 from ..sources import tables as TB
 
-NUMERIC = ["excl", "comma", "words", "chars", "sents"]
-
 
 def threshold(df: DataFrame, prob: str, cut: float = 0.5) -> DataFrame:
     """Class 1 when probability >= cut; the probability is kept only for class 1."""
@@ -42,18 +40,21 @@ def anova_f(long: DataFrame, feature: str, label: str, x: str) -> DataFrame:
     return out.select(feature, X.r6(F.col("msb") / F.col("msw")).alias("f_score"))
 
 
+def model_frame(spark, d, articles: DataFrame) -> DataFrame:
+    """article_id, label, the lemmatised passage as ``text``, and the feature frame as doubles (0 where a ratio
+    has no denominator)."""
+    from ..plans import q_features as QF
+    cols = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c, _ in QF.all_features()]
+    return QF.chain(spark, d, articles).select("article_id", F.col("label").cast("double").alias("label"), F.col("lemma_text").alias("text"), *cols)
+
+
 def labeled_frame(spark, d) -> DataFrame:
     from ..plans import views as V
-    a = V.articles(spark, d).filter(F.col("label").isNotNull())
-    t = F.col("text")
-    return a.select("article_id", F.col("label").cast("double").alias("label"), "text",
-                    X.count_char(t, "!").cast("double").alias("excl"), X.count_char(t, ",").cast("double").alias("comma"),
-                    F.size(F.split(t, " ")).cast("double").alias("words"), F.length(t).cast("double").alias("chars"),
-                    F.size(F.split(t, r"\.")).cast("double").alias("sents"))
+    return model_frame(spark, d, V.labelled_articles(spark, d).filter(F.col("label").isNotNull()))
 
 
 def fit_features(lab: DataFrame, top_k: int = 1000) -> PipelineModel:
-    """tokens -> uni+bi-grams -> counts (df 0.5 %..70 %, no cap on terms) x smooth idf + 1 -> L2 -> + numeric ->
+    """lemmas -> uni+bi-grams -> counts (df 0.5 %..70 %, no cap on terms) x smooth idf + 1 -> L2 -> + numeric ->
     top-k F test."""
     counts = Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="tok", pattern=M.TOKEN_RX, gaps=False, toLowercase=True),
@@ -66,7 +67,7 @@ def fit_features(lab: DataFrame, top_k: int = 1000) -> PipelineModel:
     rest = Pipeline(stages=[
         ElementwiseProduct(inputCol="tf", outputCol="weighted", scalingVec=Vectors.dense(idf.idf.toArray() + 1.0)),
         Normalizer(inputCol="weighted", outputCol="tfidf", p=2.0),
-        VectorAssembler(inputCols=["tfidf", *NUMERIC], outputCol="raw"),
+        VectorAssembler(inputCols=["tfidf", *[c for c in lab.columns if c not in ("article_id", "label", "text")]], outputCol="raw"),
         UnivariateFeatureSelector(featuresCol="raw", outputCol="features", labelCol="label",
                                   selectionMode="numTopFeatures").setFeatureType("continuous")
         .setLabelType("categorical").setSelectionThreshold(top_k),
@@ -257,12 +258,7 @@ def score_corpus(spark, d) -> DataFrame:
     lab = labeled_frame(spark, d)
     feats = fit_features(lab)
     model = rf_base().fit(TB.stored(with_weights(feats.transform(lab).select("article_id", "label", "features")), "training-vectors"))
-    a = V.articles(spark, d)
-    t = F.col("text")
-    allf = a.select("article_id", F.coalesce(F.col("label"), F.lit(0)).cast("double").alias("label"), "text",
-                    X.count_char(t, "!").cast("double").alias("excl"), X.count_char(t, ",").cast("double").alias("comma"),
-                    F.size(F.split(t, " ")).cast("double").alias("words"), F.length(t).cast("double").alias("chars"),
-                    F.size(F.split(t, r"\.")).cast("double").alias("sents"))
+    allf = model_frame(spark, d, V.labelled_articles(spark, d).na.fill({"label": 0}))
     pred = model.transform(feats.transform(allf))
     p1 = vector_to_array("probability")[1]
     return pred.select("article_id", (p1 > 0.5).cast("int").alias("predicted"),

@@ -45,12 +45,12 @@ def month_index(month: Column) -> Column:
 
 def panel(df: DataFrame, period: str, measures: Sequence[str], entity: str = "entity", date: str = "date",
           source_filter: Column | None = None) -> DataFrame:
-    """(year, quarter|month, entity) -> total_articles + sum of every measure column."""
+    """(year, quarter|month, entity) -> total_articles + sum of every measure column, in that order."""
     if source_filter is not None:
         df = df.filter(source_filter)
     keys = [F.year(date).alias("year"), PERIODS[period](date).alias(period), F.col(entity)]
     aggs = [F.count(F.lit(1)).alias("total_articles")] + [F.sum(m).cast("bigint").alias(m) for m in measures]
-    return df.groupBy(*keys).agg(*aggs)
+    return df.groupBy(*keys).agg(*aggs).orderBy("year", period, entity)
 
 
 def density_histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
@@ -79,6 +79,3 @@ def gap_filled_counts(spine: DataFrame, events: DataFrame, keys: Sequence[str])
     counts = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
     return spine.join(counts, list(keys), "left").withColumn("hits", F.coalesce("_c", F.lit(0))).drop("_c")
 
-
-__all__ = ["panel", "density_histogram", "month_spine", "tenure", "tenure_spine", "month_index",
-           "gap_filled_counts", "CO"]

@@ -70,23 +70,23 @@ def sink_table(spark, d):
 
 @register("project_cols", sql=S.with_(ART) + "SELECT article_id, entity, date, publisher FROM art")
 def project_cols(spark, d):
-    return V.articles(spark, d).drop("text", "lang", "stem", "label", "appointment", "entity_key", "region")
+    return V.articles(spark, d).drop("text", "lang", "stem", "entity_key", "region")
 
 
 @register("drop_missing", sql=S.with_(ART) + "SELECT article_id, label FROM art WHERE text IS NOT NULL AND label IS NOT NULL")
 def drop_missing(spark, d):
-    return V.articles(spark, d).dropna(subset=["text", "label"]).select("article_id", "label")
+    return V.labelled_articles(spark, d).dropna(subset=["text", "label"]).select("article_id", "label")
 
 
 @register("fill_missing", sql=S.with_(ART) + "SELECT article_id, coalesce(label, 0) AS label FROM art")
 def fill_missing(spark, d):
-    return V.articles(spark, d).fillna({"label": 0}).select("article_id", "label")
+    return V.labelled_articles(spark, d).fillna({"label": 0}).select("article_id", "label")
 
 
 @register("relabel_second_pass", sql=S.with_(ART) + """
 SELECT article_id, CASE WHEN appointment IN (0, 1) THEN appointment ELSE label END AS label FROM art""")
 def relabel_second_pass(spark, d):
-    a = V.articles(spark, d)
+    a = V.labelled_articles(spark, d)
     return a.select("article_id", F.when(F.col("appointment").isin(0, 1), F.col("appointment"))
                     .otherwise(F.col("label")).alias("label"))
 
@@ -94,7 +94,7 @@ def relabel_second_pass(spark, d):
 @register("implied_label", sql=S.with_(ART) + """
 SELECT article_id, CASE WHEN appointment = 1 THEN 1 ELSE label END AS label FROM art""")
 def implied_label(spark, d):
-    a = V.articles(spark, d)
+    a = V.labelled_articles(spark, d)
     return a.select("article_id", F.when(F.col("appointment") == 1, F.lit(1)).otherwise(F.col("label")).alias("label"))
 
 

@@ -45,9 +45,12 @@ feat AS (SELECT *, list_distinct(tok || list_transform(range(1, len(tok)), lambd
          string_split(lemma_text, '.') AS lemma_sents FROM chain)"""
 
 
-def chain(spark, d) -> DataFrame:
-    """article_id, entity, region, stem, text, passage, sentlength and what the steps make of the passage."""
-    a = AR.entity_passage(V.articles(spark, d)).select("article_id", "entity", "region", "stem", "text", "passage", "sentlength")
+def chain(spark, d, articles: DataFrame | None = None) -> DataFrame:
+    """article_id, entity, region, stem, text, passage, sentlength and what the steps make of the passage; and the
+    label, if the articles have one."""
+    a = AR.entity_passage(V.articles(spark, d) if articles is None else articles)
+    kept = ["article_id", "entity", "region", "stem", "text", "passage", "sentlength", "label"]
+    a = a.select(*[c for c in kept if c in a.columns])
     a = a.withColumn("lem", AR.lemmatize(AR.clean_tokens(F.col("passage"))))
     a = a.withColumn("lemma_text", F.array_join("lem", " ")).withColumn("n_lem", F.size("lem")).drop("lem")
     a = a.withColumn("tok", X.word_tokens(F.col("lemma_text"))).withColumn("ptok", X.word_tokens(F.col("passage")))

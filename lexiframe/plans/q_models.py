@@ -53,7 +53,7 @@ lab AS (SELECT article_id, label FROM art WHERE label IS NOT NULL)"""
 
 
 def labeled(spark, d):
-    return V.articles(spark, d).filter(F.col("label").isNotNull()).select("article_id", "label", "text")
+    return V.labelled_articles(spark, d).filter(F.col("label").isNotNull()).select("article_id", "label", "text")
 
 
 @register("balanced_weights", sql=LABELED_SQL + """
@@ -77,7 +77,7 @@ sc AS (SELECT a.article_id, a.label, CAST(p.sentlength AS DOUBLE) / (p.sentlengt
 
 def scores(spark, d):
     from ..operators import articles as AR
-    a = AR.entity_passage(V.articles(spark, d))
+    a = AR.entity_passage(V.labelled_articles(spark, d))
     return a.select("article_id", "label", (F.col("sentlength").cast("double") / (F.col("sentlength") + 1)).alias("probability"))
 
 

@@ -17,18 +17,19 @@ from ..operators import rules as RU
 
 ART, PR = S.ART, S.PASSAGE_ROWS
 HOS, STC = RU.rules_by_id(["head_of_state", "state_council"])
-MEASURES = ["head_of_state", "state_council", "sentlength", "excl"]
+MEASURES = ["head_of_state", "state_council", "meeting", "sentlength", "excl", "comma"]
 
 
 def scored_articles(spark, d):
     """Deduplicated articles with passage, two rules, exclamation count and publisher-list flags."""
     a = V.articles(spark, d)
-    keep = CO.dedupe_by(a.select("article_id", "text", "entity"), ["text", "entity"], ["article_id"])
+    keep = CO.dedupe_by(a.select("article_id", F.sha2("text", 256).alias("digest"), "entity"), ["digest", "entity"], ["article_id"])
     a = a.join(keep.select("article_id"), "article_id", "left_semi")
     a = AR.entity_passage(a)
     a = a.select("article_id", "entity", "date", "publisher", "sentlength",
                  RU.compile_rule(HOS).alias("head_of_state"), RU.compile_rule(STC).alias("state_council"),
-                 X.count_char(F.col("text"), "!").alias("excl"))
+                 (RU.any_word(F.col("text"), C.MEETING_RULE["names"]) & RU.any_word(F.col("text"), C.MEETING_RULE["title"])).cast("int").alias("meeting"),
+                 X.count_char(F.col("text"), "!").alias("excl"), X.count_char(F.col("text"), ",").alias("comma"))
     return CO.member_flags(a, "publisher", {"list_2010": C.PUBLISHERS_2010, "list_2012": C.PUBLISHERS_2012})
 
 
@@ -38,6 +39,9 @@ scored AS (
   SELECT a.article_id, any_value(a.entity) AS entity, any_value(a.date) AS date, any_value(a.publisher) AS publisher,
          any_value(ps.sentlength) AS sentlength, {rule_sql(HOS)} AS head_of_state, {rule_sql(STC)} AS state_council,
          any_value(length(a.text) - length(replace(a.text, '!', ''))) AS excl,
+         any_value(length(a.text) - length(replace(a.text, ',', ''))) AS comma,
+         CAST(any_value(regexp_matches(a.text, {S.q(S.prefix_rx(C.MEETING_RULE['names']))})
+              AND regexp_matches(a.text, {S.q(S.prefix_rx(C.MEETING_RULE['title']))})) AS INTEGER) AS meeting,
          CAST(any_value(a.publisher) IN ({', '.join(S.q(x) for x in C.PUBLISHERS_2010)}) AS INTEGER) AS list_2010,
          CAST(any_value(a.publisher) IN ({', '.join(S.q(x) for x in C.PUBLISHERS_2012)}) AS INTEGER) AS list_2012
   FROM art a JOIN keep USING (article_id) JOIN passage ps USING (article_id)
@@ -63,6 +67,16 @@ def panel_month(spark, d):
     return P.panel(scored_articles(spark, d), "month", MEASURES, source_filter=F.col("list_2010") == 1)
 
 
+@register("panel_month_all", sql=_panel_sql("month"))
+def panel_month_all(spark, d):
+    return P.panel(scored_articles(spark, d), "month", MEASURES)
+
+
+@register("panel_quarter_2010", sql=_panel_sql("quarter", "WHERE list_2010 = 1"))
+def panel_quarter_2010(spark, d):
+    return P.panel(scored_articles(spark, d), "quarter", MEASURES, source_filter=F.col("list_2010") == 1)
+
+
 @register("panel_quarter_2012", sql=_panel_sql("quarter", "WHERE list_2012 = 1"))
 def panel_quarter_2012(spark, d):
     return P.panel(scored_articles(spark, d), "quarter", MEASURES, source_filter=F.col("list_2012") == 1)
@@ -137,7 +151,7 @@ ev AS (SELECT a.article_id, any_value(a.label) AS label, {rule_sql(HOS)} AS pred
 
 
 def eval_frame(spark, d):
-    a = AR.entity_passage(V.articles(spark, d).filter(F.col("label").isNotNull()))
+    a = AR.entity_passage(V.labelled_articles(spark, d).filter(F.col("label").isNotNull()))
     return a.select("article_id", "label", RU.compile_rule(HOS).alias("prediction"))
 
 

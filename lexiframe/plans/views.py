@@ -38,7 +38,7 @@ def nations(spark, d) -> DataFrame:
 
 
 def articles(spark, d) -> DataFrame:
-    """One row per article: documents ⨝ orders ⨝ customer ⨝ nation ⨝ region, plus the two annotations.
+    """One row per article: documents ⨝ orders ⨝ customer ⨝ nation ⨝ region.
 
     documents.doc_id ⨝ orders.o_orderkey and orders ⨝ customer are shuffle joins at scale (AQE may
     turn a side into a broadcast at run time if its measured size is small); nation/region are broadcast.
@@ -46,13 +46,11 @@ def articles(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cust = table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    labels = table(spark, d, "labels").select("doc_id", "quality", "toxic")
     ent = nations(spark, d)
     return (
         docs.join(orders, docs.doc_id == orders.o_orderkey)
         .join(cust, orders.o_custkey == cust.c_custkey)
         .join(ent, cust.c_nationkey == ent.entity_key)
-        .join(labels, "doc_id", "left")
         .select(
             F.col("doc_id").alias("article_id"),
             "text",
@@ -63,12 +61,17 @@ def articles(spark, d) -> DataFrame:
             "region",
             "stem",
             F.to_date("o_orderdate").alias("date"),
-            F.col("quality").alias("label"),
-            F.col("toxic").alias("appointment"),
         )
     )
 
 
+def labelled_articles(spark, d) -> DataFrame:
+    """Articles with their two annotations (null where there is none)."""
+    labels = table(spark, d, "labels").select(
+        F.col("doc_id").alias("article_id"), F.col("quality").alias("label"), F.col("toxic").alias("appointment"))
+    return articles(spark, d).join(labels, "article_id", "left")
+
+
 def dated_articles(spark, d) -> DataFrame:
     """Articles whose text starts with a date header line, as the raw corpus files do."""
     a = articles(spark, d)
