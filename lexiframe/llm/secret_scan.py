@@ -144,12 +144,12 @@ class Field:
         if not found:
             return []
         own = [self.token(m[0]) for m in found]
-        around = {k: [[self.weights.get(f"at{d}={k}", ZERO) for d in OFFSETS]] for k in {k for _, k in own} | {"edge"}}
+        around = {k: [self.weights.get(f"at{d}={k}", ZERO) for d in OFFSETS] for k in {k for _, k in own} | {"edge"}}
         n, t, score, back = len(own), self.moves, None, []
         for i, (e, _) in enumerate(own):
             s = [e[y] + file[y] for y in (O, B, I)]
             for j, d in enumerate(OFFSETS):
-                row = around[own[i + d][1] if 0 <= i + d < n else "edge"][0][j]
+                row = around[own[i + d][1] if 0 <= i + d < n else "edge"][j]
                 s = [s[0] + row[0], s[1] + row[1], s[2] + row[2]]
             gap = self.weights.get(f"gap={i == 0 or found[i - 1].end() < found[i].start()}", ZERO)
             s = [s[0] + gap[0], s[1] + gap[1], s[2] + gap[2]]
