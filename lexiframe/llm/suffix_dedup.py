@@ -337,4 +337,19 @@ def op9_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {"op9_suffix_dedup": (op9_suffix_dedup, None)}
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM w),
+m AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM f WHERE k > 1),
+i AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM m),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY ALL),
+r AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM s),
+t AS (SELECT doc_id, CAST(sum(r.b - r.a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(r.b) AS last,
+             string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS kept FROM r JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+QUERIES = {"op9_suffix_dedup": (op9_suffix_dedup, SQL)}
