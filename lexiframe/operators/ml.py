@@ -44,7 +44,7 @@ def model_frame(spark, d, articles: DataFrame) -> DataFrame:
     """article_id, label, the lemmatised passage as ``text``, and the feature frame as doubles (0 where a ratio
     has no denominator)."""
     from ..plans import q_features as QF
-    cols = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c, _ in QF.all_features()]
+    cols = [F.coalesce(F.expr(c).cast("double"), F.lit(0.0)).alias(n) for n, c, _ in QF.all_features()]
     return QF.chain(spark, d, articles).select("article_id", F.col("label").cast("double").alias("label"), F.col("lemma_text").alias("text"), *cols)
 
 

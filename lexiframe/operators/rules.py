@@ -45,17 +45,6 @@ def compile_rule(rule: Mapping, sents: str = "passage_sents", text: str = "text"
     return flag.cast("int")
 
 
-def compile_on(rule: Mapping, sents: Column, text: Column, mask: str, n_entities: Column) -> Column:
-    """A rule over given sentences or text, where the mask is a token of theirs."""
-    if rule["scope"] == "sentence":
-        flag = F.exists(sents, lambda s: _cond(s, rule, s.contains(mask)))
-    else:
-        flag = _cond(text, rule, text.contains(mask))
-    if rule.get("min_entities") is not None:
-        flag = flag & (n_entities > rule["min_entities"])
-    return flag.cast("int")
-
-
 def rules_by_id(ids):
     by = {r["rule_id"]: r for r in C.RULES}
     return [by[i] for i in ids]

@@ -1,12 +1,12 @@
 """The article feature frame (I25) and its groups (I6, I8-I13), all from one chain: entity passage -> cleaned
-tokens -> lemmas. A feature is a pair: a column expression and the SQL that states the same thing.
+tokens -> lemmas.
 
 Polarity, entity types and punctuation are read from the passage; lexicons, tags, narrow lengths and rules from
 the cleaned, lemmatised passage; wide lengths from the whole article."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import catalog as C
@@ -15,7 +15,6 @@ from . import views as V
 from .registry import register
 from ..functions import text as X
 from ..operators import articles as AR
-from ..operators import lexicon as LX
 from ..operators import rules as RU
 
 N_MAX = 2
@@ -59,143 +58,147 @@ def chain(spark, d, articles: DataFrame | None = None) -> DataFrame:
     return a.withColumn("grams", X.ngrams_upto(F.col("tok"), N_MAX)).withColumn("lemma_sents", F.split("lemma_text", r"\."))
 
 
-def ratio(a: Column, b: Column) -> Column:
-    return X.r6(X.safe_div(a, b))
+# A feature is (name, Spark SQL, DuckDB SQL). Both are texts, so that the queries can be listed without a session.
+Feature = tuple[str, str, str]
 
 
-def ratio_sql(a: str, b: str) -> str:
-    return f"round(CAST({a} AS DOUBLE) / nullif({b}, 0), 6)"
+def lit(s: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-Feature = tuple[str, Column, str]
-col = F.col
+def arr(items) -> str:
+    return "array(" + ", ".join(map(lit, items)) + ")"
+
+
+def ratio(name: str, a: tuple[str, str], b: tuple[str, str]) -> Feature:
+    return (name, f"round(try_divide(cast({a[0]} as double), cast({b[0]} as double)), 6)", f"round(CAST({a[1]} AS DOUBLE) / nullif({b[1]}, 0), 6)")
+
+
+def flag(name: str, n: tuple[str, str]) -> Feature:
+    return name, f"cast(({n[0]}) > 0 as int)", f"CAST(({n[1]}) > 0 AS INTEGER)"
+
+
+def same(text: str) -> tuple[str, str]:
+    return text, text
+
+
+N_LEM = same("n_lem")
 
 
 def length_raw() -> list[Feature]:
-    return [("words", col("w"), "w"), ("chars", col("c"), "c"), ("sents", col("s"), "s"),
-            ("avg_word", ratio(col("c"), col("w")), ratio_sql("c", "w")), ("avg_sent", ratio(col("w"), col("s")), ratio_sql("w", "s"))]
+    return [("words", "w", "w"), ("chars", "c", "c"), ("sents", "s", "s"),
+            ratio("avg_word", same("c"), same("w")), ratio("avg_sent", same("w"), same("s"))]
 
 
 def length_narrow() -> list[Feature]:
-    chars = F.length("lemma_text")
-    return [("n_words", col("n_lem"), "n_lem"), ("n_chars", chars, "length(lemma_text)"),
-            ("n_avg_word", ratio(chars, col("n_lem")), ratio_sql("length(lemma_text)", "n_lem"))]
+    chars = same("length(lemma_text)")
+    return [("n_words", "n_lem", "n_lem"), ("n_chars", *chars), ratio("n_avg_word", chars, N_LEM)]
 
 
 def punctuation() -> list[Feature]:
-    def count(ch):
-        return X.count_char(col("passage"), ch), f"(length(passage) - length(replace(passage, '{ch}', '')))"
-
-    (excl, excl_sql), (comma, comma_sql) = count("!"), count(",")
-    return [("excl", excl, excl_sql), ("comma", comma, comma_sql), ("comma_per_word", ratio(comma, col("n_lem")), ratio_sql(comma_sql, "n_lem"))]
+    excl, comma = (same(f"(length(passage) - length(replace(passage, '{ch}', '')))") for ch in "!,")
+    return [("excl", *excl), ("comma", *comma), ratio("comma_per_word", comma, N_LEM)]
 
 
-def lexicon_count(category: str) -> tuple[Column, str]:
+def lexicon_count(category: str) -> tuple[str, str]:
     """Distinct terms of a category in the lemmas: anywhere in the text, or as whole words."""
     terms = terms_of(category)
     if category in SUBSTRING:
-        return (F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: col("lemma_text").contains(t))),
+        return (f"size(filter({arr(terms)}, t -> contains(lemma_text, t)))",
                 f"len(list_filter({S.str_list(terms)}, lambda t: contains(lemma_text, t)))")
-    return LX.term_counts(col("grams"), terms), f"len(list_intersect(grams, {S.str_list(terms)}))"
+    return f"size(array_intersect(grams, {arr(terms)}))", f"len(list_intersect(grams, {S.str_list(terms)}))"
 
 
-def other_capitals() -> tuple[Column, str]:
+def other_capitals() -> tuple[str, str]:
     caps = sorted(t for _, t in C.REGION_CAPITALS if t not in C.AMBIGUOUS_TERMS)
-    own = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in C.REGION_CAPITALS for x in p]), col("region")), F.lit(""))
-    n = F.size(F.filter(F.array_intersect(col("tok"), F.array(*[F.lit(t) for t in caps])), lambda t: t != own))
-    own_sql = "CASE region " + " ".join(f"WHEN {S.q(r)} THEN {S.q(t)}" for r, t in C.REGION_CAPITALS) + " ELSE '' END"
-    n_sql = f"len(list_filter(list_intersect(list_distinct(tok), {S.str_list(caps)}), lambda t: t <> {own_sql}))"
-    entities = ", ".join(S.q(e) for e in C.AMBIGUOUS_ENTITIES)
-    return (F.when(col("entity").isin(*C.AMBIGUOUS_ENTITIES), F.lit(0)).otherwise(n),
-            f"CASE WHEN entity IN ({entities}) THEN 0 ELSE {n_sql} END")
+    cases = " ".join(f"WHEN {S.q(r)} THEN {S.q(t)}" for r, t in C.REGION_CAPITALS)
+    own = f"CASE region {cases} ELSE '' END"
+    skip = f"CASE WHEN entity IN ({', '.join(S.q(e) for e in C.AMBIGUOUS_ENTITIES)}) THEN 0 ELSE "
+    return (f"{skip} size(filter(array_intersect(tok, {arr(caps)}), t -> t <> {own})) END",
+            f"{skip} len(list_filter(list_intersect(list_distinct(tok), {S.str_list(caps)}), lambda t: t <> {own})) END")
 
 
 def lexicons() -> list[Feature]:
     out = []
-    for name, (n, sql) in [*((c, lexicon_count(c)) for c in C.LEXICON_CATEGORIES), ("other_capital", other_capitals())]:
-        out += [(f"{name}_count", n, sql), (f"{name}_share", ratio(n, col("n_lem")), ratio_sql(sql, "n_lem")),
-                (f"{name}_flag", (n > 0).cast("int"), f"CAST({sql} > 0 AS INTEGER)")]
+    for name, n in [*((c, lexicon_count(c)) for c in C.LEXICON_CATEGORIES), ("other_capital", other_capitals())]:
+        out += [(f"{name}_count", *n), ratio(f"{name}_share", n, N_LEM), flag(f"{name}_flag", n)]
     return out
 
 
-def hits(tokens: str, terms: list[str]) -> tuple[Column, str]:
-    return LX.token_hits(col(tokens), terms), f"len(list_filter({tokens}, lambda x: list_contains({S.str_list(sorted(set(terms)))}, x)))"
+def hits(tokens: str, terms) -> tuple[str, str]:
+    terms = sorted(set(terms))
+    return (f"size(filter({tokens}, x -> array_contains({arr(terms)}, x)))",
+            f"len(list_filter({tokens}, lambda x: list_contains({S.str_list(terms)}, x)))")
 
 
 def entity_types() -> list[Feature]:
-    out, total, total_sql = [], F.lit(0), "0"
+    out, counts, sents = [], [], same("sentlength")
     for ty in C.ENTITY_TYPES:
-        n, sql = hits("ptok", [w for w, t in C.GAZETTEER if t == ty])
-        total, total_sql = total + n, f"{total_sql} + {sql}"
-        out += [(f"{ty.lower()}_count", n, sql), (f"{ty.lower()}_per_sentence", ratio(n, col("sentlength")), ratio_sql(sql, "sentlength")),
-                (f"{ty.lower()}_flag", (n > 0).cast("int"), f"CAST({sql} > 0 AS INTEGER)")]
-    return out + [("all_count", total, f"({total_sql})"), ("all_per_sentence", ratio(total, col("sentlength")), ratio_sql(f"({total_sql})", "sentlength")),
-                  ("all_flag", (total > 0).cast("int"), f"CAST(({total_sql}) > 0 AS INTEGER)")]
+        n = hits("ptok", [w for w, t in C.GAZETTEER if t == ty])
+        counts.append(n)
+        out += [(f"{ty.lower()}_count", *n), ratio(f"{ty.lower()}_per_sentence", n, sents), flag(f"{ty.lower()}_flag", n)]
+    total = tuple("(" + " + ".join(c[i] for c in counts) + ")" for i in (0, 1))
+    return out + [("all_count", *total), ratio("all_per_sentence", total, sents), flag("all_flag", total)]
 
 
 def polarity() -> list[Feature]:
-    parts = {}
+    """Shares, capped; nothing for an empty passage (the smaller of nothing and a cap would be the cap)."""
+    parts = []
     for kind in ("positive", "negative"):
-        n, sql = hits("ptok", [w for k, w in C.POLARITY if k == kind])
-        parts[kind] = (F.least(X.safe_div(n, F.size("ptok")), F.lit(0.3)), f"least(CAST({sql} AS DOUBLE) / nullif(len(ptok), 0), 0.3)")
-    neutral = 1 - parts["positive"][0] - parts["negative"][0], f"1 - {parts['positive'][1]} - {parts['negative'][1]}"
-    has = F.size("ptok") > 0  # the smaller of nothing and a cap is the cap
-    return [(k, X.r6(F.when(has, c)), f"round(CASE WHEN len(ptok) > 0 THEN {q} END, 6)") for k, (c, q) in {**parts, "neutral": neutral}.items()]
+        n = hits("ptok", [w for k, w in C.POLARITY if k == kind])
+        parts.append((kind, f"least(try_divide(cast({n[0]} as double), size(ptok)), 0.3D)", f"least(CAST({n[1]} AS DOUBLE) / nullif(len(ptok), 0), 0.3)"))
+    parts.append(("neutral", *(f"1 - {parts[0][i]} - {parts[1][i]}" for i in (1, 2))))
+    return [(k, f"round(CASE WHEN size(ptok) > 0 THEN {c} END, 6)", f"round(CASE WHEN len(ptok) > 0 THEN {q} END, 6)") for k, c, q in parts]
 
 
 def tag_shares() -> list[Feature]:
-    out = []
-    for tag in C.POS_TAG_SET:
-        n, sql = hits("tok", sorted({lemma_term(w) for w, t in C.POS_TAGS if t == tag}))
-        out.append((f"share_{tag.lower()}", ratio(n, F.size("tok")), ratio_sql(sql, "len(tok)")))
-    return out
+    return [ratio(f"share_{tag.lower()}", hits("tok", [lemma_term(w) for w, t in C.POS_TAGS if t == tag]), ("size(tok)", "len(tok)"))
+            for tag in C.POS_TAG_SET]
 
 
 def entities() -> list[Feature]:
-    n = F.size(F.filter(F.array(*[F.lit(s) for s in C.ENTITY_STEMS]), lambda s: (s != col("stem")) & col("lemma_text").contains(s)))
-    sql = f"len(list_filter({S.str_list(C.ENTITY_STEMS)}, lambda s: s <> stem AND contains(lemma_text, s)))"
-    return [("n_entities", n, sql), ("entities_share", ratio(n, col("n_lem")), ratio_sql(sql, "n_lem")),
-            ("entities_flag", (n > 0).cast("int"), f"CAST({sql} > 0 AS INTEGER)")]
+    n = (f"size(filter({arr(C.ENTITY_STEMS)}, s -> s <> stem AND contains(lemma_text, s)))",
+         f"len(list_filter({S.str_list(C.ENTITY_STEMS)}, lambda s: s <> stem AND contains(lemma_text, s)))")
+    return [("n_entities", *n), ratio("entities_share", n, N_LEM), flag("entities_flag", n)]
 
 
 def squares() -> list[Feature]:
     """Squares of two lexicon shares and counts, of the narrow word count and of the five wide lengths."""
     base = {n: (c, q) for n, c, q in [*lexicons(), *length_narrow(), *length_raw()]}
     names = ["representative_share", "representative_count", "federal_share", "federal_count", "n_words", "words", "chars", "sents", "avg_word", "avg_sent"]
-    return [(f"p_{n}", X.r6(base[n][0].cast("double") * base[n][0].cast("double")),
-             f"round(CAST({base[n][1]} AS DOUBLE) * CAST({base[n][1]} AS DOUBLE), 6)") for n in names]
-
-
-def rule_sql(rule: dict) -> str:
-    """A rule over the columns of ``feat``."""
-    make = S.word_rx if rule.get("whole") else S.prefix_rx
-
-    def cond(x):
-        parts = [f"regexp_matches({x}, {S.q(make([lemma_term(t) for t in rule[k]]))})" for k in ("any_of", "any_of2") if rule.get(k)]
-        parts += [f"regexp_matches({x}, {S.q(make(lemma_term(t)))})" for t in rule.get("all_of", [])]
-        if rule.get("none_of"):
-            parts.append(f"NOT regexp_matches({x}, {S.q(make([lemma_term(t) for t in rule['none_of']]))})")
-        if rule.get("proximity"):
-            a, b, n = rule["proximity"]
-            parts.append(f"regexp_matches({x}, {S.q(S.proximity_rx(lemma_term(a), lemma_term(b), n))})")
-        if rule.get("mask"):
+    return [(f"p_{n}", *(f"round(CAST({e} AS DOUBLE) * CAST({e} AS DOUBLE), 6)" for e in base[n])) for n in names]
+
+
+def rule(r: dict) -> Feature:
+    """A rule over the lemmatised passage, or over its sentences; the mask is a token of theirs."""
+    make = S.word_rx if r.get("whole") else S.prefix_rx
+
+    def cond(x, match):
+        parts = [match(x, make([lemma_term(t) for t in r[k]])) for k in ("any_of", "any_of2") if r.get(k)]
+        parts += [match(x, make(lemma_term(t))) for t in r.get("all_of", [])]
+        if r.get("none_of"):
+            parts.append("NOT " + match(x, make([lemma_term(t) for t in r["none_of"]])))
+        if r.get("proximity"):
+            a, b, n = r["proximity"]
+            parts.append(match(x, S.proximity_rx(lemma_term(a), lemma_term(b), n)))
+        if r.get("mask"):
             parts.append(f"contains({x}, {S.q(MASK)})")
-        return " AND ".join(parts) or "true"
+        return "(" + (" AND ".join(parts) or "true") + ")"
 
-    e = f"len(list_filter(lemma_sents, lambda x: {cond('x')})) > 0" if rule["scope"] == "sentence" else f"({cond('lemma_text')})"
-    if rule.get("min_entities") is not None:
-        e = f"({e} AND {entities()[0][2]} > {rule['min_entities']})"
-    return f"CAST({e} AS INTEGER)"
+    spark = (lambda x, p: f"regexp_like({x}, {lit(p)})")
+    duck = (lambda x, p: f"regexp_matches({x}, {S.q(p)})")
+    if r["scope"] == "sentence":
+        e = [f"exists(lemma_sents, x -> {cond('x', spark)})", f"len(list_filter(lemma_sents, lambda x: {cond('x', duck)})) > 0"]
+    else:
+        e = [cond("lemma_text", spark), cond("lemma_text", duck)]
+    if r.get("min_entities") is not None:
+        e = [f"({x} AND {n} > {r['min_entities']})" for x, n in zip(e, entities()[0][1:])]
+    return r["rule_id"], f"cast({e[0]} as int)", f"CAST({e[1]} AS INTEGER)"
 
 
 def rules(ids) -> list[Feature]:
-    out = []
-    for r in RU.rules_by_id(ids):
-        r = {k: [lemma_term(t) for t in v] if k in ("any_of", "any_of2", "all_of", "none_of") else v for k, v in r.items()}
-        if r.get("proximity"):
-            r["proximity"] = (*map(lemma_term, r["proximity"][:2]), r["proximity"][2])
-        out.append((r["rule_id"], RU.compile_on(r, col("lemma_sents"), col("lemma_text"), MASK, entities()[0][1]), rule_sql(r)))
-    return out
+    return [rule(r) for r in RU.rules_by_id(ids)]
 
 
 GROUPS = {
@@ -211,14 +214,14 @@ def select_sql(features: list[Feature]) -> str:
 
 def _register(key, features):
     def fn(spark, d):
-        return chain(spark, d).select("article_id", *[c.alias(n) for n, c, _ in features])
+        return chain(spark, d).select("article_id", *[F.expr(c).alias(n) for n, c, _ in features])
 
     fn.__name__ = key
     register(key, sql=select_sql(features))(fn)
 
 
 def all_features() -> list[Feature]:
-    return [("sentlength", col("sentlength"), "sentlength"), *length_raw(), *length_narrow(), *punctuation(), *squares(), *lexicons(),
+    return [("sentlength", "sentlength", "sentlength"), *length_raw(), *length_narrow(), *punctuation(), *squares(), *lexicons(),
             *entity_types(), *polarity(), *tag_shares(), *entities(), *rules([r["rule_id"] for r in C.RULES])]
 
 
