@@ -26,13 +26,13 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: later jobs start from the
     files (a lost executor costs nothing) and the planner knows the table's true size."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(write_table(df, name))
+    return spark.read.schema(df.schema).parquet(write_table(df, name, **options))
 
 
 _sent: set[str] = set()
@@ -83,6 +83,29 @@ def bit_is_set(bits: str, slot: str) -> Column:
         f" & shiftleft(1, cast(bitmap_bit_position({slot}) % 8 as int))) != 0, false)")
 
 
+def with_hit(df: DataFrame, keys: list[str], others: DataFrame, slots: int = 1 << 26) -> DataFrame:
+    """``df`` with a boolean ``__hit``: false only if its ``keys`` are no row of ``others`` (the same columns, by
+    position). Told by a broadcast bitmap of ``slots`` bits, so that only likely partners of a join shuffle."""
+    def slot(names):
+        return F.pmod(F.xxhash64(*names), F.lit(slots)) + 1
+
+    bits = stored(bitmap_of(others.select(slot(others.columns).alias("slot")).distinct()), "likely")
+    bits = F.broadcast(bits.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits")))
+    marked = df.withColumn("__slot", slot(keys))
+    return marked.join(bits, F.expr("bitmap_bucket_number(__slot)") == F.col("__bucket"), "left").withColumn(
+        "__hit", bit_is_set("__bits", "__slot")).drop("__slot", "__bucket", "__bits")
+
+
+def without(df: DataFrame, keys: list[str], gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``keys`` are no row of ``gone`` (the same columns, by position; nulls are equal)."""
+    gone = stored(gone.toDF(*[f"__g{i}" for i in range(len(keys))]).distinct(), "gone")
+    marked = with_hit(df, keys, gone)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__g{i}"))
+    return marked.where(~F.col("__hit")).unionByName(marked.where("__hit").join(gone, same, "left_anti")).drop("__hit")
+
+
 def hash_sample(df: DataFrame, hash_col: str, n: int) -> DataFrame:
     """About ``n`` rows at most, those of the smallest values of a 64-bit hash column; all, if there are no more
     than ``n``. One count, and no sort, so nothing gathers that grows with the table."""

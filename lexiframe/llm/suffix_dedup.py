@@ -230,16 +230,16 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     names = ["h", "c", "id", "th", "start", "n", "at", "context"]
     found = stored(mapped(rows, candidates, f"h long, c long, id {kind}, th long, start long, n long, at long, context binary"),
-                   "suffix-contexts")
+                   "suffix-contexts", compression="zstd")  # neighbouring contexts overlap
     # equal contexts (by anchor and own hash, 128 bits) count once, at their first place
     distinct = stored(found.groupBy("h", "c").agg(F.min(F.struct("id", "th", "start")).alias("first"), F.min("at").alias("at")),
                       "suffix-distinct")
     first = distinct.select(F.col("h").alias("gh"), F.col("c").alias("gc"), "first")
     # a context that is all the same as an earlier one is all repeats
-    copies = found.select("h", "c", "id", "th", "start", "n").join(
+    copies = stored(found.select("h", "c", "id", "th", "start", "n").join(
         first, (F.col("h") == F.col("gh")) & (F.col("c") == F.col("gc"))).where(
         ~F.struct("id", "th", "start").eqNullSafe(F.col("first"))).select(
-        "id", "th", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))
+        "id", "th", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end")), "suffix-copies")
     groups = stored(distinct.groupBy("h").agg(F.count("*").alias("k"), F.min("at").alias("at"))
                     .where("k > 1 or at < 0").select(F.col("h").alias("kh"), "k"), "suffix-groups")
     # bytes are read for the first contexts of such groups; what a crowded slot lets through is only sorted in vain
