@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, stored, table
+from .common import mapped, stored, table, with_hit
 from .components import components
 from .decontaminate import Hashes, grams
 
@@ -111,8 +111,9 @@ def cell_links(sets, sigs: np.ndarray, sizes: np.ndarray, side: np.ndarray, band
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85,
                hashes: int = 128, band_rows: int = 5, miss: float = 1e-5, batch: int = 32,
-               chunk: int = 768) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``.
+               chunk: int = 768, with_hash: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept`` and, ``with_hash``, the
+    xxhash64 of the text as ``text_hash``.
 
     Documents are linked if 100 x shared shingles >= ``percent`` x all shingles of both; ``component_id`` is the
     smallest id that links reach, and ``kept`` says that the row has it. Null, empty and wordless texts have no
@@ -156,9 +157,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      .select(F.col("s.band").alias("bband"), F.col("s.h").alias("bh"), "m"), "near-buckets")
     met = stored(member.join(buckets, (F.col("band") == F.col("bband")) & (F.col("h") == F.col("bh"))).select(
         "key", "band", "h", F.ceil(F.col("m") / F.lit(chunk)).cast("int").alias("chunks")), "near-members")
-    asked = met.select("key").distinct().join(classes.select("key", "rep", "sig", "n"), "key").select(
-        "key", "sig", "n", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth"))
-    texts = stored(rows.join(asked, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")))
+    asked = stored(met.select("key").distinct().join(classes.select("key", "rep", "sig", "n"), "key").select(
+        "key", "sig", "n", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth")), "near-asked")
+    likely = with_hit(rows, ["id", "th"], asked.select("rid", "rth")).where("__hit").drop("__hit")
+    texts = stored(likely.join(asked, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")))
                    .select(F.col("key").alias("tkey"), "sig", "n", "text").dropDuplicates(["tkey"]), "near-texts")
     cells = (met.join(texts, F.col("key") == F.col("tkey"))
              .withColumn("c", F.pmod(F.xxhash64("key", "band"), F.col("chunks")).cast("int"))
@@ -208,13 +210,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of_class = stored(rooted.join(lowest, F.col("root") == F.col("lroot")).select(F.col("key").alias("ckey"), "component_id"),
                       "near-components")
     # rows without shingles need no class; a key of their own keeps them from meeting in one task
-    out = known.select("id", "n", F.coalesce(
+    out = known.select("id", "th", "n", F.coalesce(
         "key", F.concat_ws(":", F.lit("alone"), F.col("id").cast("string"), F.col("th").cast("string")).cast("binary")
     ).alias("key"))
     out = out.join(of_class, F.col("key") == F.col("ckey"), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("id").eqNullSafe(component).alias("kept"))
+                      F.col("id").eqNullSafe(component).alias("kept"), *[F.col("th").alias("text_hash")] * with_hash)
 
 
 def _pairs(links):
