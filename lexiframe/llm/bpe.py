@@ -116,7 +116,7 @@ class Automaton:
 class Codec:
     """Normaliser, word splitter, automaton and labels of one tokenizer file (BPE over byte symbols)."""
 
-    def __init__(self, path: str, cached_words: int = 400_000):
+    def __init__(self, path: str, cached_words: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -127,7 +127,6 @@ class Codec:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern).findall
-        self.newer = regex.compile(r"\p{Cn}").search  # characters that only a newer Unicode than Python's knows
         self.path, self.library = path, None
         self.automaton = Automaton({s: i for s, i in model["vocab"].items() if s not in self.special},
                                    [tuple(m) for m in model["merges"]], model["end_of_word_suffix"] or "")
@@ -155,7 +154,7 @@ class Codec:
     def _word(self, word: str) -> bytes:
         if len(self.cache) >= self.cached_words:
             self.cache.clear()
-            self.automaton.forget(20_000)
+            self.automaton.forget(5_000)
         spelled = "".join(map(self.symbols.__getitem__, word.encode()))
         got = np.array(self.automaton.encode(spelled), dtype="<u4").tobytes()
         if len(word) <= 64:
@@ -168,7 +167,7 @@ class Codec:
         for piece in self.split_special.split(text) if self.split_special else [text]:
             if piece in self.special:
                 out.append(np.uint32(self.special[piece]).tobytes())
-            elif not piece.isascii() and self.newer(piece):
+            elif not piece.isascii() and any(unicodedata.category(ch) == "Cn" for ch in set(piece)):
                 out += [np.array(self.automaton.encode(w), dtype="<u4").tobytes() for w in self._newer_words(piece)]
             else:
                 out += [cache.get(w) or word(w) for w in self.words(self.normalise(piece))]
