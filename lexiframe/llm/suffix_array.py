@@ -97,31 +97,60 @@ def _induce_by_entry(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int
     return np.array(sa, dtype=seeds.dtype)
 
 
+def _sort_substrings(t: np.ndarray, small: np.ndarray, places: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The substrings of ``size`` characters at ``places`` in order, and which of them equals the one before: whole
+    columns at a time, for those that are still tied. Of equal characters the larger suffix comes first."""
+    key = 2 * t.astype(np.int64) + small
+    first = key[places]
+    turn = np.argsort(first, kind="stable")
+    order, first = places[turn], first[turn]
+    same = np.append(False, first[1:] == first[:-1])
+    depth = 1
+    while True:
+        tied = same.copy()
+        tied[:-1] |= same[1:]
+        at = np.flatnonzero(tied)
+        at = at[size[order[at]] > depth]  # substrings that have ended alike are equal
+        if not len(at):
+            return order, same[1:]
+        group, items = np.cumsum(~same)[at], order[at]
+        column = key[items + depth]
+        turn = np.lexsort((column, group))
+        order[at], column, group = items[turn], column[turn], group[turn]
+        same[at] = np.append(False, (column[1:] == column[:-1]) & (group[1:] == group[:-1]))
+        depth += 1
+
+
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """Suffix array of ``t``: characters 0 to k - 1, of which 0 stands at the end and nowhere else.
 
-    Suffixes are classed as smaller or larger than the next; the leftmost smaller ones are sorted by inducing on
-    their substrings, named, and sorted as a shorter text if two names are equal; the others are induced from them.
+    Suffixes are classed as smaller or larger than the next; the leftmost smaller ones are sorted by their
+    substrings (by inducing; by columns if the alphabet is large), named, and sorted as a shorter text if two names
+    are equal; the others are induced from them.
     """
     if len(t) == 1:
         return np.zeros(1, dtype=np.int32)
     small = _types(t)
     leftmost = np.append(False, small[1:] & ~small[:-1])
     places = np.flatnonzero(leftmost).astype(np.int32)
-    induce = _induce_by_bucket if k <= SMALL_ALPHABET else _induce_by_entry
-    rough = induce(t, small, places[np.argsort(t[places], kind="stable")], k)
-    order = rough[leftmost[rough]]
     # substrings run to the next leftmost smaller suffix; equal ones get one name
     size = np.zeros(len(t), dtype=np.int32)
     size[places] = np.append(places[1:], len(t) - 1) - places + 1
-    a, b = order[:-1], order[1:]
-    same = size[a] == size[b]
-    open_, o = np.flatnonzero(same), 0
-    while len(open_):
-        open_ = open_[size[a[open_]] > o]
-        differ = t[a[open_] + o] != t[b[open_] + o]
-        same[open_[differ]] = False
-        open_, o = open_[~differ], o + 1
+    if k > SMALL_ALPHABET:
+        induce = _induce_by_entry
+        order, same = _sort_substrings(t, small, places, size)
+    else:
+        induce = _induce_by_bucket
+        rough = induce(t, small, places[np.argsort(t[places], kind="stable")], k)
+        order = rough[leftmost[rough]]
+        a, b = order[:-1], order[1:]
+        same = size[a] == size[b]
+        open_, o = np.flatnonzero(same), 0
+        while len(open_):
+            open_ = open_[size[a[open_]] > o]
+            differ = t[a[open_] + o] != t[b[open_] + o]
+            same[open_[differ]] = False
+            open_, o = open_[~differ], o + 1
     names = np.append(0, np.cumsum(~same))
     if names[-1] + 1 < len(order):
         name = np.zeros(len(t), dtype=np.int64)
