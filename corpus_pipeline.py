@@ -3,8 +3,7 @@
 toxicity -> exact duplicates -> near duplicates -> benchmark decontamination -> byte-pair encoding. All but the
 last return rows of ``documents`` as they came; the last returns what ``op10`` does for the rows that are left.
 Null and empty texts are ordinary rows: they are scored, all but one of a group of empty texts go, and they have
-no shingles, words or tokens. Rows that repeat an id share its decisions about near duplicates and
-contamination. Extra columns are carried along, whatever their names. Empty tables give empty results.
+no shingles, words or tokens. Rows that repeat an id and text share one decision. Extra columns are carried along, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiframe.llm.bpe import encode_documents, vocabulary_path
-from lexiframe.llm.common import stored, table
+from lexiframe.llm.common import stored, table, without
 from lexiframe.llm.decontaminate import decontaminate
 from lexiframe.llm.exact_dedup import exact_dedup
 from lexiframe.llm.near_dedup import near_dedup
@@ -33,25 +32,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[F.col(of.get(c, c)).alias(c) for c in docs.columns])
 
 
+def _drop(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows of an id and text hash in ``gone``; texts of few other rows move."""
+    return without(docs.withColumn("__hash", F.xxhash64("text")), ["doc_id", "__hash"], gone).select(*docs.columns)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row of the smallest id."""
-    inner = docs.select("doc_id", *[F.col(c).alias(f"__d{i}") for i, c in enumerate(_others(docs))])
-    of = dict(zip(_others(docs), inner.columns[1:]))
-    kept = exact_dedup(inner, text_col=of["text"], carry=list(of.values())).where("kept")
-    return kept.select(*[F.col(of.get(c, c)).alias(c) for c in docs.columns])
+    thin = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return _drop(docs, exact_dedup(thin, carry=["text_hash"]).where("not kept").select("doc_id", "text_hash"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id."""
-    stay = near_dedup(docs).where("kept").select(F.col("doc_id").alias("__stay"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+    return _drop(docs, near_dedup(docs, with_hash=True).where("not kept").select("doc_id", "text_hash"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth lies in benchmark windows."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), with_hash=True)
+    return _drop(docs, found.where("contaminated").select("doc_id", "text_hash"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

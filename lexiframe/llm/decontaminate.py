@@ -66,7 +66,8 @@ def slot_of(h: np.ndarray, slots: int) -> np.ndarray:
 def find_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text: str = "text", window: int = 13, k: int = 5,
                slots: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
-    """(documents, occurrences). Documents: ``row`` (a number of the row of ``docs``), ``id``, ``n_words``;
+    """(documents, occurrences). Documents: ``row`` (a number of the row of ``docs``), ``id``, ``th`` (xxhash64 of the
+    text), ``n_words``;
     occurrences: ``row``, ``start``, ``n`` (words), ``item``, one row for each place and item.
 
     Null or wordless texts have no words and no occurrences, in documents and items alike; null ids are kept.
@@ -111,7 +112,7 @@ def find_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 n_words, found = [], []
-                for text in part.column(2).to_pylist():
+                for text in part.column(3).to_pylist():
                     w = words_of(text)
                     n_words.append(len(w))
                     h = np.array([known[x] for x in w], dtype=np.uint64)
@@ -123,26 +124,27 @@ def find_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                             mine.append({"start": i, "n": size, "fp": int(fp[i].view(np.int64)), "gram": gram})
                     found.append(mine)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n_words, pa.int64()), pa.array(found, pa.list_(pa.struct(
+                    [part.column(0), part.column(1), part.column(2), pa.array(n_words, pa.int64()), pa.array(found, pa.list_(pa.struct(
                         [("start", pa.int32()), ("n", pa.int32()), ("fp", pa.int64()), ("gram", pa.string())])))],
-                    ["row", "id", "n_words", "windows"])
+                    ["row", "id", "th", "n_words", "windows"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
-                        F.col(text_col).cast("string").alias("text"))
-    scanned = stored(mapped(texts, doc_windows, f"row long, id {kind}, n_words long, "
+                        F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
+    scanned = stored(mapped(texts, doc_windows, f"row long, id {kind}, th long, n_words long, "
                                                 "windows array<struct<start:int,n:int,fp:long,gram:string>>"),
                      "decon-documents")
     hits = scanned.select("row", F.explode("windows").alias("w")).select("row", "w.*")
     want = wanted.select(F.col("item"), F.col("fp").alias("wfp"), F.col("gram").alias("wgram"))
     found = hits.join(want, (F.col("fp") == F.col("wfp")) & (F.col("gram") == F.col("wgram")))
-    return scanned.select("row", "id", "n_words"), found.select("row", "start", "n", "item")
+    return scanned.select("row", "id", "th", "n_words"), found.select("row", "start", "n", "item")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, share: int = 20, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+                  item_col: str = "item_id", item_text: str = "text", with_hash: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``
-    (a 1 / ``share`` of the words, and at least one, is inside an occurrence). See ``find_spans`` for nulls."""
+    (a 1 / ``share`` of the words, and at least one, is inside an occurrence) and, ``with_hash``, the xxhash64 of
+    the text as ``text_hash``. See ``find_spans`` for nulls."""
     rows, places = find_spans(docs, items, id_col, text_col, item_col, item_text)
     places = stored(places, "decon-places")
     spans = places.select("row", "start", (F.col("start") + F.col("n")).alias("end")).groupBy("row", "start").agg(
@@ -159,7 +161,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: int = 20, id_col: st
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"),
         F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("names", ","), F.lit("")), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))
+        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"), *[F.col("th").alias("text_hash")] * with_hash)
 
 
 def op5_decontaminate(spark, sf_dir):
