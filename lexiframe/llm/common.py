@@ -83,7 +83,7 @@ def bit_is_set(bits: str, slot: str) -> Column:
         f" & shiftleft(1, cast(bitmap_bit_position({slot}) % 8 as int))) != 0, false)")
 
 
-def with_hit(df: DataFrame, keys: list[str], others: DataFrame, slots: int = 1 << 26) -> DataFrame:
+def with_hit(df: DataFrame, keys: list[str], others: DataFrame, slots: int = 1 << 23) -> DataFrame:
     """``df`` with a boolean ``__hit``: false only if its ``keys`` are no row of ``others`` (the same columns, by
     position). Told by a broadcast bitmap of ``slots`` bits, so that only likely partners of a join shuffle."""
     def slot(names):
