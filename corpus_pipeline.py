@@ -44,8 +44,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id."""
-    return _drop(docs, near_dedup(docs, with_hash=True).where("not kept").select("doc_id", "text_hash"))
+    """Of each group of near duplicates (four fifths of their runs of five words or more) the document of the smallest id."""
+    return _drop(docs, near_dedup(docs, percent=80, with_hash=True).where("not kept").select("doc_id", "text_hash"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,5 +60,19 @@ def test_stages(spark, tmp_path):
     assert got(corpus_pipeline.run(spark, str(tmp_path)), *cols) == want(expected)
 
 
+def test_near_stage_links_from_four_fifths(spark):
+    def edited(*places):
+        words = prose(100, 7).split()
+        for p in places:
+            words[p] = f"edit{p}"
+        return " ".join(words)
+
+    rows = [(1, edited()), (2, edited(20, 60)), (3, edited(30, 50, 80))]  # 1 and 2 share 86 of 106, 1 and 3 share 81 of 111
+    assert [b[3] for b in brute_near(rows)] == [True, True, True]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = got(corpus_pipeline.drop_near_copies(spark, docs, ""), "doc_id")
+    assert left == want((r[0],) for r, b in zip(rows, brute_near(rows, 80)) if b[3]) == [(1,), (3,)]
+
+
 def test_queries_are_named():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))

@@ -77,7 +77,7 @@ def brute_contaminated(rows, items):
     return out
 
 
-def brute_near(rows):
+def brute_near(rows, percent=85):
     sets = []
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
@@ -92,7 +92,7 @@ def brute_near(rows):
     for x in range(len(rows)):
         for y in range(x):
             both = len(sets[x] & sets[y])
-            if both and 100 * both >= 85 * len(sets[x] | sets[y]):
+            if both and 100 * both >= percent * len(sets[x] | sets[y]):
                 parent[root(x)] = root(y)
     out = []
     for x, (i, _) in enumerate(rows):
