@@ -95,6 +95,26 @@ def boosted():
     return GBTClassifier(maxDepth=7, maxIter=100, weightCol="weight", seed=42)
 
 
+def forests():
+    """The reference's best-F1, best-precision and best-recall forests. Unlimited depth is MLlib's most, 30; its
+    ``min_samples_split`` has no counterpart."""
+    of = dict(weightCol="weight", seed=42)
+    return {
+        "best_f1": RandomForestClassifier(numTrees=2000, maxDepth=30, minInstancesPerNode=2, featureSubsetStrategy="sqrt", **of),
+        "best_precision": RandomForestClassifier(numTrees=2000, maxDepth=30, minInstancesPerNode=1, featureSubsetStrategy="sqrt", **of),
+        "best_recall": RandomForestClassifier(numTrees=400, maxDepth=10, minInstancesPerNode=4, featureSubsetStrategy="all", **of),
+    }
+
+
+def boosted_tenfold():
+    """The reference's boosted trees: its library's 100 rounds at rate 0.3, positives ten times as heavy."""
+    return GBTClassifier(maxDepth=7, maxIter=100, stepSize=0.3, weightCol="tenfold", seed=42)
+
+
+def with_tenfold(df: DataFrame) -> DataFrame:
+    return df.withColumn("tenfold", F.when(F.col("label") == 1, 10.0).otherwise(1.0))
+
+
 def _split(t: DataFrame, share: float = 0.1) -> tuple[DataFrame, DataFrame]:
     s = M.stratified_split(t, "label", "article_id", share, seed=42)
     return s.filter("is_test = 0").drop("is_test"), s.filter("is_test = 1").drop("is_test")
@@ -119,18 +139,12 @@ def fit_and_report(spark, d, est, name: str | None = None, boost: float = 1.0) -
 
 
 def rf_variants_report(spark, d) -> DataFrame:
-    """Best-F1, best-precision and best-recall forests (depth 'unlimited' capped at MLlib's 30)."""
-    variants = {
-        "best_f1": RandomForestClassifier(numTrees=2000, maxDepth=30, minInstancesPerNode=2,
-                                          featureSubsetStrategy="sqrt", weightCol="weight", seed=42),
-        "best_precision": RandomForestClassifier(numTrees=1000, maxDepth=8, weightCol="weight", seed=42),
-        "best_recall": RandomForestClassifier(numTrees=1000, maxDepth=4, minInstancesPerNode=5, weightCol="weight", seed=42),
-    }
-    t = training_frame(spark, d)
-    train, test = _split(t)
+    """The three tuned forests on a stratified 80/20 split."""
+    train, test = _split(training_frame(spark, d), 0.2)
     out = None
-    for name, est in variants.items():
-        r = report(est.fit(train).transform(test), name)
+    for name, est in forests().items():
+        pred = TB.stored(est.fit(train).transform(test).select("article_id", "label", "probability"), f"predictions-{name}")
+        r = report(pred, name)
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -144,19 +158,19 @@ def linear_report(spark, d) -> DataFrame:
     return report(svc.fit(train).transform(test), "linear_svc").unionByName(report(lr.fit(train).transform(test), "logistic"))
 
 
-def fold_col(df: DataFrame, k: int) -> DataFrame:
-    return df.withColumn("fold", (F.abs(F.xxhash64("article_id", F.lit(7))) % k).cast("int"))
+def fold_col(df: DataFrame, k: int, name: str = "fold", key: str = "article_id", seed: int = 7) -> DataFrame:
+    return df.withColumn(name, (F.abs(F.xxhash64(key, F.lit(seed))) % k).cast("int"))
 
 
-def base_models():
+def base_models(n: int):
+    """The reference's six base models for a fit on ``n`` rows, whose C = 1 is a penalty of 1 / n here. Forests
+    balance the classes, boosted trees weigh positives tenfold, linear models weigh all rows alike."""
     return {
-        "rf": RandomForestClassifier(numTrees=100, weightCol="weight", seed=42),
-        "gbt": GBTClassifier(maxIter=20, maxDepth=3, weightCol="weight", seed=42),
-        "lr": LogisticRegression(weightCol="weight", maxIter=50),
+        **forests(),
+        "boosted": boosted_tenfold(),
         "svc": Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled"),
-                                LinearSVC(featuresCol="scaled", weightCol="weight", maxIter=50)]),
-        "rf_shallow": RandomForestClassifier(numTrees=50, maxDepth=2, weightCol="weight", seed=7),
-        "lr_l2": LogisticRegression(weightCol="weight", regParam=0.1, maxIter=50),
+                                LinearSVC(featuresCol="scaled", regParam=1 / n)]),
+        "lr": LogisticRegression(regParam=1 / n, maxIter=100, standardization=False),
     }
 
 
@@ -165,31 +179,35 @@ def _score(model_pred: DataFrame) -> DataFrame:
     return model_pred.select("article_id", vector_to_array(raw)[1].alias("s"))
 
 
-def stacking_report(spark, d, k: int = 5) -> DataFrame:
-    """Out-of-fold scores of six base models (k fits each) become the features of a logistic
-    regression; evaluated on the stratified hold-out."""
-    t = training_frame(spark, d)
-    train, test = _split(t)
-    train = fold_col(train, k)
+def stacked(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
+    """``test`` with the probabilities of the stack: out-of-fold scores of the six base models over ``train`` (k
+    fits each, and one on all of it for ``test``) are the features of a logistic regression."""
+    train = TB.stored(fold_col(train, k, "inner", seed=8), "stack-rows")
+    sizes = {r["inner"]: r["count"] for r in train.groupBy("inner").count().collect()}  # k rows
+    n = sum(sizes.values())
+    names = list(base_models(n))
     oof, test_scores = None, None
-    for name, est in base_models().items():
-        parts = []
-        for f in range(k):
-            m = est.fit(train.filter(F.col("fold") != f))
-            parts.append(_score(m.transform(train.filter(F.col("fold") == f))).withColumnRenamed("s", name))
-        col = parts[0]
-        for p in parts[1:]:
-            col = col.unionByName(p)
-        col = TB.stored(col, f"fold-scores-{name}")  # else each join and each pass over it scores again
+    for name in names:
+        col = None
+        for f in sizes:
+            m = base_models(n - sizes[f])[name].fit(train.filter(F.col("inner") != f))
+            # written at once, else each join and each pass over it scores again, and all models stay in memory
+            p = TB.stored(_score(m.transform(train.filter(F.col("inner") == f))).withColumnRenamed("s", name), f"fold-scores-{name}")
+            col = p if col is None else col.unionByName(p)
         oof = col if oof is None else oof.join(col, "article_id")
-        ts = TB.stored(_score(est.fit(train).transform(test)).withColumnRenamed("s", name), f"test-scores-{name}")
+        m = base_models(n)[name].fit(train)
+        ts = TB.stored(_score(m.transform(test)).withColumnRenamed("s", name), f"test-scores-{name}")
         test_scores = ts if test_scores is None else test_scores.join(ts, "article_id")
-    names = list(base_models())
     va = VectorAssembler(inputCols=names, outputCol="meta")
     meta_train = va.transform(oof.join(train.select("article_id", "label"), "article_id"))
     meta_test = va.transform(test_scores.join(test.select("article_id", "label"), "article_id"))
-    lr = LogisticRegression(featuresCol="meta", maxIter=100).fit(meta_train)
-    return report(lr.transform(meta_test), "stacking")
+    return LogisticRegression(featuresCol="meta", regParam=1 / n, maxIter=100, standardization=False).fit(meta_train).transform(meta_test)
+
+
+def stacking_report(spark, d, k: int = 5) -> DataFrame:
+    """The stack of six base models, evaluated on a stratified hold-out of a fifth."""
+    train, test = _split(with_tenfold(training_frame(spark, d)), 0.2)
+    return report(stacked(train, test, k), "stacking")
 
 
 def _fold_metrics(pred: DataFrame) -> DataFrame:
@@ -205,11 +223,13 @@ SCORERS = ["precision", "recall", "f1", "accuracy"]
 
 
 def fold_scores(t: DataFrame, est, k: int) -> DataFrame:
-    """(fold, precision, recall, f1, accuracy) of an estimator over the ``fold`` column of ``t``."""
+    """(fold, precision, recall, f1, accuracy) of an estimator, or of a function of training and test rows that
+    predicts, over the ``fold`` column of ``t``."""
+    predict = est if callable(est) else lambda train, test: est.fit(train).transform(test)
     rows = None
     for f in range(k):
-        m = est.fit(t.filter(F.col("fold") != f))
-        r = _fold_metrics(m.transform(t.filter(F.col("fold") == f))).withColumn("fold", F.lit(f))
+        pred = predict(t.filter(F.col("fold") != f), t.filter(F.col("fold") == f))
+        r = TB.stored(_fold_metrics(pred), "fold-metrics").withColumn("fold", F.lit(f))  # no fold's model stays
         rows = r if rows is None else rows.unionByName(r)
     return rows.select("fold", X.safe_div(F.col("tp"), F.col("pp")).alias("precision"),
                        X.safe_div(F.col("tp"), F.col("ap")).alias("recall"),
@@ -217,12 +237,27 @@ def fold_scores(t: DataFrame, est, k: int) -> DataFrame:
                        X.safe_div(F.col("right"), F.col("n")).alias("accuracy"))
 
 
-def cross_validate(spark, d, k: int = 10, est=None) -> DataFrame:
-    """Mean and population std over k folds of precision, recall, F1 and accuracy."""
-    t = fold_col(training_frame(spark, d), k)
-    rows = fold_scores(t, est or RandomForestClassifier(numTrees=100, maxDepth=4, weightCol="weight", seed=42), k)
-    return rows.agg(*[X.r6(F.avg(c)).alias(f"mean_{c}") for c in SCORERS],
-                    *[X.r6(F.stddev_pop(c)).alias(f"std_{c}") for c in SCORERS])
+#: folds of each regressor
+REGRESSION_FOLDS = {"rf": 5, "gbt": 10}
+
+
+def cross_validate(spark, d, k: int = 10, inner: int = 5) -> DataFrame:
+    """One row per model: the mean and population std over its folds of precision, recall, F1 and accuracy for the
+    best-F1 forest, the boosted trees and the stack (k folds; ``inner`` folds inside the stack), and of the RMSE for
+    the two regressors."""
+    t = TB.stored(fold_col(with_tenfold(training_frame(spark, d)), k), "fold-rows")
+    models = {"best_f1": forests()["best_f1"], "boosted": boosted_tenfold(), "stacking": lambda train, test: stacked(train, test, inner)}
+    rows = [(name, k, SCORERS, fold_scores(t, est, k)) for name, est in models.items()]
+    data = TB.stored(regression_frame(spark, d), "regression-rows")
+    rows += [(f"{kind}_regressor", n, ["rmse"], fold_rmse(fold_col(data, n, key="id"), regressors()[kind], n))
+             for kind, n in REGRESSION_FOLDS.items()]
+    out = None
+    for name, n, scorers, scores in rows:
+        every = [(c, F.col(c) if c in scorers else F.lit(None).cast("double")) for c in (*SCORERS, "rmse")]
+        r = scores.agg(*[X.r6(F.avg(v)).alias(f"mean_{c}") for c, v in every], *[X.r6(F.stddev_pop(v)).alias(f"std_{c}") for c, v in every])
+        r = r.select(F.lit(name).alias("model"), F.lit(n).alias("folds"), "*")
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 #: a few combinations that end in minutes; ``grid_trials`` takes any list of parameter sets
@@ -265,9 +300,9 @@ def score_corpus(spark, d) -> DataFrame:
                        F.when(p1 > 0.5, p1).otherwise(0.0).alias("probability"))
 
 
-def regress(spark, d, kind: str) -> DataFrame:
-    """Writer features -> score regression, RMSE on a random 80/20 split. The score stand-in is the mean value of
-    the writer's views; the features are of the other events alone, so none holds the score."""
+def regression_frame(spark, d) -> DataFrame:
+    """Writer features and a score per writer. The score stand-in is the mean value of the writer's views; the
+    features are of the other events alone, so none holds the score."""
     from ..plans import q_keystrokes as QK
     from ..plans import views as V
     from . import keystrokes as K
@@ -277,11 +312,28 @@ def regress(spark, d, kind: str) -> DataFrame:
     ev = views.groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias("score"))
     data = feats.join(ev, "id").na.fill(0)
     cols = [c for c in data.columns if c not in ("id", "score")]
-    data = VectorAssembler(inputCols=cols, outputCol="features").transform(data)
-    train, test = data.randomSplit([0.8, 0.2], seed=42)
-    if kind == "rf":
-        est = RandomForestRegressor(labelCol="score", numTrees=1000, seed=42)
-    else:
-        est = GBTRegressor(labelCol="score", maxIter=500, stepSize=0.017, maxDepth=5, subsamplingRate=0.8, seed=42)
-    pred = est.fit(train).transform(test)
+    return VectorAssembler(inputCols=cols, outputCol="features").transform(data)
+
+
+def regressors():
+    return {
+        "rf": RandomForestRegressor(labelCol="score", numTrees=1000, seed=42),
+        "gbt": GBTRegressor(labelCol="score", maxIter=500, stepSize=0.017, maxDepth=5, subsamplingRate=0.8, seed=42),
+    }
+
+
+def fold_rmse(data: DataFrame, est, k: int) -> DataFrame:
+    """(fold, rmse) of a regressor over the ``fold`` column of ``data``."""
+    rows = None
+    for f in range(k):
+        pred = est.fit(data.filter(F.col("fold") != f)).transform(data.filter(F.col("fold") == f))
+        r = TB.stored(M.rmse_mse(pred, "score", "prediction").select("rmse"), "fold-rmse").withColumn("fold", F.lit(f))
+        rows = r if rows is None else rows.unionByName(r)
+    return rows
+
+
+def regress(spark, d, kind: str) -> DataFrame:
+    """Writer features -> score regression, RMSE on a random 80/20 split."""
+    train, test = regression_frame(spark, d).randomSplit([0.8, 0.2], seed=42)
+    pred = regressors()[kind].fit(train).transform(test)
     return M.rmse_mse(pred, "score", "prediction").withColumn("model", F.lit(kind))
