@@ -4,6 +4,8 @@ A page becomes a tree of its elements. Each block of text passes points to its e
 the ancestors: one point, one per comma, one per hundred characters up to three, all discounted by the share
 of its text that is link text. The element with most points is the article; its siblings that score or read
 like it are kept with it. What stands in page furniture (by element, role or class) is left out before scoring.
+A class or a form can mislead, so what it leaves out is weighed too: an element that holds the article, or most of
+the page's points where little is left without it, is no furniture.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in (
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt "
              "ruby s samp small span strike strong sub sup time tt u var wbr".split())
-FURNITURE = set("head nav footer aside form button select option input label fieldset dialog menu svg canvas audio "
+FURNITURE = set("head nav footer aside button select option input label fieldset dialog menu svg canvas audio "
                 "video object map".split()) | set(RAW)
 ROLES = set("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar".split())
 #: words of a class or id that mark page furniture, whatever stands beside them
@@ -36,6 +38,8 @@ NEVER = set("ad ads advert adverts advertisement advertising sponsor sponsored p
 #: words that do so unless one of ARTICLE stands beside them
 WEAK = set("header head top bottom meta info tools tags byline".split())
 ARTICLE = set("article post entry story content main body text page".split())
+#: a name that begins with one of these tells what the element has beside it, not what it is
+BESIDE = set("has no with without".split())
 #: an open element of the first kind ends where one of the second begins
 ENDS = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"},
         "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
@@ -45,14 +49,26 @@ PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", *HEADINGS}  # their points g
 
 
 class Node:
-    __slots__ = ("tag", "parent", "furniture", "order", "points", "chars", "linked", "blocks")
+    """``mark``: the nearest element, this one or above, that a class or a form marks as furniture; ``article``: in an
+    article or main element, without a mark between. Marked elements have the points, plain characters and article
+    of their blocks: ``own`` without those of marked elements inside, ``all`` with them; and ``cut``."""
 
-    def __init__(self, tag, parent, furniture, order):
+    __slots__ = ("tag", "parent", "furniture", "order", "points", "chars", "linked", "mark", "article", "own", "all", "cut")
+
+    def __init__(self, tag, parent, furniture, order, marked=False):
         self.tag, self.parent, self.furniture, self.order = tag, parent, furniture, order
-        self.points, self.chars, self.linked, self.blocks = 0.0, 0, 0, []
+        self.points, self.chars, self.linked = 0.0, 0, 0
+        above = parent is not None and parent.article
+        if tag in ("article", "main"):
+            self.mark, self.article = parent.mark, above or not marked  # an article of class comment is not the article
+        else:
+            self.mark, self.article = (self, False) if marked else (parent and parent.mark, above)
+        if self.mark is self:
+            self.own, self.all, self.cut = [0.0, 0, False], [0.0, 0, False], True
 
 
 def is_furniture(tag: str, attributes: str, inside_article: bool) -> bool:
+    """By element, role or style, whatever it holds."""
     if tag in FURNITURE or (tag == "header" and not inside_article):
         return True
     for m in ATTRIBUTE.finditer(attributes):
@@ -61,19 +77,28 @@ def is_furniture(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name == "role" and value in ROLES:
+        if name == "role" and value in ROLES and not (tag == "form" and value == "form"):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            for token in value.split():
-                words = set(re.split(r"[^a-z]+", token))
-                if words & NEVER or (words & WEAK and not words & ARTICLE):
+    return False
+
+
+def is_marked(tag: str, attributes: str) -> bool:
+    """By class or id, or as a form: furniture unless it holds the article."""
+    if tag == "form":
+        return True
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id") and tag not in ("body", "html"):
+            for token in (m[2] or m[3] or m[4] or "").lower().split():
+                words = re.split(r"[^a-z]+", token)
+                if words[0] not in BESIDE and (not NEVER.isdisjoint(words) or not WEAK.isdisjoint(words) and ARTICLE.isdisjoint(words)):
                     return True
     return False
 
 
 def parse(page: str) -> list[tuple[Node, str, int]]:
     """Blocks of text in page order: (element, text, characters of it in links). Text of inline elements
-    belongs to the block that they stand in; furniture is left out; line breaks are white space."""
+    belongs to the block that they stand in; furniture is left out, but not marked elements; line breaks are
+    white space."""
     root = Node("html", None, False, 0)
     stack, inline, blocks = [root], [], []  # open block elements; open inline elements as (tag, furniture)
     run: list[str] = []
@@ -134,7 +159,8 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
                         del inline[i]
                         break
             elif not attributes.endswith("/"):
-                mute = bool(attributes) and is_furniture(tag if tag != "label" else "span", attributes, True) or tag == "label"
+                name = tag if tag != "label" else "span"
+                mute = bool(attributes) and (is_furniture(name, attributes, True) or is_marked(name, attributes)) or tag == "label"
                 inline.append((tag, mute))
                 links += tag == "a"
                 muted += mute
@@ -164,7 +190,7 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
         inside = stack[-1]
         if tag == "body":
             continue
-        stack.append(Node(tag, inside, inside.furniture or is_furniture(tag, attributes, articles > 0), order))
+        stack.append(Node(tag, inside, inside.furniture or is_furniture(tag, attributes, articles > 0), order, is_marked(tag, attributes)))
         articles += tag in ("article", "main")
         links, muted = 0, 0
         inline.clear()
@@ -172,14 +198,61 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
     return blocks
 
 
+def score_of(text: str, linked: int) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+
+
+def weigh(blocks: list[tuple[Node, str, int]], least: int = 250) -> None:
+    """Undo the marks (``cut``) of elements that hold the article of the page, if no text is in one elsewhere, or most
+    of the page's points and ``least`` characters, if less than a quarter of the points is left without marks."""
+    free, marks = [0.0, 0, False], {}
+
+    def add(to, what):
+        to[0] += what[0]
+        to[1] += what[1]
+        to[2] |= what[2]
+
+    for node, text, linked in blocks:
+        add(node.mark.own if node.mark else free, (score_of(text, linked), len(text) - linked, node.article))
+        m = node.mark
+        while m is not None and m.order not in marks:
+            marks[m.order] = m
+            m = m.parent.mark
+    top, inner, total = [], {}, free[0]
+    for order in sorted(marks, reverse=True):  # inner elements have higher numbers
+        m = marks[order]
+        add(m.all, m.own)
+        up = m.parent.mark
+        if up is None:
+            top.append(m)
+            total += m.all[0]
+        else:
+            add(up.all, m.all)
+            inner.setdefault(up.order, []).append(m)
+    while top:
+        m = max(top, key=lambda n: (n.all[2] and not free[2], n.all[0], -n.order))
+        if not (m.all[2] and not free[2] and m.all[0] > free[0]
+                or 2 * m.all[0] > total and 4 * free[0] < total and m.all[1] >= least):
+            break
+        m.cut = False
+        top.remove(m)
+        top += inner.get(m.order, [])
+        add(free, m.own)
+    for order in sorted(marks):
+        m = marks[order]
+        m.cut = m.cut or m.parent.mark is not None and m.parent.mark.cut
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the article in page order, joined by a line feed. A page without text has an empty one."""
-    blocks = parse(page or "")
+    found = parse(page or "")
+    weigh(found)
+    blocks = [b for b in found if not (b[0].mark and b[0].mark.cut)]
     candidates: dict[int, Node] = {}
     for node, text, linked in blocks:
         node.chars += len(text)
         node.linked += linked
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+        points = score_of(text, linked)
         level, up = 0, node.parent if node.tag in PARAGRAPHS and node.parent else node
         while up is not None:
             up.points += points / (1, 2, 6, 9, 12)[min(level, 4)]
@@ -211,7 +284,20 @@ def main_text(page: str | None) -> str:
             node = node.parent
         return False
 
-    return "\n".join(text for node, text, linked in blocks if inside(node, text, linked))
+    def stays(node, text, linked):
+        if not (node.mark and node.mark.cut):
+            return inside(node, text, linked)
+        # a marked paragraph of the article that reads like one
+        if node.mark is not node or node.tag not in ("p", "blockquote", "pre") or len(text) <= 80 or linked >= 0.25 * len(text):
+            return False
+        up = node.parent
+        if up.mark and up.mark.cut:
+            return False
+        while up is not None and id(up) not in kept:
+            up = up.parent
+        return up is not None
+
+    return "\n".join(text for node, text, linked in found if stays(node, text, linked))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -67,6 +67,24 @@ def test_main_text():
     assert len(main_text("<article>" + "<p>word, " * 50_000)) == 50_000 * 6 - 1
 
 
+def test_main_text_in_marked_wrappers():
+    said = [f"Para {i}, of the article, that goes on, and on, " + prose(30, i) + "." for i in range(6)]
+    paras = "".join(f"<p>{p}</p>" for p in said)
+    beside = "<nav><a href=/>Home</a></nav><div class='sidebar'><p>Side, text, here.</p></div><div class='comments'><p>Nice, very.</p></div>"
+    for mark in ("class='has-sidebar'", "class='no-sidebar'", "class='with-banner'", "id='content-comments'", "class='widget'"):
+        for inner in (f"<div class='post'>{paras}</div>", f"<article>{paras}</article>"):
+            for page in (f"<body><div {mark}>{beside}{inner}</div><footer>F, f</footer>", f"<body><form id=f role=form><div {mark}>{inner}</div>{beside}</form>"):
+                assert main_text(page).split("\n") == said, page
+    # marked paragraphs of prose in the article stay, short ones and lists of links go
+    page = f"<article>{paras}<p class='alert'>{said[0]}</p><p class='share'>Share this</p><p class='related'><a href=x>{said[1]}</a></p></article>"
+    assert main_text(page).split("\n") == [*said, said[0]]
+    # long comments beside the article, and articles that are comments, stay out
+    many = "".join(f"<article class='comment'><p>{prose(90, 50 + i)}, so, it, is.</p></article>" for i in range(8))
+    assert main_text(f"<body><div class='post'>{paras}</div><div id='comments'>{many}</div>").split("\n") == said
+    assert main_text("<body><div class='cookie'>We use cookies, sorry.</div><nav>a, b</nav>") == ""
+    assert main_text(f"<body><nav>{paras}</nav><aside>{paras}</aside>") == ""
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (2, None, None, 2), (None, "v", "<p>x", 3), (3, "w", "", 4)]
     out = extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int"))
