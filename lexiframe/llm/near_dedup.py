@@ -111,7 +111,7 @@ def cell_links(sets, sigs: np.ndarray, sizes: np.ndarray, side: np.ndarray, band
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85,
                hashes: int = 128, band_rows: int = 5, miss: float = 1e-5, batch: int = 32,
-               chunk: int = 768, with_hash: bool = False) -> DataFrame:
+               chunk: int = 768, with_hash: bool = False, slots: int = 1 << 23) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept`` and, ``with_hash``, the
     xxhash64 of the text as ``text_hash``.
 
@@ -121,6 +121,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unless it has no other id. Rows that repeat an id with the same text share one decision. An empty table
     gives an empty result. A pair at the threshold shares no band with probability (1 - t^rows)^(hashes // rows),
     4e-7 at 85 and 5e-5 at 80, and is pruned with probability ``miss`` at most; above the threshold both fall quickly.
+    ``slots``: bits of the bitmap that tells which texts are compared; when they fill, more texts shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     need = [(n, needed(n, percent, miss)) for n in range(batch, hashes + 1, batch)]
@@ -159,7 +160,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "key", "band", "h", F.ceil(F.col("m") / F.lit(chunk)).cast("int").alias("chunks")), "near-members")
     asked = stored(met.select("key").distinct().join(classes.select("key", "rep", "sig", "n"), "key").select(
         "key", "sig", "n", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth")), "near-asked")
-    likely = with_hit(rows, ["id", "th"], asked.select("rid", "rth")).where("__hit").drop("__hit")
+    likely = with_hit(rows, ["id", "th"], asked.select("rid", "rth"), slots).where("__hit").drop("__hit")
     texts = stored(likely.join(asked, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")))
                    .select(F.col("key").alias("tkey"), "sig", "n", "text").dropDuplicates(["tkey"]), "near-texts")
     cells = (met.join(texts, F.col("key") == F.col("tkey"))

@@ -60,6 +60,12 @@ def test_near_dedup_awkward_rows(spark):
     assert near_dedup(no_docs(spark)).count() == 0
 
 
+def test_near_dedup_crowded_bitmap(spark):
+    rows = near_rows()[:18]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert got(near_dedup(docs, slots=1), *NEAR) == want(brute_near(rows))
+
+
 def test_pruning_keeps_the_threshold():
     # a pair at the threshold has Binomial(n, 0.85) matches; it is pruned about as often as ``miss`` says
     assert needed(128, 85, 1e-5) < 0.85 * 128
