@@ -34,7 +34,7 @@ def slow(rows):
     for i, t in rows:
         t = t or ""
         a = ta.encode(" " + t, add_special_tokens=False)
-        b = tb.encode(t)
+        ids, b = a.ids, tb.encode(t)
         pieces = [tb.id_to_piece(x) for x in b]
         bytes_a = [bytes(byte[c] for c in x) for x in a.tokens]
         bytes_b = [bytes([int(p[3:5], 16)]) if tb.is_byte(x) else p.replace("▁", " ").encode() for x, p in zip(b, pieces)]
@@ -46,10 +46,10 @@ def slow(rows):
         groups, links, ia, ib = [], [], 0, 0
         for e in sorted(set(ends[0]) & set(ends[1])):
             ja, jb = ends[0][e] + 1, ends[1][e] + 1
-            groups.append(",".join(map(str, a.ids[ia:ja])) + "|" + ",".join(map(str, b[ib:jb])))
-            links.append((a.ids[ja - 1], b[jb - 1]))
+            groups.append(",".join(map(str, ids[ia:ja])) + "|" + ",".join(map(str, b[ib:jb])))
+            links.append((ids[ja - 1], b[jb - 1]))
             ia, ib = ja, jb
-        rest.append((i, len(a.ids), len(b), links, hashlib.sha256(";".join(groups).encode()).hexdigest()))
+        rest.append((i, len(ids), len(b), links, hashlib.sha256(";".join(groups).encode()).hexdigest()))
     n = Counter(x for r in rest for x in r[3])
     top = Counter()
     for (_, b), c in n.items():
@@ -68,7 +68,7 @@ def test_token_align_query(spark):
 
 
 def test_token_align_edges(spark):
-    odd = ["<|endoftext|> and </s><s>", "a▁b", "a\x00b", "　x y", " ", "\n\n", "  lead", "trail  ", "­​" * 40, "x" * 20_000, "😀" * 300, "é é ﬁ"]
+    odd = [" " * 300_000, "\n" * 300_000 + "x", "<|endoftext|> and </s><s>", "a▁b", "a\x00b", "　x y", " ", "\n\n", "  lead", "trail  ", "­​" * 40, "x" * 20_000, "😀" * 300, "é é ﬁ"]
     docs = edge_docs(spark).unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"), allowMissingColumns=True)
     rows = [(r[0], r[1]) for r in edge_rows()] + [(100 + i, t) for i, t in enumerate(odd)]
     out = link_statistics(stored(align(docs, *PATHS), "aligned"), *PATHS)
@@ -98,3 +98,14 @@ def test_gallop(x, y):
     assert gallop(a, b).tolist() == [bisect_left(b, k) for k in a]
     ia, ib = common_ends(a, b)
     assert a[ia].tolist() == b[ib].tolist() == sorted((x & y) | {401})
+
+
+def test_library_and_encoder_agree_on_characters():
+    """Every assigned and unassigned character of the first plane, at word, number and blank borders."""
+    from tokenizers import Tokenizer
+
+    ta = Tokenizer.from_file(PATHS[0])
+    ta.encode_special_tokens = True
+    texts = [f" a{chr(c)}b 1{chr(c)}2  {chr(c)}{chr(c)} !{chr(c)}" for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    a = tokenizers(*PATHS).a
+    assert all(x.ids == a.encode_ordinary(t) for t, x in zip(texts, ta.encode_batch_fast(texts, add_special_tokens=False)))
