@@ -247,8 +247,8 @@ def collocations(docs: DataFrame, threshold: int = 10, top: int = 2000, lang_col
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     size = kept.count()
     level = 0
-    while size > 100 * top:  # a language may hold all rows: its best come from buckets of it, level by level
-        buckets = -(-size // (50 * top))
+    while size > 3 * top:  # a language may hold all rows: its best come from buckets of it, level by level
+        buckets = -(-size // (12 * top)) if size > 24 * top else 2
         bucket = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase", F.lit(level)), F.lit(buckets))).orderBy(*best)
         kept = kept.withColumn("rank", F.row_number().over(bucket)).where(F.col("rank") <= top).drop("rank")
         size, level = min(size - 1, buckets * top), level + 1
