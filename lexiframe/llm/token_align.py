@@ -147,13 +147,13 @@ def tokenizers(path_a: str, path_b: str) -> Pair:
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text",
           with_groups: bool = True) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_a``, ``n_b``, ``n_groups``, ``groups_sha256``, ``links`` (id of A times the
-    size of B plus id of B, for each pair that ends together) and, ``with_groups``, ``last_a`` and ``last_b``, the
+    """One row per row of ``docs``: id, ``n_a``, ``n_b``, ``n_groups``, ``groups_sha256``, ``links`` (for each pair
+    that ends together the id of A times the size of B plus the id of B, as little-endian 32-bit integers) and, ``with_groups``, ``last_a`` and ``last_b``, the
     ranks of the last token of each group in A and B. ``path_a``: byte-level file of the tokenizers library,
     ``path_b``: model file of sentencepiece; every worker can read them.
 
-    Null and empty texts, and texts that one of the two does not give back to the byte, have no tokens: zeros, empty
-    lists, and the digest is the empty string. Texts of any length are encoded whole. Null and repeated ids pass
+    Null and empty texts, and texts that one of the two does not give back to the byte, have no tokens: zeros,
+    nothing in the lists, and the digest is the empty string. Texts of any length are encoded whole. Null and repeated ids pass
     through; no other column is read. An empty table gives no rows.
     """
 
@@ -169,16 +169,16 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
                     if got is None:
                         counts.append((0, 0, 0))
                         digests.append("")
-                        links.append(none)
+                        links.append(b"")
                         cuts.append((none, none))
                         continue
                     a, b = got
                     last_a, last_b = common_ends(np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b]))
                     counts.append((len(a), len(b), len(last_a)))
                     digests.append(hashlib.sha256(group_text(pair, a, b, last_a, last_b)).hexdigest())
-                    links.append((a[last_a] * nb + b[last_b]).astype(np.int32))
+                    links.append((a[last_a] * nb + b[last_b]).astype("<i4").tobytes())
                     cuts.append((last_a.astype(np.int32), last_b.astype(np.int32)))
-                columns = [part.column(0), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)), pa.array(digests, pa.string()), _lists(links)]
+                columns = [part.column(0), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)), pa.array(digests, pa.string()), pa.array(links, pa.binary())]
                 if with_groups:
                     columns += [_lists([c[k] for c in cuts]) for k in range(2)]
                 yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
@@ -186,7 +186,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     none = np.empty(0, dtype=np.int32)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     names = ["id", "n_a", "n_b", "n_groups", "groups_sha256", "links", "last_a", "last_b"]
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_a long, n_b long, n_groups long, groups_sha256 string, links array<int>"
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
     return mapped(rows, run, schema + (", last_a array<int>, last_b array<int>" if with_groups else "")).withColumnRenamed("id", id_col)
 
 
@@ -198,7 +198,12 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def pair_counts(aligned: DataFrame, size_b: int) -> DataFrame:
     """(``pair``, ``n``, ``best``): how many links of the whole corpus hold a pair, and whether no pair of its B id has
     more. At most ``pair_bound`` rows."""
-    counts = aligned.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    def tally(batches):
+        for b in batches:
+            pair, n = np.unique(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i4"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n, pa.int64())], ["pair", "n"])
+
+    counts = stored(mapped(aligned.select("links"), tally, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     top = counts.groupBy((F.col("pair") % size_b).alias("b")).agg(F.max("n").alias("top"))
     return counts.join(top, F.col("pair") % size_b == F.col("b")).select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
 
@@ -213,9 +218,9 @@ def link_statistics(aligned: DataFrame, path_a: str, path_b: str, id_col: str =
     def run(batches):
         pairs, n, best = known.value
         for b in batches:
-            lists = b.column(5)
-            at = np.searchsorted(pairs, lists.flatten().to_numpy(zero_copy_only=False))
-            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            links = b.column(5).to_pylist()
+            at = np.searchsorted(pairs, np.frombuffer(b"".join(links), "<i4"))
+            size = np.array([len(x) // 4 for x in links], dtype=np.int64)
             to = np.cumsum(size)
             sums = [np.concatenate(([0], np.cumsum(x[at], dtype=np.int64))) for x in (best, n)]
             columns = [b.column(i) for i in range(4)] + [pa.array(x, pa.int64()) for x in (size, *(s[to] - s[to - size] for s in sums))]

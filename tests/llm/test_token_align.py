@@ -5,10 +5,8 @@ from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from lexiframe.llm.bpe import vocabulary_path
 from lexiframe.llm.common import stored
@@ -84,9 +82,9 @@ def test_pairs_are_bounded(spark):
     bound = pair_bound(pair.bytes_a, pair.bytes_b)
     assert bound < 400_000
     nb = len(pair.bytes_b)
-    linked = align(spark.read.parquet(f"{SF}/documents.parquet"), *PATHS).select(F.explode("links").alias("p")).distinct().collect()
-    for r in linked:
-        a, b = pair.bytes_a[r["p"] // nb], pair.bytes_b[r["p"] % nb]
+    linked = {p for r in align(spark.read.parquet(f"{SF}/documents.parquet"), *PATHS).select("links").collect() for p in np.frombuffer(r["links"], "<i4").tolist()}
+    for p in linked:
+        a, b = pair.bytes_a[p // nb], pair.bytes_b[p % nb]
         assert a.endswith(b) or b.endswith(a)
     assert len(linked) <= bound
 
