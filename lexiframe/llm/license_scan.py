@@ -15,8 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
-from .license_rules import ANCHORS, BASE, WEIGHT, anchor, compiled, required, rules
+from .common import stored, table, text_or_empty
+from .license_rules import ANCHORS, WEIGHT, anchor, compiled, required, rules
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,19 +61,19 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     listed = rules() if listed is None else listed
     stems = sorted({anchor(r["words"]) for r in listed}, key=ANCHORS.index)
-    rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(F.col(text_col)).alias("__text"))
-    low = F.lower("__text")
-    rows = rows.withColumn("__maybe", reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in stems], F.lit(False)))
+    text, low = text_or_empty(F.col(text_col)), F.lower(text_or_empty(F.col(text_col)))
+    maybe = reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in stems], F.lit(False))
+    rows = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), maybe.alias("__maybe"))
+    words = F.regexp_extract_all(F.translate("__text", CAPITALS, SMALL), F.lit(WORD), F.lit(0))
+    # one pass over the texts; what few of them are worth a closer look is written with places
+    rows = stored(rows.select("__id", F.regexp_count("__text", F.lit(ANY_WORD)).cast("long").alias("n_words"), F.spark_partition_id().alias("__salt"),
+                              F.when(F.col("__maybe"), F.sha2("__text", 256)).alias("__key"), F.when(F.col("__maybe"), tagged(words)).alias("__tagged")), "licenses")
     spans = "array<struct<start:bigint,end:bigint,label:string>>"
-    none = rows.where(~F.col("__maybe")).select(
-        F.col("__id").alias(id_col), F.regexp_count("__text", F.lit(ANY_WORD)).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_base"),
+    none = rows.where("__key is null").select(
+        F.col("__id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_base"),
         F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"), F.lit("").alias("base_labels"),
         F.lit("").alias("labels"), F.lit(0.0).alias("score"), F.array().cast(spans).alias("spans"))
-
-    some = rows.where("__maybe").select("__id", F.sha2("__text", 256).alias("__key"), F.spark_partition_id().alias("__salt"),
-                                        F.regexp_extract_all(F.translate("__text", CAPITALS, SMALL), F.lit(WORD), F.lit(0)).alias("__words"))
-    some = some.select("__id", "__key", "__salt", F.size("__words").cast("long").alias("n_words"), tagged(F.col("__words")).alias("__tagged"))
-    hits = some.select("__id", "__key", "__salt", "n_words", F.inline_outer(_found(rule_table(listed), "__tagged")))
+    hits = rows.where("__key is not null").select("__id", "__key", "__salt", "n_words", F.inline_outer(_found(rule_table(listed), "__tagged")))
     # rows that repeat are one group with a count; the part of the scan in the key keeps any group to one part's rows
     row = ["__id", "__key", "__salt"]
     hits = hits.groupBy(hits.columns).agg(F.count("*").alias("copies"))
