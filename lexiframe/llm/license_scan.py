@@ -61,8 +61,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     listed = rules() if listed is None else listed
     stems = sorted({anchor(r["words"]) for r in listed}, key=ANCHORS.index)
-    text, low = text_or_empty(F.col(text_col)), F.lower(text_or_empty(F.col(text_col)))
-    maybe = reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in stems], F.lit(False))
+    text = text_or_empty(F.col(text_col))
+    maybe = F.exists(F.array(F.lower(text)),  # an array of one, so that the text is lower-cased once for all stems
+                     lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(s)) for s in stems], F.lit(False)))
     rows = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), maybe.alias("__maybe"))
     words = F.regexp_extract_all(F.translate("__text", CAPITALS, SMALL), F.lit(WORD), F.lit(0))
     # one pass over the texts; what few of them are worth a closer look is written with places
