@@ -1,25 +1,37 @@
-"""MLlib estimators and the evaluation loops around them (stratified hold-out, k folds, stacking,
-grid trials). Vectors stay sparse; every fit is a distributed MLlib job."""
+"""Fitted models and the evaluation loops around them (stratified hold-out, k folds, stacking, the tuning grid).
+
+Features are sparse until the F test has chosen a bounded number of columns. Forests and linear models are MLlib's,
+every fit a distributed job; boosted trees are ``boosting``'s, whose fits of several folds share their jobs. Fits that
+do not depend on each other run side by side from threads of the driver."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       RandomForestClassifier)
-from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer,
-                                SQLTransformer, StandardScaler, UnivariateFeatureSelector,
-                                VectorAssembler)
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import boosting as B
+from . import forests as FO
 from . import models as M
 from ..functions import text as X
 from ..sources import tables as TB
 
 
+def side_by_side(jobs: Sequence[Callable], width: int = 8) -> list:
+    """Results of independent jobs, at most ``width`` at a time."""
+    with ThreadPoolExecutor(width) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+
+
 def threshold(df: DataFrame, prob: str, cut: float = 0.5) -> DataFrame:
     """Class 1 when probability >= cut; the probability is kept only for class 1."""
     c1 = F.col(prob) >= cut
@@ -27,17 +39,23 @@ def threshold(df: DataFrame, prob: str, cut: float = 0.5) -> DataFrame:
                      X.r6(F.when(c1, F.col(prob)).otherwise(0)).alias("probability"))
 
 
-def anova_f(long: DataFrame, feature: str, label: str, x: str) -> DataFrame:
-    """One-way ANOVA F score per feature (between-class over within-class mean squares)."""
-    g = long.groupBy(feature, label).agg(F.count(F.lit(1)).alias("ng"), F.avg(x).alias("mg"),
-                                          F.sum(F.col(x) * F.col(x)).alias("sxx"))
-    t = g.groupBy(feature).agg(F.sum("ng").alias("n"), F.count(F.lit(1)).alias("k"),
-                               (F.sum(F.col("ng") * F.col("mg")) / F.sum("ng")).alias("m"))
-    j = g.join(t, feature)
-    out = j.groupBy(feature).agg(
-        (F.sum(F.col("ng") * (F.col("mg") - F.col("m")) * (F.col("mg") - F.col("m"))) / (F.first("k") - 1)).alias("msb"),
-        (F.sum(F.col("sxx") - F.col("ng") * F.col("mg") * F.col("mg")) / (F.first("n") - F.first("k"))).alias("msw"))
-    return out.select(feature, X.r6(F.col("msb") / F.col("msw")).alias("f_score"))
+def anova_f(long: DataFrame, classes: DataFrame, keys: Sequence[str], label: str, x: str) -> DataFrame:
+    """``keys`` and ``f_score``: one-way ANOVA F (between-class over within-class mean squares) of each column of a sparse
+    long table, in which a zero has no row. ``classes`` has (label, ``nc``): rows of each class, zeros included. Sums of
+    the stored entries are all it takes. No score where there is no variance within the classes."""
+    per = long.groupBy(*keys, label).agg(F.sum(x).alias("_s"), F.sum(F.col(x) * F.col(x)).alias("_q"))
+    per = per.join(F.broadcast(classes), label)  # one row per class
+    t = per.groupBy(*keys).agg(F.sum("_s").alias("_s"), F.sum("_q").alias("_q"), F.sum(F.col("_s") * F.col("_s") / F.col("nc")).alias("_b"))
+    whole = F.broadcast(classes.agg(F.sum("nc").alias("_n"), F.count(F.lit(1)).alias("_k")))
+    between = (F.col("_b") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_k") - 1)
+    within = (F.col("_q") - F.col("_b")) / (F.col("_n") - F.col("_k"))
+    return t.join(whole).select(*keys, X.r6(F.try_divide(between, within)).alias("f_score"))
+
+
+def select_k(scores: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """The ``k`` columns of the highest scores, ties by name, with their ``rank`` from 0; a bounded table."""
+    top = scores.where("f_score is not null").orderBy(F.desc("f_score"), *keys).limit(k)
+    return M.ranked(top, [F.desc("f_score"), *keys], "rank")
 
 
 def model_frame(spark, d, articles: DataFrame) -> DataFrame:
@@ -53,287 +71,474 @@ def labeled_frame(spark, d) -> DataFrame:
     return model_frame(spark, d, V.labelled_articles(spark, d).filter(F.col("label").isNotNull()))
 
 
-def fit_features(lab: DataFrame, top_k: int = 1000) -> PipelineModel:
-    """lemmas -> uni+bi-grams -> counts (df 0.5 %..70 %, no cap on terms) x smooth idf + 1 -> L2 -> + numeric ->
-    top-k F test."""
-    counts = Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="tok", pattern=M.TOKEN_RX, gaps=False, toLowercase=True),
-        NGram(n=2, inputCol="tok", outputCol="bi"),
-        SQLTransformer(statement="SELECT *, concat(tok, bi) AS grams FROM __THIS__"),
-        CountVectorizer(inputCol="grams", outputCol="tf", minDF=0.005, maxDF=0.7, vocabSize=(1 << 31) - 1),
-    ]).fit(lab)
-    counted = counts.transform(lab)
-    idf = IDF(inputCol="tf", outputCol="idf").fit(counted)  # ln((1 + n) / (1 + df)), to which 1 is added
-    rest = Pipeline(stages=[
-        ElementwiseProduct(inputCol="tf", outputCol="weighted", scalingVec=Vectors.dense(idf.idf.toArray() + 1.0)),
-        Normalizer(inputCol="weighted", outputCol="tfidf", p=2.0),
-        VectorAssembler(inputCols=["tfidf", *[c for c in lab.columns if c not in ("article_id", "label", "text")]], outputCol="raw"),
-        UnivariateFeatureSelector(featuresCol="raw", outputCol="features", labelCol="label",
-                                  selectionMode="numTopFeatures").setFeatureType("continuous")
-        .setLabelType("categorical").setSelectionThreshold(top_k),
-    ]).fit(counted)
-    return PipelineModel(stages=[*counts.stages, *rest.stages])
-
-
-def with_weights(df: DataFrame, positive_boost: float = 1.0) -> DataFrame:
-    w = M.balanced_weights(df, "label")
-    return w.withColumn("weight", F.when(F.col("label") == 1, F.col("weight") * positive_boost).otherwise(F.col("weight")))
+KEYS = ["kind", "name"]
+MIN_DF, MAX_DF = 0.005, 0.7
+
+
+def numeric_columns(frame: DataFrame) -> list[str]:
+    return [c for c in frame.columns if c not in ("article_id", "label", "text")]
+
+
+def numeric_long(frame: DataFrame) -> DataFrame:
+    """(article_id, label, kind, name, value): the numbers of a model frame that are not zero."""
+    cols = numeric_columns(frame)
+    long = frame.select("article_id", "label", *cols).unpivot(["article_id", "label"], cols, "name", "value")
+    return long.where("value <> 0").select("article_id", "label", F.lit("feature").alias("kind"), "name", "value")
+
+
+@dataclass
+class Features:
+    """What turns a model frame into vectors: the terms' document frequencies in the fitted rows, the number of these,
+    and the chosen columns (``kind``, ``name``, ``rank``)."""
+
+    vocabulary: DataFrame
+    n_docs: int
+    chosen: DataFrame
+
+    def long(self, frame: DataFrame, tf: DataFrame | None = None) -> DataFrame:
+        """(article_id, label, kind, name, value) of all terms of the vocabulary and all numbers, zeros left out."""
+        terms = M.tfidf_long(term_table(frame) if tf is None else tf, "article_id", self.vocabulary, self.n_docs, rounded=False)
+        terms = terms.select("article_id", F.lit("term").alias("kind"), F.col("term").alias("name"), F.col("weight").alias("value"))
+        return terms.join(frame.select("article_id", "label"), "article_id").select("article_id", "label", *KEYS, "value").unionByName(numeric_long(frame))
+
+    def transform(self, frame: DataFrame, long: DataFrame | None = None) -> DataFrame:
+        """article_id, label and ``features``, a vector whose attributes carry the chosen names."""
+        long = self.long(frame) if long is None else long
+        names = [f"{r['kind']}:{r['name']}" for r in self.chosen.orderBy("rank").collect()]  # bounded by the selection
+        chosen = F.broadcast(self.chosen.select(*KEYS, "rank"))
+        per = long.join(chosen, KEYS).groupBy("article_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("rank").cast("int"), "value"))).alias("_m"))
+        at = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+        zero = F.array_repeat(F.lit(0.0), len(names))
+        out = frame.select("article_id", "label").join(per, "article_id", "left").select("article_id", "label", array_to_vector(F.coalesce(at, zero)).alias("features"))
+        return out.withMetadata("features", {"ml_attr": {"attrs": {"numeric": [{"idx": i, "name": n} for i, n in enumerate(names)]}, "num_attrs": len(names)}})
+
+    def save(self, path: str) -> None:
+        TB.write_table(self.vocabulary, "vocabulary", path=f"{path}/vocabulary")
+        TB.write_table(self.chosen.withColumn("n_docs", F.lit(self.n_docs)), "chosen", path=f"{path}/chosen")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Features:
+        chosen = spark.read.parquet(f"{path}/chosen")
+        return Features(spark.read.parquet(f"{path}/vocabulary"), chosen.first()["n_docs"], chosen.drop("n_docs"))
+
+
+def names_of(df: DataFrame, features: str = "features") -> list[str]:
+    """The names that a vector column carries, by place."""
+    return [a["name"] for a in df.schema[features].metadata["ml_attr"]["attrs"]["numeric"]]
+
+
+def named_values(df: DataFrame, features: str = "features") -> DataFrame:
+    """(article_id, name, value): the entries of named vectors that are not zero."""
+    names = F.lit(names_of(df, features))
+    pairs = F.arrays_zip(names.alias("name"), vector_to_array(features).alias("value"))
+    return df.select("article_id", F.inline(F.filter(pairs, lambda p: p["value"] != 0)))
+
+
+def term_table(frame: DataFrame) -> DataFrame:
+    """(article_id, term, tf) of the words and pairs of words of ``text``, stored: read for df and for weights."""
+    tokens = frame.select("article_id", M.doc_tokens("text").alias("_t"))
+    return TB.stored(M.term_counts(tokens.select("article_id", M.uni_bi_grams(F.col("_t")).alias("_g")), "article_id", "_g"), "term-counts")
+
+
+def scored_columns(lab: DataFrame) -> tuple[Features, DataFrame, DataFrame]:
+    """Features before selection, their long table, and (kind, name, f_score) for each term and number."""
+    tf = term_table(lab)
+    n = lab.count()
+    vocabulary = TB.stored(M.vocabulary(M.document_frequency_from_tf(tf), n, MIN_DF, MAX_DF), "vocabulary")
+    features = Features(vocabulary, n, None)
+    long = TB.stored(features.long(lab, tf), "feature-long")
+    classes = lab.groupBy("label").agg(F.count(F.lit(1)).alias("nc"))
+    return features, long, anova_f(long, classes, KEYS, "label", "value")
+
+
+def fit_features(lab: DataFrame, top_k: int = 1000) -> tuple[Features, DataFrame]:
+    """Lemmas -> uni+bi-grams -> counts (df 0.5 %..70 %, no cap on terms) x smooth idf + 1 -> L2 -> + numbers -> the
+    ``top_k`` columns by F test; and the vectors of the fitted rows."""
+    features, long, scores = scored_columns(lab)
+    features.chosen = TB.stored(select_k(scores, KEYS, top_k), "chosen")
+    return features, features.transform(lab, long)
+
+
+def with_weights(df: DataFrame) -> DataFrame:
+    return M.balanced_weights(df, "label")
+
+
+def fitted_frame(spark, d) -> tuple[Features, DataFrame]:
+    """Features fitted on the labelled articles, and their named vectors with class weights, written once: every fit and
+    fold reads them, and not the texts."""
+    lab = TB.stored(labeled_frame(spark, d), "labelled")
+    features, vectors = fit_features(lab)
+    return features, TB.stored(with_weights(vectors), "training-vectors")
+
+
+_kept: dict[tuple, object] = {}
+
+
+def kept(spark, d, name: str, make: Callable):
+    """What ``make`` gives, made once for each application and folder; the folder's tables must not change meanwhile."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
 
 
 def training_frame(spark, d) -> DataFrame:
-    """Labelled vectors with class weights, written once: every fit and fold reads them, and not the texts."""
-    lab = labeled_frame(spark, d)
-    vectors = fit_features(lab).transform(lab).select("article_id", "label", "features")
-    return TB.stored(with_weights(vectors), "training-vectors")
+    return kept(spark, d, "training", lambda: fitted_frame(spark, d))[1]
 
 
 def rf_base():
     return RandomForestClassifier(numTrees=1000, maxDepth=4, weightCol="weight", seed=42)
 
 
-def boosted():
-    return GBTClassifier(maxDepth=7, maxIter=100, weightCol="weight", seed=42)
+def forest(trees: int, depth: int, least_leaf: int, columns: str, bootstrap: bool = True, seed: int = 42) -> RandomForestClassifier:
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=least_leaf, featureSubsetStrategy=columns,
+                                  bootstrap=bootstrap, weightCol="weight", seed=seed, maxMemoryInMB=512)
 
 
-def forests():
-    """The reference's best-F1, best-precision and best-recall forests. Unlimited depth is MLlib's most, 30; its
-    ``min_samples_split`` has no counterpart."""
-    of = dict(weightCol="weight", seed=42)
+def forests() -> dict[str, tuple[RandomForestClassifier, int]]:
+    """The reference's best-F1, best-precision and best-recall forests, and the least rows with which each splits a node
+    (which MLlib lacks: the fitted trees are cut there, see ``forests``). Unlimited depth is MLlib's most, 30."""
     return {
-        "best_f1": RandomForestClassifier(numTrees=2000, maxDepth=30, minInstancesPerNode=2, featureSubsetStrategy="sqrt", **of),
-        "best_precision": RandomForestClassifier(numTrees=2000, maxDepth=30, minInstancesPerNode=1, featureSubsetStrategy="sqrt", **of),
-        "best_recall": RandomForestClassifier(numTrees=400, maxDepth=10, minInstancesPerNode=4, featureSubsetStrategy="all", **of),
+        "best_f1": (forest(2000, 30, 2, "sqrt"), 45),
+        "best_precision": (forest(2000, 30, 1, "sqrt"), 2),
+        "best_recall": (forest(400, 10, 4, "all"), 10),
     }
 
 
-def boosted_tenfold():
-    """The reference's boosted trees: its library's 100 rounds at rate 0.3, positives ten times as heavy."""
-    return GBTClassifier(maxDepth=7, maxIter=100, stepSize=0.3, weightCol="tenfold", seed=42)
+#: the reference's boosted trees: its library's 100 rounds at rate 0.3 and depth 7, positives ten times as heavy
+BOOSTED = B.Settings(loss="logistic", rounds=100, rate=0.3, depth=7, l2=1.0, least_hessian=1.0, positive=10.0)
+#: the reference's boosted regressor: 500 rounds, 19 leaves, rows and columns drawn anew each round
+BOOSTED_REGRESSOR = B.Settings(loss="squared", rounds=500, rate=0.01716485155812008, leaves=19, l1=0.003188447814669599, l2=0.0010228604507564066,
+                               least_rows=46, least_hessian=0.001, row_share=0.75, column_share=0.8, base="mean")
 
 
-def with_tenfold(df: DataFrame) -> DataFrame:
-    return df.withColumn("tenfold", F.when(F.col("label") == 1, 10.0).otherwise(1.0))
+def with_split(t: DataFrame, share: float) -> DataFrame:
+    """``t`` with ``fold`` 0 for a stratified hold-out of a share, 1 for the rest."""
+    s = M.stratified_split(t, "label", "article_id", share, seed=42)
+    return s.withColumn("fold", F.when(F.col("is_test") == 1, 0).otherwise(1)).drop("is_test")
 
 
 def _split(t: DataFrame, share: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    s = M.stratified_split(t, "label", "article_id", share, seed=42)
-    return s.filter("is_test = 0").drop("is_test"), s.filter("is_test = 1").drop("is_test")
+    s = TB.stored(with_split(t, share), "split")
+    return s.filter("fold = 1").drop("fold"), s.filter("fold = 0").drop("fold")
+
+
+def _score(pred: DataFrame) -> DataFrame:
+    raw = "probability" if "probability" in pred.columns else "rawPrediction"
+    return pred.select("article_id", vector_to_array(raw)[1].alias("s"))
+
+
+def probability(margin: Column) -> Column:
+    return 1 / (1 + F.exp(-margin))
+
+
+def fit_forest(train: DataFrame, est: RandomForestClassifier) -> FO.Nodes:
+    return FO.nodes_of(train.sparkSession, est.fit(train))
+
+
+def forest_scores(train: DataFrame, test: DataFrame, est: RandomForestClassifier, least_split: int) -> DataFrame:
+    """article_id and score of ``test`` by a forest fitted on ``train``; stored, so that no model stays."""
+    return TB.stored(FO.probabilities(test, fit_forest(train, est), "article_id", least_split), "forest-scores")
+
+
+def linear_scores(train: DataFrame, test: DataFrame, est) -> DataFrame:
+    return TB.stored(_score(est.fit(train).transform(test)), "linear-scores")
+
 
+def report(scores: DataFrame, test: DataFrame, model_name: str, cut: float = 0.5) -> DataFrame:
+    """Class report of scores (article_id, s) of labelled rows."""
+    p = test.select("article_id", "label").join(scores, "article_id").withColumn("pred", (F.col("s") > cut).cast("int"))
+    return M.class_report(p, "label", "pred").withColumn("model", F.lit(model_name))
 
-def _predicted(pred: DataFrame) -> DataFrame:
-    p1 = vector_to_array("probability")[1] if "probability" in pred.columns else F.col("prediction")
-    return pred.select("article_id", "label", (p1 > 0.5).cast("int").alias("pred"))
+
+def union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def report(pred: DataFrame, model_name: str) -> DataFrame:
-    r = M.class_report(_predicted(pred), "label", "pred")
-    return r.withColumn("model", F.lit(model_name))
+def fit_and_report(spark, d, est, name: str | None = None) -> DataFrame:
+    train, test = _split(training_frame(spark, d))
+    return report(_score(est.fit(train).transform(test)), test, name or type(est).__name__)
 
 
-def fit_and_report(spark, d, est, name: str | None = None, boost: float = 1.0) -> DataFrame:
-    t = training_frame(spark, d)
-    if boost != 1.0:
-        t = with_weights(t.drop("weight"), boost)
-    train, test = _split(t)
-    return report(est.fit(train).transform(test), name or type(est).__name__)
+def boosted_report(spark, d) -> DataFrame:
+    """The boosted trees on a stratified 90/10 split."""
+    t = TB.stored(with_split(training_frame(spark, d), 0.1), "split")
+    _, out = B.fit_boosted(t, BOOSTED, [0], "article_id")
+    scores = out.select(F.col("id").cast("long").alias("article_id"), probability(F.col("margin")).alias("s"))
+    return report(scores, t.filter("fold = 0"), "boosted")
 
 
 def rf_variants_report(spark, d) -> DataFrame:
     """The three tuned forests on a stratified 80/20 split."""
     train, test = _split(training_frame(spark, d), 0.2)
-    out = None
-    for name, est in forests().items():
-        pred = TB.stored(est.fit(train).transform(test).select("article_id", "label", "probability"), f"predictions-{name}")
-        r = report(pred, name)
-        out = r if out is None else out.unionByName(r)
-    return out
+    made = forests()
+    scores = side_by_side([lambda e=e, n=n: forest_scores(train, test, e, n) for e, n in made.values()])
+    return union([report(s, test, name) for name, s in zip(made, scores)])
+
+
+def svc(penalty: float | None = None, weight: str | None = None) -> Pipeline:
+    args = {**({} if penalty is None else {"regParam": penalty}), **({} if weight is None else {"weightCol": weight})}
+    return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled"), LinearSVC(featuresCol="scaled", **args)])
 
 
 def linear_report(spark, d) -> DataFrame:
-    t = training_frame(spark, d)
-    train, test = _split(t)
-    svc = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled"),
-                           LinearSVC(featuresCol="scaled", weightCol="weight")])
+    train, test = _split(training_frame(spark, d))
     lr = LogisticRegression(weightCol="weight", maxIter=100)
-    return report(svc.fit(train).transform(test), "linear_svc").unionByName(report(lr.fit(train).transform(test), "logistic"))
+    jobs = [lambda: linear_scores(train, test, svc(weight="weight")), lambda: linear_scores(train, test, lr)]
+    a, b = side_by_side(jobs)
+    return report(a, test, "linear_svc", 0.0).unionByName(report(b, test, "logistic"))
 
 
 def fold_col(df: DataFrame, k: int, name: str = "fold", key: str = "article_id", seed: int = 7) -> DataFrame:
     return df.withColumn(name, (F.abs(F.xxhash64(key, F.lit(seed))) % k).cast("int"))
 
 
-def base_models(n: int):
-    """The reference's six base models for a fit on ``n`` rows, whose C = 1 is a penalty of 1 / n here. Forests
-    balance the classes, boosted trees weigh positives tenfold, linear models weigh all rows alike."""
-    return {
-        **forests(),
-        "boosted": boosted_tenfold(),
-        "svc": Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled"),
-                                LinearSVC(featuresCol="scaled", regParam=1 / n)]),
-        "lr": LogisticRegression(regParam=1 / n, maxIter=100, standardization=False),
-    }
+def linear_models(n: int) -> dict:
+    """The stack's linear models for a fit on ``n`` rows: C = 1 is a penalty of 1 / n here, and all rows weigh alike."""
+    return {"svc": svc(1 / n), "lr": LogisticRegression(regParam=1 / n, maxIter=100, standardization=False)}
+
+
+def stacked(train: DataFrame, test: DataFrame, k: int = 5, width: int = 8) -> DataFrame:
+    """article_id and score of ``test`` by the stack: out-of-fold scores of the six base models over ``train`` (k fits
+    each, and one on all of it for ``test``) are the features of a logistic regression. Forests balance the classes,
+    boosted trees weigh positives tenfold. All fits but the last one run side by side."""
+    columns = ["article_id", "label", "weight", "features", "inner"]
+    train = fold_col(train, k, "inner", seed=8).select(*columns)
+    rows = TB.stored(train.unionByName(test.withColumn("inner", F.lit(k)).select(*columns)), "stack-rows")
+    sizes = {r["inner"]: r["count"] for r in rows.groupBy("inner").count().collect()}  # k + 1 rows
+    n = sum(c for f, c in sizes.items() if f < k)
+    fits = [f for f in sizes if f < k] + [k]  # the last one is fitted on all of ``train``
 
+    def seen(f):
+        return rows.filter((F.col("inner") != f) & (F.col("inner") < k))
 
-def _score(model_pred: DataFrame) -> DataFrame:
-    raw = "probability" if "probability" in model_pred.columns else "rawPrediction"
-    return model_pred.select("article_id", vector_to_array(raw)[1].alias("s"))
-
-
-def stacked(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
-    """``test`` with the probabilities of the stack: out-of-fold scores of the six base models over ``train`` (k
-    fits each, and one on all of it for ``test``) are the features of a logistic regression."""
-    train = TB.stored(fold_col(train, k, "inner", seed=8), "stack-rows")
-    sizes = {r["inner"]: r["count"] for r in train.groupBy("inner").count().collect()}  # k rows
-    n = sum(sizes.values())
-    names = list(base_models(n))
-    oof, test_scores = None, None
-    for name in names:
-        col = None
-        for f in sizes:
-            m = base_models(n - sizes[f])[name].fit(train.filter(F.col("inner") != f))
-            # written at once, else each join and each pass over it scores again, and all models stay in memory
-            p = TB.stored(_score(m.transform(train.filter(F.col("inner") == f))).withColumnRenamed("s", name), f"fold-scores-{name}")
-            col = p if col is None else col.unionByName(p)
-        oof = col if oof is None else oof.join(col, "article_id")
-        m = base_models(n)[name].fit(train)
-        ts = TB.stored(_score(m.transform(test)).withColumnRenamed("s", name), f"test-scores-{name}")
-        test_scores = ts if test_scores is None else test_scores.join(ts, "article_id")
-    va = VectorAssembler(inputCols=names, outputCol="meta")
-    meta_train = va.transform(oof.join(train.select("article_id", "label"), "article_id"))
-    meta_test = va.transform(test_scores.join(test.select("article_id", "label"), "article_id"))
-    return LogisticRegression(featuresCol="meta", regParam=1 / n, maxIter=100, standardization=False).fit(meta_train).transform(meta_test)
+    def boosted():
+        out = B.fit_boosted(rows, BOOSTED, fits, "article_id", fold_col="inner", held=k)[1]
+        return out.select(F.col("id").cast("long").alias("article_id"), probability(F.col("margin")).alias("s"))
+
+    def one(name, f):
+        test_rows = rows.filter(F.col("inner") == f)
+        if name in forests():
+            return forest_scores(seen(f), test_rows, *forests()[name])
+        return linear_scores(seen(f), test_rows, linear_models(n - (sizes[f] if f < k else 0))[name])
+
+    names = [*forests(), *linear_models(n)]
+    got = side_by_side([boosted, *[lambda m=m, f=f: one(m, f) for f in fits for m in names]], width)
+    by_model = {"boosted": got[0], **{m: union(got[1 + i::len(names)]) for i, m in enumerate(names)}}
+    meta = rows.select("article_id", "label", "inner")
+    for m, s in by_model.items():
+        meta = meta.join(s.withColumnRenamed("s", m), "article_id")
+    meta = TB.stored(VectorAssembler(inputCols=list(by_model), outputCol="features").transform(meta), "stack-scores")
+    final = LogisticRegression(regParam=1 / n, maxIter=100, standardization=False).fit(meta.filter(F.col("inner") < k))
+    return TB.stored(_score(final.transform(meta.filter(F.col("inner") == k))), "stacked")
 
 
 def stacking_report(spark, d, k: int = 5) -> DataFrame:
     """The stack of six base models, evaluated on a stratified hold-out of a fifth."""
-    train, test = _split(with_tenfold(training_frame(spark, d)), 0.2)
-    return report(stacked(train, test, k), "stacking")
+    train, test = _split(training_frame(spark, d), 0.2)
+    return report(stacked(train, test, k), test, "stacking")
 
 
-def _fold_metrics(pred: DataFrame) -> DataFrame:
-    p = _predicted(pred)
-    return p.agg(F.sum(((F.col("pred") == 1) & (F.col("label") == 1)).cast("int")).alias("tp"),
-                 F.sum((F.col("pred") == 1).cast("int")).alias("pp"),
-                 F.sum((F.col("label") == 1).cast("int")).alias("ap"),
-                 F.sum((F.col("pred") == F.col("label")).cast("int")).alias("right"),
-                 F.count(F.lit(1)).alias("n"))
+SCORERS = ["precision", "recall", "f1", "accuracy"]
 
 
-SCORERS = ["precision", "recall", "f1", "accuracy"]
+def scorers() -> list[Column]:
+    """The four scorers from counts; one without a denominator is 0."""
+    def share(a, b):
+        return F.coalesce(X.safe_div(a, b), F.lit(0.0))
+
+    return [share(F.col("tp"), F.col("pp")).alias("precision"), share(F.col("tp"), F.col("ap")).alias("recall"),
+            share(2 * F.col("tp"), F.col("pp") + F.col("ap")).alias("f1"), share(F.col("right"), F.col("n")).alias("accuracy")]
 
 
-def fold_scores(t: DataFrame, est, k: int) -> DataFrame:
-    """(fold, precision, recall, f1, accuracy) of an estimator, or of a function of training and test rows that
-    predicts, over the ``fold`` column of ``t``."""
-    predict = est if callable(est) else lambda train, test: est.fit(train).transform(test)
-    rows = None
-    for f in range(k):
-        pred = predict(t.filter(F.col("fold") != f), t.filter(F.col("fold") == f))
-        r = TB.stored(_fold_metrics(pred), "fold-metrics").withColumn("fold", F.lit(f))  # no fold's model stays
-        rows = r if rows is None else rows.unionByName(r)
-    return rows.select("fold", X.safe_div(F.col("tp"), F.col("pp")).alias("precision"),
-                       X.safe_div(F.col("tp"), F.col("ap")).alias("recall"),
-                       X.safe_div(2 * F.col("tp"), F.col("pp") + F.col("ap")).alias("f1"),
-                       X.safe_div(F.col("right"), F.col("n")).alias("accuracy"))
+def fold_scores(t: DataFrame, scores: DataFrame) -> DataFrame:
+    """(fold, precision, recall, f1, accuracy) of out-of-fold scores (article_id, s) over the ``fold`` column of ``t``."""
+    p = t.select("article_id", "label", "fold").join(scores, "article_id").withColumn("pred", (F.col("s") > 0.5).cast("int"))
+    hit, said, is_one = (F.col("pred") == 1) & (F.col("label") == 1), F.col("pred") == 1, F.col("label") == 1
+    counts = p.groupBy("fold").agg(F.count_if(hit).alias("tp"), F.count_if(said).alias("pp"), F.count_if(is_one).alias("ap"),
+                                   F.count_if(F.col("pred") == F.col("label")).alias("right"), F.count(F.lit(1)).alias("n"))
+    return counts.select("fold", *scorers())
 
 
 #: folds of each regressor
 REGRESSION_FOLDS = {"rf": 5, "gbt": 10}
 
 
-def cross_validate(spark, d, k: int = 10, inner: int = 5) -> DataFrame:
+def summary(scores: DataFrame, model: str, k: int, names: Sequence[str]) -> DataFrame:
+    every = [(c, F.col(c) if c in names else F.lit(None).cast("double")) for c in (*SCORERS, "rmse")]
+    r = scores.agg(*[X.r6(F.avg(v)).alias(f"mean_{c}") for c, v in every], *[X.r6(F.stddev_pop(v)).alias(f"std_{c}") for c, v in every])
+    return r.select(F.lit(model).alias("model"), F.lit(k).alias("folds"), "*")
+
+
+def cross_validate(spark, d, k: int = 10, width: int = 8) -> DataFrame:
     """One row per model: the mean and population std over its folds of precision, recall, F1 and accuracy for the
-    best-F1 forest, the boosted trees and the stack (k folds; ``inner`` folds inside the stack), and of the RMSE for
-    the two regressors."""
-    t = TB.stored(fold_col(with_tenfold(training_frame(spark, d)), k), "fold-rows")
-    models = {"best_f1": forests()["best_f1"], "boosted": boosted_tenfold(), "stacking": lambda train, test: stacked(train, test, inner)}
-    rows = [(name, k, SCORERS, fold_scores(t, est, k)) for name, est in models.items()]
+    best-F1 forest and the boosted trees (k folds), and of the RMSE for the two regressors."""
+    t = TB.stored(fold_col(training_frame(spark, d), k), "fold-rows")
     data = TB.stored(regression_frame(spark, d), "regression-rows")
-    rows += [(f"{kind}_regressor", n, ["rmse"], fold_rmse(fold_col(data, n, key="id"), regressors()[kind], n))
-             for kind, n in REGRESSION_FOLDS.items()]
-    out = None
-    for name, n, scorers, scores in rows:
-        every = [(c, F.col(c) if c in scorers else F.lit(None).cast("double")) for c in (*SCORERS, "rmse")]
-        r = scores.agg(*[X.r6(F.avg(v)).alias(f"mean_{c}") for c, v in every], *[X.r6(F.stddev_pop(v)).alias(f"std_{c}") for c, v in every])
-        r = r.select(F.lit(name).alias("model"), F.lit(n).alias("folds"), "*")
-        out = r if out is None else out.unionByName(r)
-    return out
+    r5, r10 = (TB.stored(fold_col(data, n, key="id"), "regression-folds") for n in REGRESSION_FOLDS.values())
+    folds = [r["fold"] for r in t.select("fold").distinct().collect()]  # k at most
+    est, least = forests()["best_f1"]
+    jobs = [lambda: boosted_scores(t, folds), lambda: boosted_rmse(r10), lambda: forest_rmse(r5, REGRESSION_FOLDS["rf"])]
+    jobs += [lambda f=f: forest_scores(t.filter(F.col("fold") != f), t.filter(F.col("fold") == f), est, least) for f in folds]
+    got = side_by_side(jobs, width)
+    return union([summary(fold_scores(t, union(got[3:])), "best_f1", k, SCORERS), summary(fold_scores(t, got[0]), "boosted", k, SCORERS),
+                  summary(got[2], "rf_regressor", REGRESSION_FOLDS["rf"], ["rmse"]), summary(got[1], "gbt_regressor", REGRESSION_FOLDS["gbt"], ["rmse"])])
 
 
-#: a few combinations that end in minutes; ``grid_trials`` takes any list of parameter sets
-SMALL_GRID = [dict(numTrees=n, maxDepth=dp) for n in (20, 40) for dp in (4, 8)]
+def cross_validate_stack(spark, d, k: int = 10, inner: int = 5) -> DataFrame:
+    """The summary row of the stack over k folds: k times the fits of a stack."""
+    t = TB.stored(fold_col(training_frame(spark, d), k), "fold-rows")
+    folds = [r["fold"] for r in t.select("fold").distinct().collect()]
+    scores = [stacked(t.filter(F.col("fold") != f).drop("fold"), t.filter(F.col("fold") == f).drop("fold"), inner) for f in folds]
+    return summary(fold_scores(t, union(scores)), "stacking", k, SCORERS)
 
 
-def grid_trials(spark, d, grid: list[dict], k: int = 5) -> DataFrame:
-    """One row per parameter set: the mean of four scorers over k folds."""
-    t = fold_col(training_frame(spark, d), k)
-    out = None
-    for i, params in enumerate(grid):
-        scores = fold_scores(t, RandomForestClassifier(weightCol="weight", seed=42, **params), k)
-        agg = scores.agg(*[F.avg(c).alias(f"mean_{c}") for c in SCORERS]).select(
-            F.lit(i).alias("trial"), F.lit(str(params)).alias("params"), "*")
-        out = agg if out is None else out.unionByName(agg)
-    return out
+def boosted_scores(t: DataFrame, folds: Sequence[int]) -> DataFrame:
+    out = B.fit_boosted(t, BOOSTED, folds, "article_id")[1]
+    return out.select(F.col("id").cast("long").alias("article_id"), probability(F.col("margin")).alias("s"))
 
 
-def written_trials(spark, d, grid: list[dict], k: int = 5) -> DataFrame:
-    """The trials as a written table: ranking them, or refitting the best, runs no fit again."""
-    return TB.stored(grid_trials(spark, d, grid, k), "trials")
+@dataclass(frozen=True)
+class Grid:
+    """Values of the tuned parameters; depth 0 is unlimited. The default is the reference's grid, 3,000 settings."""
 
+    trees: tuple[int, ...] = tuple(int(600 + 1400 * i / 9) for i in range(10))
+    depth: tuple[int, ...] = (20, 40, 60, 80, 0)
+    least_split: tuple[int, ...] = tuple(5 + 5 * i for i in range(10))
+    least_leaf: tuple[int, ...] = (2, 4, 8)
+    bootstrap: tuple[bool, ...] = (True, False)
+    columns: str = "sqrt"
 
-def refit_best(spark, d, trials: DataFrame, grid: list[dict], scorer: str = "precision"):
-    """The forest of the best trial by a scorer, fitted on all labelled vectors."""
-    best = trials.orderBy(F.desc(f"mean_{scorer}"), "trial").select("trial").first()["trial"]
-    return RandomForestClassifier(weightCol="weight", seed=42, **grid[best]).fit(training_frame(spark, d))
 
+DEEPEST = 30  # MLlib's limit: greater depths, and none, are this one
 
-def score_corpus(spark, d) -> DataFrame:
-    """Fit on the labelled articles, score every article in one transform (no batch loop)."""
+
+def grid_trials(train: DataFrame, grid: Grid, k: int = 5, width: int = 8) -> DataFrame:
+    """One row per setting: ``trial``, its parameters and the mean of four scorers over k stratified folds. One fit for
+    each fold and each pair of least leaf and bootstrap serves all other parameters."""
+    spark = train.sparkSession
+    t = TB.stored(M.stratified_folds(train, "label", "article_id", k), "grid-rows")
+    depths = sorted({min(x or DEEPEST, DEEPEST) for x in grid.depth})
+
+    def counts(f, leaf, boot):
+        nodes = fit_forest(t.filter(F.col("fold") != f), forest(max(grid.trees), max(depths), leaf, grid.columns, boot))
+        out = FO.grid_counts(t.filter(F.col("fold") == f), nodes, grid.trees, grid.least_split, depths)
+        return TB.stored(out.select("*", F.lit(f).alias("fold"), F.lit(leaf).alias("least_leaf"), F.lit(boot).alias("bootstrap")), "grid-counts")
+
+    got = union(side_by_side([lambda f=f, a=a, b=b: counts(f, a, b) for f in range(k) for a in grid.least_leaf for b in grid.bootstrap], width))
+    means = got.select("fold", "trees", "least_split", "least_leaf", "bootstrap", F.col("depth").alias("_depth"), *scorers()).groupBy(
+        "trees", "least_split", "least_leaf", "bootstrap", "_depth").agg(*[F.avg(c).alias(f"mean_{c}") for c in SCORERS])
+    labels = F.broadcast(spark.createDataFrame([(x, min(x or DEEPEST, DEEPEST)) for x in grid.depth], "depth long, _depth long"))
+    order = ["bootstrap", "depth", "least_leaf", "least_split", "trees"]
+    return M.ranked(means.join(labels, "_depth").select(*order, *[f"mean_{c}" for c in SCORERS]), order, "trial")
+
+
+def refit_best(train: DataFrame, trials: DataFrame, scorer: str = "f1") -> tuple[FO.Nodes, dict]:
+    """The forest of the best trial by a scorer, fitted on all of ``train``, and the trial; its nodes are cut at
+    the trial's ``least_split`` when it scores."""
+    best = trials.orderBy(F.desc(f"mean_{scorer}"), "trial").first().asDict()
+    return fit_forest(train, forest(best["trees"], min(best["depth"] or DEEPEST, DEEPEST), best["least_leaf"], "sqrt", best["bootstrap"])), best
+
+
+#: the part of the grid that the queries run: 500 of 3,000 settings, with 5 fits
+GRID_PART = Grid(least_leaf=(2,), bootstrap=(True,))
+
+
+def part_trials(spark, d) -> DataFrame:
+    """Trials of ``GRID_PART`` on nine tenths of the labelled articles, written once."""
+    return kept(spark, d, "trials", lambda: TB.stored(grid_trials(_split(training_frame(spark, d))[0], GRID_PART), "trials"))
+
+
+def refit_report(spark, d) -> DataFrame:
+    """The trial of the best F1, refitted on nine tenths and reported on the rest."""
+    train, test = _split(training_frame(spark, d))
+    nodes, best = refit_best(train, part_trials(spark, d))
+    return report(TB.stored(FO.probabilities(test, nodes, "article_id", best["least_split"]), "forest-scores"), test, "grid_best_f1")
+
+
+def save_scorer(spark, features: Features, model: RandomForestClassificationModel, least_split: int, path: str) -> None:
+    """The chosen features and a fitted forest, below a folder that driver and executors share."""
+    features.save(path)
+    model.write().overwrite().save(f"{path}/forest")
+    spark.createDataFrame([(least_split,)], "least_split int").write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def load_scorer(spark, path: str) -> tuple[Features, FO.Nodes, int]:
+    nodes = FO.nodes_of(spark, RandomForestClassificationModel.load(f"{path}/forest"))
+    return Features.load(spark, path), nodes, spark.read.parquet(f"{path}/settings").first()["least_split"]
+
+
+def score_articles(spark, d, path: str) -> DataFrame:
+    """Class and probability of every article by a saved scorer; nothing is fitted."""
     from ..plans import views as V
-    lab = labeled_frame(spark, d)
-    feats = fit_features(lab)
-    model = rf_base().fit(TB.stored(with_weights(feats.transform(lab).select("article_id", "label", "features")), "training-vectors"))
-    allf = model_frame(spark, d, V.labelled_articles(spark, d).na.fill({"label": 0}))
-    pred = model.transform(feats.transform(allf))
-    p1 = vector_to_array("probability")[1]
-    return pred.select("article_id", (p1 > 0.5).cast("int").alias("predicted"),
-                       F.when(p1 > 0.5, p1).otherwise(0.0).alias("probability"))
+    features, nodes, least_split = load_scorer(spark, path)
+    rows = TB.stored(model_frame(spark, d, V.labelled_articles(spark, d).na.fill({"label": 0})), "corpus-frame")
+    s = FO.probabilities(features.transform(rows), nodes, "article_id", least_split)
+    return s.select("article_id", (F.col("s") > 0.5).cast("int").alias("predicted"), F.when(F.col("s") > 0.5, F.col("s")).otherwise(0.0).alias("probability"))
+
+
+def saved_scorer(spark, d) -> str:
+    """The folder of the best-F1 forest, fitted on all labelled articles and saved."""
+    def make():
+        features, t = kept(spark, d, "training", lambda: fitted_frame(spark, d))
+        est, least = forests()["best_f1"]
+        path = TB.table_dir(spark, "scorer")
+        save_scorer(spark, features, est.fit(t), least, path)
+        return path
+
+    return kept(spark, d, "scorer", make)
+
+
+def score_corpus(spark, d) -> DataFrame:
+    return score_articles(spark, d, saved_scorer(spark, d))
 
 
 def regression_frame(spark, d) -> DataFrame:
-    """Writer features and a score per writer. The score stand-in is the mean value of the writer's views; the
-    features are of the other events alone, so none holds the score."""
+    """All writer features and a score per writer. The score stand-in is the mean value of the writer's views; time and
+    edit features are of the other events alone, so none holds the score; text measures are of the writer's text, 0 where
+    there is none."""
     from ..plans import q_keystrokes as QK
     from ..plans import views as V
     from . import keystrokes as K
     views = V.table(spark, d, "events").filter("event_type = 'view'")
     log = QK.event_log(spark, d).join(views.select("event_id"), "event_id", "left_anti")
-    feats = K.time_features(log).join(K.edit_features(log), "id")
+    text = QK.writer_texts(spark, d)
+    text = text.select("id", *[c.alias(k) for k, c in {**K.punct_features(F.col("final_text")), **K.word_features(F.col("final_text"))}.items()])
+    feats = K.time_features(log).join(K.edit_features(log), "id").join(text, "id", "left")
     ev = views.groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias("score"))
     data = feats.join(ev, "id").na.fill(0)
     cols = [c for c in data.columns if c not in ("id", "score")]
-    return VectorAssembler(inputCols=cols, outputCol="features").transform(data)
+    data = data.select("id", "score", *[F.col(c).cast("double").alias(c) for c in cols])
+    return VectorAssembler(inputCols=cols, outputCol="features").transform(data).select("id", "score", "features")
 
 
-def regressors():
-    return {
-        "rf": RandomForestRegressor(labelCol="score", numTrees=1000, seed=42),
-        "gbt": GBTRegressor(labelCol="score", maxIter=500, stepSize=0.017, maxDepth=5, subsamplingRate=0.8, seed=42),
-    }
+def forest_regressor():
+    return RandomForestRegressor(labelCol="score", numTrees=1000, seed=42)
+
+
+def forest_rmse(data: DataFrame, k: int) -> DataFrame:
+    """(fold, rmse) of the forest over the ``fold`` column of ``data``."""
+    def one(f):
+        pred = forest_regressor().fit(data.filter(F.col("fold") != f)).transform(data.filter(F.col("fold") == f))
+        return TB.stored(M.rmse_mse(pred, "score", "prediction").select("rmse"), "fold-rmse").withColumn("fold", F.lit(f))
+    return union(side_by_side([lambda f=f: one(f) for f in range(k)], k))
 
 
-def fold_rmse(data: DataFrame, est, k: int) -> DataFrame:
-    """(fold, rmse) of a regressor over the ``fold`` column of ``data``."""
-    rows = None
-    for f in range(k):
-        pred = est.fit(data.filter(F.col("fold") != f)).transform(data.filter(F.col("fold") == f))
-        r = TB.stored(M.rmse_mse(pred, "score", "prediction").select("rmse"), "fold-rmse").withColumn("fold", F.lit(f))
-        rows = r if rows is None else rows.unionByName(r)
-    return rows
+def boosted_rmse(data: DataFrame) -> DataFrame:
+    """(fold, rmse) of the boosted regressor over the ``fold`` column of ``data``; all folds in the same jobs."""
+    folds = [r["fold"] for r in data.select("fold").distinct().collect()]  # a bounded number
+    out = B.fit_boosted(data, BOOSTED_REGRESSOR, folds, "id", "score")[1]
+    return out.groupBy("fold").agg(F.sqrt(F.avg(F.pow(F.col("label") - F.col("margin"), 2))).alias("rmse"))
 
 
 def regress(spark, d, kind: str) -> DataFrame:
     """Writer features -> score regression, RMSE on a random 80/20 split."""
-    train, test = regression_frame(spark, d).randomSplit([0.8, 0.2], seed=42)
-    pred = regressors()[kind].fit(train).transform(test)
-    return M.rmse_mse(pred, "score", "prediction").withColumn("model", F.lit(kind))
+    data = TB.stored(fold_col(regression_frame(spark, d), 5, key="id", seed=42), "regression-rows")  # fold 0 is the test
+    if kind == "rf":
+        pred = forest_regressor().fit(data.filter("fold <> 0")).transform(data.filter("fold = 0")).select(F.col("score").alias("label"), "prediction")
+    else:
+        pred = B.fit_boosted(data, BOOSTED_REGRESSOR, [0], "id", "score")[1].select("label", F.col("margin").alias("prediction"))
+    return M.rmse_mse(pred, "label", "prediction").withColumn("model", F.lit(kind))

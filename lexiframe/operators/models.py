@@ -74,25 +74,18 @@ def vocabulary(df_table: DataFrame, n_docs: int, min_df: float, max_df: float) -
 
 
 def term_counts(docs: DataFrame, id_col: str, grams_col: str) -> DataFrame:
-    """(id, term, tf): raw n-gram counts per document, counted in the row: the grams are sorted, and a term's
-    count is the distance of two places where a new term begins. Nothing is shuffled."""
-    d = docs.select(id_col, F.array_sort(F.col(grams_col)).alias("_s"))
-    n = F.size("_s")
-    z = F.arrays_zip(F.col("_s").alias("t"), F.concat(F.array(F.lit(None).cast("string")), F.col("_s")).alias("p"),
-                     F.sequence(F.lit(0), F.greatest(n, F.lit(0))).alias("i"))
-    d = d.select(id_col, n.alias("_n"), F.filter(z, lambda e: e["t"].isNotNull() & ~e["t"].eqNullSafe(e["p"])).alias("_b"))
-    ends = F.concat(F.slice(F.col("_b.i"), 2, F.greatest(F.size("_b"), F.lit(1))), F.array("_n"))
-    rows = F.arrays_zip(F.col("_b.t").alias("term"), F.zip_with(ends, F.col("_b.i"), lambda e, s: (e - s).cast("long")).alias("tf"))
-    return d.filter(F.size("_b") > 0).select(id_col, F.inline(rows))
-
-
-def tfidf_long(tf: DataFrame, id_col: str, vocab: DataFrame, n_docs: int) -> DataFrame:
+    """(id, term, tf): raw n-gram counts per document, counted before the exchange and after it."""
+    return docs.select(id_col, F.explode(grams_col).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def tfidf_long(tf: DataFrame, id_col: str, vocab: DataFrame, n_docs: int, rounded: bool = True) -> DataFrame:
     """(id, term, weight): raw count x smooth idf ``ln((1+n)/(1+df)) + 1``, L2-normalised per
     document. ``tf`` is the (id, term, tf) table, also the source of the document frequencies."""
     idf = vocab.select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     w = tf.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))  # one document's terms
-    return w.select(id_col, "term", X.r6(F.col("w") / norm).alias("weight"))
+    weight = F.col("w") / norm
+    return w.select(id_col, "term", (X.r6(weight) if rounded else weight).alias("weight"))
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -113,3 +106,15 @@ def stratified_split(df: DataFrame, label: str, order_col: str, test_share: floa
                        partition_cols=[label])
     return ranked.withColumn("is_test", (F.col("_rk") < F.round(F.col("_total") * test_share)).cast("int")).drop(
         "_key", "_rk", "_total")
+
+
+def stratified_folds(df: DataFrame, label: str, order_col: str, k: int, seed: int = 42) -> DataFrame:
+    """Adds ``fold`` from 0 to k - 1, dealt in turn within every class in the order of a seeded hash of the id."""
+    from .corpus import row_index
+    ranked = row_index(df.withColumn("_key", F.xxhash64(F.col(order_col), F.lit(seed))), ["_key", order_col], name="_rk", partition_cols=[label])
+    return ranked.withColumn("fold", (F.col("_rk") % k).cast("int")).drop("_key", "_rk")
+
+
+def ranked(df: DataFrame, order: Sequence, name: str) -> DataFrame:
+    """``df`` with its rows' places from 0 in an order; for bounded tables (a selection, a list of trials)."""
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)

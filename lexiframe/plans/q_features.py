@@ -72,7 +72,10 @@ def arr(items) -> str:
 
 
 def ratio(name: str, a: tuple[str, str], b: tuple[str, str]) -> Feature:
-    return (name, f"round(try_divide(cast({a[0]} as double), cast({b[0]} as double)), 6)", f"round(CAST({a[1]} AS DOUBLE) / nullif({b[1]}, 0), 6)")
+    """A quotient of two counts to six places. Rounded in whole numbers, half up, so that engines agree on ties."""
+    (p, q), (m, n) = a, b
+    return (name, f"(case when ({m}) <> 0 then ((2000000 * cast({p} as bigint) + ({m})) div (2 * cast({m} as bigint))) / 1000000D end)",
+            f"(CAST((2000000 * CAST({q} AS BIGINT) + ({n})) // nullif(2 * CAST({n} AS BIGINT), 0) AS DOUBLE) / 1000000)")
 
 
 def flag(name: str, n: tuple[str, str]) -> Feature:

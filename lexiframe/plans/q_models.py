@@ -12,7 +12,7 @@ from ..operators import models as M
 from ..operators import ml as ML
 from ..sources import tables as TB
 
-MIN_DF, MAX_DF = 0.005, 0.7
+MIN_DF, MAX_DF = ML.MIN_DF, ML.MAX_DF
 
 TOK_SQL = r"regexp_extract_all(lower(text), '([\p{L}\p{N}_]{2,})', 1)"
 GRAMS_SQL = f"""
@@ -96,56 +96,55 @@ def rmse_mse(spark, d):
     return M.rmse_mse(scores(spark, d).filter(F.col("label").isNotNull()), "label", "probability")
 
 
-ANOVA_FEATURES = {
-    "excl": lambda t: X.count_char(t, "!"),
-    "comma": lambda t: X.count_char(t, ","),
-    "words": lambda t: F.size(F.split(t, " ")),
-    "chars": lambda t: F.length(t),
-    "sents": lambda t: F.size(F.split(t, r"\.")),
-}
-ANOVA_SQL = {
-    "excl": "length(text) - length(replace(text, '!', ''))",
-    "comma": "length(text) - length(replace(text, ',', ''))",
-    "words": "len(string_split(text, ' '))",
-    "chars": "length(text)",
-    "sents": "len(string_split(text, '.'))",
-}
-
-
-@register("select_k_anova", sql=S.with_(S.ART) + """,
-lab AS (SELECT * FROM art WHERE label IS NOT NULL),
-lf AS (""" + " UNION ALL ".join(f"SELECT {S.q(k)} AS feature, label, CAST({v} AS DOUBLE) AS x FROM lab" for k, v in ANOVA_SQL.items()) + """),
-g AS (SELECT feature, label, count(*) AS ng, avg(x) AS mg, sum(x * x) AS sxx FROM lf GROUP BY ALL),
-t AS (SELECT feature, sum(ng) AS n, count(*) AS k, sum(ng * mg) / sum(ng) AS m FROM g GROUP BY feature)
-SELECT g.feature, round((sum(g.ng * (g.mg - t.m) * (g.mg - t.m)) / (any_value(t.k) - 1))
-                        / ((sum(g.sxx - g.ng * g.mg * g.mg)) / (any_value(t.n) - any_value(t.k))), 6) AS f_score
-FROM g JOIN t USING (feature) GROUP BY g.feature""")
+def _model_sql() -> str:
+    """``long``: the sparse long table of terms and numbers of the labelled articles, as (article_id, label, kind, name,
+    value); ``scored``: the F score of each column; ``chosen``: the best 1,000."""
+    from . import q_features as QF
+    names = ", ".join(S.q(n) for n in QF.feature_names())
+    values = ", ".join(f"CAST(coalesce({q}, 0) AS DOUBLE)" for _, _, q in QF.all_features())
+    return S.with_(S.ART, S.PASSAGE_ROWS, QF.CHAIN_SQL) + f""",
+lab AS (SELECT f.*, a.label FROM feat f JOIN art a USING (article_id) WHERE a.label IS NOT NULL),
+ltok AS (SELECT article_id, label, regexp_extract_all(lower(lemma_text), '([\\p{{L}}\\p{{N}}_]{{2,}})', 1) AS t FROM lab),
+lgram AS (SELECT article_id, label, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM ltok),
+ltf AS (SELECT article_id, label, term, count(*) AS tf FROM lgram GROUP BY ALL),
+ln_ AS (SELECT count(*) AS n FROM lab),
+lvoc AS (SELECT term, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf FROM ltf, ln_ GROUP BY term
+         HAVING count(*) >= {MIN_DF} * any_value(n) AND count(*) <= {MAX_DF} * any_value(n)),
+lw AS (SELECT article_id, label, term, tf * idf AS w FROM ltf JOIN lvoc USING (term)),
+long AS (
+  SELECT article_id, label, 'term' AS kind, term AS name, w / sqrt(sum(w * w) OVER (PARTITION BY article_id)) AS value FROM lw
+  UNION ALL SELECT * FROM (SELECT article_id, label, 'feature' AS kind, unnest([{names}]) AS name, unnest([{values}]) AS value FROM lab) WHERE value <> 0),
+nc AS (SELECT label, count(*) AS nc FROM lab GROUP BY label),
+g AS (SELECT kind, name, label, sum(value) AS s, sum(value * value) AS q FROM long GROUP BY ALL),
+t AS (SELECT kind, name, sum(s) AS s, sum(q) AS q, sum(s * s / nc) AS b FROM g JOIN nc USING (label) GROUP BY kind, name),
+whole AS (SELECT sum(nc) AS n, count(*) AS k FROM nc),
+scored AS (SELECT kind, name, round(((b - s * s / n) / (k - 1)) / nullif((q - b) / (n - k), 0), 6) AS f_score FROM t, whole),
+chosen AS (SELECT kind, name, f_score, row_number() OVER (ORDER BY f_score DESC, kind, name) - 1 AS rank FROM scored
+           WHERE f_score IS NOT NULL QUALIFY rank < 1000)
+"""
+
+
+@register("select_k_anova", sql=_model_sql() + "SELECT rank, kind, name, f_score FROM chosen")
 def select_k_anova(spark, d):
-    lab = labeled(spark, d)
-    wide = lab.select("label", *[fn(F.col("text")).cast("double").alias(k) for k, fn in ANOVA_FEATURES.items()])
-    long = wide.unpivot(["label"], list(ANOVA_FEATURES), "feature", "x")
-    return ML.anova_f(long, "feature", "label", "x")
+    """The 1,000 columns, of all terms and numbers, that the fitted models use."""
+    lab = TB.stored(ML.labeled_frame(spark, d), "labelled")
+    return ML.select_k(ML.scored_columns(lab)[2], ML.KEYS, 1000).select("rank", "kind", "name", "f_score")
 
 
 # ---------------- fitted models (rows-only checks: MLlib and the reference library differ in RNG)
 
 
-def _train(spark, d):
-    return ML.training_frame(spark, d)
-
-
-@register("assemble")
+@register("assemble", sql=_model_sql() + """
+SELECT article_id, kind || ':' || name AS name, round(value, 6) AS value FROM long JOIN chosen USING (kind, name)""")
 def assemble(spark, d):
-    from pyspark.ml.functions import vector_to_array
-    t = _train(spark, d)
-    return t.select("article_id", "label", F.size(vector_to_array("features")).alias("n_features"),
-                    F.size(F.filter(vector_to_array("features"), lambda v: v != 0)).alias("n_nonzero"))
+    """The entries of the assembled vectors by the names that the vectors carry."""
+    lab = TB.stored(ML.labeled_frame(spark, d), "labelled")
+    return ML.named_values(TB.stored(ML.fit_features(lab)[1], "vectors")).withColumn("value", X.r6(F.col("value")))
 
 
 @register("split_random")
 def split_random(spark, d):
-    t = _train(spark, d).select("article_id", "label")
-    train, test = t.randomSplit([0.8, 0.2], seed=42)
+    train, test = labeled(spark, d).drop("text").randomSplit([0.8, 0.2], seed=42)
     return train.withColumn("is_test", F.lit(0)).unionByName(test.withColumn("is_test", F.lit(1)))
 
 
@@ -161,7 +160,7 @@ def rf_variants(spark, d):
 
 @register("boosted_classifier")
 def boosted_classifier(spark, d):
-    return ML.fit_and_report(spark, d, ML.boosted(), boost=10.0)
+    return ML.boosted_report(spark, d)
 
 
 @register("linear_models")
@@ -176,14 +175,19 @@ def stacking(spark, d):
 
 @register("grid_tune")
 def grid_tune(spark, d):
-    return ML.grid_trials(spark, d, ML.SMALL_GRID)
+    return ML.part_trials(spark, d)
 
 
 @register("rank_trials")
 def rank_trials(spark, d):
-    t = ML.written_trials(spark, d, ML.SMALL_GRID)
-    return t.orderBy(F.desc("mean_precision"), "trial").select("trial", "params", *[
-        F.round(f"mean_{m}", 3).alias(f"mean_{m}") for m in ("precision", "recall", "f1", "accuracy")])
+    t = ML.part_trials(spark, d)
+    return t.orderBy(F.desc("mean_precision"), "trial").select("trial", "trees", "depth", "least_split", "least_leaf", "bootstrap", *[
+        F.round(f"mean_{m}", 3).alias(f"mean_{m}") for m in ("precision", "recall", "accuracy", "f1")])
+
+
+@register("grid_refit")
+def grid_refit(spark, d):
+    return ML.refit_report(spark, d)
 
 
 @register("cross_validate")
@@ -204,4 +208,3 @@ def rf_regressor(spark, d):
 @register("boosted_regressor")
 def boosted_regressor(spark, d):
     return ML.regress(spark, d, "gbt")
-

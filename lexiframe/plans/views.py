@@ -37,39 +37,35 @@ def nations(spark, d) -> DataFrame:
     )
 
 
-def articles(spark, d) -> DataFrame:
-    """One row per article: documents ⨝ orders ⨝ customer ⨝ nation ⨝ region.
-
-    documents.doc_id ⨝ orders.o_orderkey and orders ⨝ customer are shuffle joins at scale (AQE may
-    turn a side into a broadcast at run time if its measured size is small); nation/region are broadcast.
-    """
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+def _article_keys(spark, d) -> DataFrame:
+    """article_id, entity columns and date of each order: what is joined to the texts, and far smaller."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cust = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     ent = nations(spark, d)
-    return (
-        docs.join(orders, docs.doc_id == orders.o_orderkey)
-        .join(cust, orders.o_custkey == cust.c_custkey)
-        .join(ent, cust.c_nationkey == ent.entity_key)
-        .select(
-            F.col("doc_id").alias("article_id"),
-            "text",
-            "lang",
-            F.col("source").alias("publisher"),
-            "entity_key",
-            "entity",
-            "region",
-            "stem",
-            F.to_date("o_orderdate").alias("date"),
-        )
-    )
+    return orders.join(cust, orders.o_custkey == cust.c_custkey).join(ent, cust.c_nationkey == ent.entity_key).select(
+        F.col("o_orderkey").alias("article_id"), "entity_key", "entity", "region", "stem", F.to_date("o_orderdate").alias("date"))
+
+
+ARTICLE_COLS = ["article_id", "text", "lang", "publisher", "entity_key", "entity", "region", "stem", "date"]
+
+
+def _with_texts(spark, d, keys: DataFrame) -> DataFrame:
+    """Articles of a table of keys. The texts move once, in this join, which also spreads a scan of few splits over all
+    cores; keys are joined among themselves before."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "text", "lang", F.col("source").alias("publisher"))
+    return docs.join(keys.hint("merge"), "article_id")
+
+
+def articles(spark, d) -> DataFrame:
+    """One row per article: documents joined to orders, customer, nation and region; nation/region are broadcast."""
+    return _with_texts(spark, d, _article_keys(spark, d)).select(*ARTICLE_COLS)
 
 
 def labelled_articles(spark, d) -> DataFrame:
     """Articles with their two annotations (null where there is none)."""
     labels = table(spark, d, "labels").select(
         F.col("doc_id").alias("article_id"), F.col("quality").alias("label"), F.col("toxic").alias("appointment"))
-    return articles(spark, d).join(labels, "article_id", "left")
+    return _with_texts(spark, d, _article_keys(spark, d).join(labels, "article_id", "left")).select(*ARTICLE_COLS, "label", "appointment")
 
 
 def dated_articles(spark, d) -> DataFrame:
