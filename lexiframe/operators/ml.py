@@ -26,10 +26,11 @@ from ..functions import text as X
 from ..sources import tables as TB
 
 
-def side_by_side(jobs: Sequence[Callable], width: int = 8) -> list:
-    """Results of independent jobs, at most ``width`` at a time."""
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable], width: int = 6) -> list:
+    """Results of independent jobs, at most ``width`` at a time: fewer than a small machine's cores, so that the many
+    short jobs of a boosted fit do not wait behind forests."""
     with ThreadPoolExecutor(width) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
 
 
 def threshold(df: DataFrame, prob: str, cut: float = 0.5) -> DataFrame:
@@ -168,7 +169,7 @@ def fitted_frame(spark, d) -> tuple[Features, DataFrame]:
     fold reads them, and not the texts."""
     lab = TB.stored(labeled_frame(spark, d), "labelled")
     features, vectors = fit_features(lab)
-    return features, TB.stored(with_weights(vectors), "training-vectors")
+    return features, rows_table(with_weights(vectors), "training-vectors")
 
 
 _kept: dict[tuple, object] = {}
@@ -186,13 +187,20 @@ def training_frame(spark, d) -> DataFrame:
     return kept(spark, d, "training", lambda: fitted_frame(spark, d))[1]
 
 
+def rows_table(df: DataFrame, name: str) -> DataFrame:
+    """Vectors written and read in few partitions: every task of a forest's fit sends sums for all nodes of a level,
+    however few rows it has."""
+    t = TB.stored(df, name)
+    return t.coalesce(max(1, -(-t.count() // B.ROWS)))
+
+
 def rf_base():
     return RandomForestClassifier(numTrees=1000, maxDepth=4, weightCol="weight", seed=42)
 
 
 def forest(trees: int, depth: int, least_leaf: int, columns: str, bootstrap: bool = True, seed: int = 42) -> RandomForestClassifier:
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=least_leaf, featureSubsetStrategy=columns,
-                                  bootstrap=bootstrap, weightCol="weight", seed=seed, maxMemoryInMB=512)
+                                  bootstrap=bootstrap, weightCol="weight", seed=seed)
 
 
 def forests() -> dict[str, tuple[RandomForestClassifier, int]]:
@@ -219,7 +227,7 @@ def with_split(t: DataFrame, share: float) -> DataFrame:
 
 
 def _split(t: DataFrame, share: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    s = TB.stored(with_split(t, share), "split")
+    s = rows_table(with_split(t, share), "split")
     return s.filter("fold = 1").drop("fold"), s.filter("fold = 0").drop("fold")
 
 
@@ -265,7 +273,7 @@ def fit_and_report(spark, d, est, name: str | None = None) -> DataFrame:
 
 def boosted_report(spark, d) -> DataFrame:
     """The boosted trees on a stratified 90/10 split."""
-    t = TB.stored(with_split(training_frame(spark, d), 0.1), "split")
+    t = rows_table(with_split(training_frame(spark, d), 0.1), "split")
     _, out = B.fit_boosted(t, BOOSTED, [0], "article_id")
     scores = out.select(F.col("id").cast("long").alias("article_id"), probability(F.col("margin")).alias("s"))
     return report(scores, t.filter("fold = 0"), "boosted")
@@ -275,7 +283,7 @@ def rf_variants_report(spark, d) -> DataFrame:
     """The three tuned forests on a stratified 80/20 split."""
     train, test = _split(training_frame(spark, d), 0.2)
     made = forests()
-    scores = side_by_side([lambda e=e, n=n: forest_scores(train, test, e, n) for e, n in made.values()])
+    scores = side_by_side(spark, [lambda e=e, n=n: forest_scores(train, test, e, n) for e, n in made.values()])
     return union([report(s, test, name) for name, s in zip(made, scores)])
 
 
@@ -288,7 +296,7 @@ def linear_report(spark, d) -> DataFrame:
     train, test = _split(training_frame(spark, d))
     lr = LogisticRegression(weightCol="weight", maxIter=100)
     jobs = [lambda: linear_scores(train, test, svc(weight="weight")), lambda: linear_scores(train, test, lr)]
-    a, b = side_by_side(jobs)
+    a, b = side_by_side(spark, jobs)
     return report(a, test, "linear_svc", 0.0).unionByName(report(b, test, "logistic"))
 
 
@@ -301,13 +309,13 @@ def linear_models(n: int) -> dict:
     return {"svc": svc(1 / n), "lr": LogisticRegression(regParam=1 / n, maxIter=100, standardization=False)}
 
 
-def stacked(train: DataFrame, test: DataFrame, k: int = 5, width: int = 8) -> DataFrame:
+def stacked(train: DataFrame, test: DataFrame, k: int = 5, width: int = 6) -> DataFrame:
     """article_id and score of ``test`` by the stack: out-of-fold scores of the six base models over ``train`` (k fits
     each, and one on all of it for ``test``) are the features of a logistic regression. Forests balance the classes,
     boosted trees weigh positives tenfold. All fits but the last one run side by side."""
     columns = ["article_id", "label", "weight", "features", "inner"]
     train = fold_col(train, k, "inner", seed=8).select(*columns)
-    rows = TB.stored(train.unionByName(test.withColumn("inner", F.lit(k)).select(*columns)), "stack-rows")
+    rows = rows_table(train.unionByName(test.withColumn("inner", F.lit(k)).select(*columns)), "stack-rows")
     sizes = {r["inner"]: r["count"] for r in rows.groupBy("inner").count().collect()}  # k + 1 rows
     n = sum(c for f, c in sizes.items() if f < k)
     fits = [f for f in sizes if f < k] + [k]  # the last one is fitted on all of ``train``
@@ -326,7 +334,7 @@ def stacked(train: DataFrame, test: DataFrame, k: int = 5, width: int = 8) -> Da
         return linear_scores(seen(f), test_rows, linear_models(n - (sizes[f] if f < k else 0))[name])
 
     names = [*forests(), *linear_models(n)]
-    got = side_by_side([boosted, *[lambda m=m, f=f: one(m, f) for f in fits for m in names]], width)
+    got = side_by_side(rows.sparkSession, [boosted, *[lambda m=m, f=f: one(m, f) for f in fits for m in names]], width)
     by_model = {"boosted": got[0], **{m: union(got[1 + i::len(names)]) for i, m in enumerate(names)}}
     meta = rows.select("article_id", "label", "inner")
     for m, s in by_model.items():
@@ -373,24 +381,26 @@ def summary(scores: DataFrame, model: str, k: int, names: Sequence[str]) -> Data
     return r.select(F.lit(model).alias("model"), F.lit(k).alias("folds"), "*")
 
 
-def cross_validate(spark, d, k: int = 10, width: int = 8) -> DataFrame:
+def cross_validate(spark, d, k: int = 10, width: int = 6) -> DataFrame:
     """One row per model: the mean and population std over its folds of precision, recall, F1 and accuracy for the
     best-F1 forest and the boosted trees (k folds), and of the RMSE for the two regressors."""
-    t = TB.stored(fold_col(training_frame(spark, d), k), "fold-rows")
+    t = rows_table(fold_col(training_frame(spark, d), k), "fold-rows")
     data = TB.stored(regression_frame(spark, d), "regression-rows")
-    r5, r10 = (TB.stored(fold_col(data, n, key="id"), "regression-folds") for n in REGRESSION_FOLDS.values())
+    r5, r10 = (rows_table(fold_col(data, n, key="id"), "regression-folds") for n in REGRESSION_FOLDS.values())
     folds = [r["fold"] for r in t.select("fold").distinct().collect()]  # k at most
     est, least = forests()["best_f1"]
-    jobs = [lambda: boosted_scores(t, folds), lambda: boosted_rmse(r10), lambda: forest_rmse(r5, REGRESSION_FOLDS["rf"])]
+    jobs = [lambda: boosted_scores(t, folds), lambda: boosted_rmse(r10)]
+    jobs += [lambda f=f: forest_rmse(r5, f) for f in range(REGRESSION_FOLDS["rf"])]
+    n = len(jobs)
     jobs += [lambda f=f: forest_scores(t.filter(F.col("fold") != f), t.filter(F.col("fold") == f), est, least) for f in folds]
-    got = side_by_side(jobs, width)
-    return union([summary(fold_scores(t, union(got[3:])), "best_f1", k, SCORERS), summary(fold_scores(t, got[0]), "boosted", k, SCORERS),
-                  summary(got[2], "rf_regressor", REGRESSION_FOLDS["rf"], ["rmse"]), summary(got[1], "gbt_regressor", REGRESSION_FOLDS["gbt"], ["rmse"])])
+    got = side_by_side(spark, jobs, width)
+    return union([summary(fold_scores(t, union(got[n:])), "best_f1", k, SCORERS), summary(fold_scores(t, got[0]), "boosted", k, SCORERS),
+                  summary(union(got[2:n]), "rf_regressor", REGRESSION_FOLDS["rf"], ["rmse"]), summary(got[1], "gbt_regressor", REGRESSION_FOLDS["gbt"], ["rmse"])])
 
 
 def cross_validate_stack(spark, d, k: int = 10, inner: int = 5) -> DataFrame:
     """The summary row of the stack over k folds: k times the fits of a stack."""
-    t = TB.stored(fold_col(training_frame(spark, d), k), "fold-rows")
+    t = rows_table(fold_col(training_frame(spark, d), k), "fold-rows")
     folds = [r["fold"] for r in t.select("fold").distinct().collect()]
     scores = [stacked(t.filter(F.col("fold") != f).drop("fold"), t.filter(F.col("fold") == f).drop("fold"), inner) for f in folds]
     return summary(fold_scores(t, union(scores)), "stacking", k, SCORERS)
@@ -416,11 +426,11 @@ class Grid:
 DEEPEST = 30  # MLlib's limit: greater depths, and none, are this one
 
 
-def grid_trials(train: DataFrame, grid: Grid, k: int = 5, width: int = 8) -> DataFrame:
+def grid_trials(train: DataFrame, grid: Grid, k: int = 5, width: int = 6) -> DataFrame:
     """One row per setting: ``trial``, its parameters and the mean of four scorers over k stratified folds. One fit for
     each fold and each pair of least leaf and bootstrap serves all other parameters."""
     spark = train.sparkSession
-    t = TB.stored(M.stratified_folds(train, "label", "article_id", k), "grid-rows")
+    t = rows_table(M.stratified_folds(train, "label", "article_id", k), "grid-rows")
     depths = sorted({min(x or DEEPEST, DEEPEST) for x in grid.depth})
 
     def counts(f, leaf, boot):
@@ -428,7 +438,7 @@ def grid_trials(train: DataFrame, grid: Grid, k: int = 5, width: int = 8) -> Dat
         out = FO.grid_counts(t.filter(F.col("fold") == f), nodes, grid.trees, grid.least_split, depths)
         return TB.stored(out.select("*", F.lit(f).alias("fold"), F.lit(leaf).alias("least_leaf"), F.lit(boot).alias("bootstrap")), "grid-counts")
 
-    got = union(side_by_side([lambda f=f, a=a, b=b: counts(f, a, b) for f in range(k) for a in grid.least_leaf for b in grid.bootstrap], width))
+    got = union(side_by_side(spark, [lambda f=f, a=a, b=b: counts(f, a, b) for f in range(k) for a in grid.least_leaf for b in grid.bootstrap], width))
     means = got.select("fold", "trees", "least_split", "least_leaf", "bootstrap", F.col("depth").alias("_depth"), *scorers()).groupBy(
         "trees", "least_split", "least_leaf", "bootstrap", "_depth").agg(*[F.avg(c).alias(f"mean_{c}") for c in SCORERS])
     labels = F.broadcast(spark.createDataFrame([(x, min(x or DEEPEST, DEEPEST)) for x in grid.depth], "depth long, _depth long"))
@@ -519,12 +529,10 @@ def forest_regressor():
     return RandomForestRegressor(labelCol="score", numTrees=1000, seed=42)
 
 
-def forest_rmse(data: DataFrame, k: int) -> DataFrame:
-    """(fold, rmse) of the forest over the ``fold`` column of ``data``."""
-    def one(f):
-        pred = forest_regressor().fit(data.filter(F.col("fold") != f)).transform(data.filter(F.col("fold") == f))
-        return TB.stored(M.rmse_mse(pred, "score", "prediction").select("rmse"), "fold-rmse").withColumn("fold", F.lit(f))
-    return union(side_by_side([lambda f=f: one(f) for f in range(k)], k))
+def forest_rmse(data: DataFrame, f: int) -> DataFrame:
+    """(fold, rmse) of the forest fitted without a fold of ``data``."""
+    pred = forest_regressor().fit(data.filter(F.col("fold") != f)).transform(data.filter(F.col("fold") == f))
+    return TB.stored(M.rmse_mse(pred, "score", "prediction").select("rmse"), "fold-rmse").withColumn("fold", F.lit(f))
 
 
 def boosted_rmse(data: DataFrame) -> DataFrame:
@@ -536,7 +544,7 @@ def boosted_rmse(data: DataFrame) -> DataFrame:
 
 def regress(spark, d, kind: str) -> DataFrame:
     """Writer features -> score regression, RMSE on a random 80/20 split."""
-    data = TB.stored(fold_col(regression_frame(spark, d), 5, key="id", seed=42), "regression-rows")  # fold 0 is the test
+    data = rows_table(fold_col(regression_frame(spark, d), 5, key="id", seed=42), "regression-rows")  # fold 0 is the test
     if kind == "rf":
         pred = forest_regressor().fit(data.filter("fold <> 0")).transform(data.filter("fold = 0")).select(F.col("score").alias("label"), "prediction")
     else:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -53,18 +54,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 _shipped: set[str] = set()
+_shipping = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the workers as a zip, once for each application, as ``--py-files`` would."""
     sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="lexiframe-"), "lexiframe-operators.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(package):
-            for n in (n for n in names if n.endswith(".py")):
-                z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), os.path.dirname(package)))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
+    with _shipping:  # fits run side by side
+        if sc.applicationId in _shipped:
+            return
+        package = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="lexiframe-"), "lexiframe-operators.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for d, _, names in os.walk(package):
+                for n in (n for n in names if n.endswith(".py")):
+                    z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), os.path.dirname(package)))
+        sc.addPyFile(path)
+        _shipped.add(sc.applicationId)

@@ -1,52 +1,127 @@
-"""The fitted models have the reference's parameters, and folds cover every model."""
+"""The fitted models have the reference's parameters; forests read node by node; folds cover every model."""
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
+import dataclasses
+
+import numpy as np
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import functions as F
 
+from lexiframe.operators import forests as FO
 from lexiframe.operators import ml as ML
+from lexiframe.operators import models as M
 
 
 def test_parameters(spark):
-    forests = {k: tuple(m.getOrDefault(p) for p in ("numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy"))
-               for k, m in ML.forests().items()}
-    assert forests == {"best_f1": (2000, 30, 2, "sqrt"), "best_precision": (2000, 30, 1, "sqrt"), "best_recall": (400, 10, 4, "all")}
-    base = ML.base_models(50)
-    assert list(base) == ["best_f1", "best_precision", "best_recall", "boosted", "svc", "lr"]
-    b = base["boosted"]
-    assert (type(b), b.getMaxDepth(), b.getMaxIter(), b.getWeightCol()) == (GBTClassifier, 7, 100, "tenfold")
-    assert isinstance(base["lr"], LogisticRegression) and isinstance(base["svc"].getStages()[-1], LinearSVC)
-    df = spark.createDataFrame([(0.0,), (1.0,)], ["label"])
-    assert {r["label"]: r["tenfold"] for r in ML.with_tenfold(df).collect()} == {0.0: 1.0, 1.0: 10.0}
-
-
-def labelled(spark):
-    rows = [(i, float(i % 2), Vectors.dense([i % 2 + 0.1 * (i % 5), float(i % 3)]), 1.0) for i in range(60)]
+    made = {k: (*(m.getOrDefault(p) for p in ("numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy")), split) for k, (m, split) in ML.forests().items()}
+    assert made == {"best_f1": (2000, 30, 2, "sqrt", 45), "best_precision": (2000, 30, 1, "sqrt", 2), "best_recall": (400, 10, 4, "all", 10)}
+    b, r = ML.BOOSTED, ML.BOOSTED_REGRESSOR
+    assert (b.rounds, b.depth, b.rate, b.positive) == (100, 7, 0.3, 10.0) and (r.rounds, r.leaves, r.least_rows, r.row_share, r.column_share) == (500, 19, 46, 0.75, 0.8)
+    g = ML.Grid()
+    assert len(g.trees) * len(g.depth) * len(g.least_split) * len(g.least_leaf) * len(g.bootstrap) == 3000
+    assert g.trees[0] == 600 and g.trees[-1] == 2000 and g.least_split == (5, 10, 15, 20, 25, 30, 35, 40, 45, 50)
+
+
+def labelled(spark, n=60):
+    r = np.random.default_rng(1)
+    rows = [(i, float(i % 3 > 0), Vectors.dense([i % 3 + r.normal() * 0.9, float(r.normal()), float(r.integers(0, 4))]), 1.0) for i in range(n)]
     return spark.createDataFrame(rows, ["article_id", "label", "features", "weight"]).coalesce(1)
 
 
-def test_stacked(spark, monkeypatch):
-    monkeypatch.setattr(ML, "base_models", lambda n: {"svc": LinearSVC(regParam=1 / n), "lr": LogisticRegression(regParam=1 / n)})
-    frame = labelled(spark)
-    out = ML.stacked(frame.filter("article_id < 40"), frame.filter("article_id >= 40"), 2).collect()
-    assert sorted(r["article_id"] for r in out) == list(range(40, 60)) and all(r["prediction"] == r["label"] for r in out)
+def test_forest_nodes(spark):
+    """Uncut, the nodes say what the model says; cut at a depth and to the first trees, what that forest would say."""
+    t = labelled(spark, 90)
+    est = RandomForestClassifier(numTrees=12, maxDepth=6, seed=3, weightCol="weight")
+    model = est.fit(t)
+    nodes = FO.nodes_of(spark, model)
+    want = {r["article_id"]: r["p"] for r in model.transform(t).select("article_id", vector_to_array("probability")[1].alias("p")).collect()}
+    got = {r["article_id"]: r["s"] for r in FO.probabilities(t, nodes, "article_id", 2).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    rows = t.select("label", vector_to_array("features").alias("x")).collect()
+    x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows])
+
+    def walk(tree, row, least, depth):
+        at, level = nodes.first[tree], 0
+        while not nodes.leaf[at] and nodes.rows[at] >= least and level < depth:
+            at = nodes.left[at] if row[nodes.feature[at]] <= nodes.threshold[at] else nodes.right[at]
+            level += 1
+        return nodes.share[at]
+
+    counts = {(r["trees"], r["least_split"], r["depth"]): r for r in FO.grid_counts(t, nodes, [3, 12], [2, 20, 40], [2, 30]).collect()}
+    assert len(counts) == 12
+    for (n, least, depth), r in counts.items():
+        said = np.array([np.mean([walk(k, row, least, depth) for k in range(n)]) > 0.5 for row in x])
+        assert (r["tp"], r["pp"], r["ap"], r["right"], r["n"]) == ((said & (y == 1)).sum(), said.sum(), (y == 1).sum(), (said == (y == 1)).sum(), 90)
+    assert len({(r["tp"], r["pp"]) for r in counts.values()}) > 1
+
 
+def small(monkeypatch):
+    monkeypatch.setattr(ML, "forests", lambda: {"best_f1": (ML.forest(5, 4, 1, "sqrt"), 4)})
+    monkeypatch.setattr(ML, "BOOSTED", dataclasses.replace(ML.BOOSTED, rounds=3))
+    monkeypatch.setattr(ML, "BOOSTED_REGRESSOR", dataclasses.replace(ML.BOOSTED_REGRESSOR, rounds=3, least_rows=3))
 
-def test_folds_cover_the_models(spark, monkeypatch):
+
+def test_stacked_and_folds(spark, monkeypatch):
+    small(monkeypatch)
     frame = labelled(spark)
-    data = frame.selectExpr("article_id AS id", "features", "label + 1 AS score")
-    lr = LogisticRegression(maxIter=5)
+    test = frame.filter("article_id >= 45")
+    out = {r["article_id"]: r["s"] for r in ML.stacked(frame.filter("article_id < 45"), test, 2).collect()}
+    assert sorted(out) == list(range(45, 60)) and all(0 <= s <= 1 for s in out.values())
+    assert np.mean([(out[r["article_id"]] > 0.5) == r["label"] for r in test.collect()]) > 0.6
+    data = frame.select(F.col("article_id").alias("id"), "features", (F.col("label") + 1).alias("score"))
     monkeypatch.setattr(ML, "training_frame", lambda s, d: frame)
     monkeypatch.setattr(ML, "regression_frame", lambda s, d: data)
-    monkeypatch.setattr(ML, "forests", lambda: {"best_f1": lr})
-    monkeypatch.setattr(ML, "boosted_tenfold", lambda: lr.copy({lr.weightCol: "tenfold"}))
-    monkeypatch.setattr(ML, "stacked", lambda train, test, k: lr.fit(train).transform(test))
-    monkeypatch.setattr(ML, "regressors", lambda: {k: RandomForestRegressor(labelCol="score", numTrees=1, maxDepth=1) for k in ("rf", "gbt")})
-    monkeypatch.setattr(ML, "REGRESSION_FOLDS", {"rf": 2, "gbt": 2})
+    monkeypatch.setattr(ML, "forest_regressor", lambda: RandomForestRegressor(labelCol="score", numTrees=2))
+    monkeypatch.setattr(ML, "REGRESSION_FOLDS", {"rf": 2, "gbt": 3})
     out = {r["model"]: r for r in ML.cross_validate(spark, None, k=2).collect()}
-    assert list(out) == ["best_f1", "boosted", "stacking", "rf_regressor", "gbt_regressor"]
+    assert {m: r["folds"] for m, r in out.items()} == {"best_f1": 2, "boosted": 2, "rf_regressor": 2, "gbt_regressor": 3}
     for name, r in out.items():
-        assert r["folds"] == 2 and (r["mean_rmse"] is None) == (not name.endswith("regressor")) and (r["mean_f1"] is None) == name.endswith("regressor")
-    assert all(out[m]["mean_f1"] > 0.9 for m in ("best_f1", "boosted", "stacking"))
-    held = {r["cls"]: r["support"] for r in ML.rf_variants_report(spark, None).collect()}
-    assert held == {0: 6, 1: 6}  # a fifth
+        assert (r["mean_rmse"] is None) == (not name.endswith("regressor")) and (r["mean_f1"] is None) == name.endswith("regressor")
+
+
+def test_grid(spark, monkeypatch):
+    frame = labelled(spark, 90)
+    grid = ML.Grid(trees=(2, 5), depth=(2, 0), least_split=(2, 30), least_leaf=(1, 3), bootstrap=(True,))
+    trials = ML.grid_trials(frame, grid, k=3)
+    rows = trials.collect()
+    assert [r["trial"] for r in sorted(rows, key=lambda r: r["trial"])] == list(range(16))
+    assert {(r["trees"], r["depth"], r["least_split"], r["least_leaf"]) for r in rows} == {(n, d, s, a) for n in (2, 5) for d in (2, 0) for s in (2, 30) for a in (1, 3)}
+    nodes, best = ML.refit_best(frame, trials)
+    assert best["mean_f1"] == max(r["mean_f1"] for r in rows) and len(nodes.first) == best["trees"]
+    folds = M.stratified_folds(frame, "label", "article_id", 3).groupBy("label", "fold").count().collect()
+    assert {(r["label"], r["count"]) for r in folds} == {(0.0, 10), (1.0, 20)}
+
+
+def test_saved_scorer(spark, tmp_path):
+    """Features and forest come back from the folder; names and values of the vectors are those of the long table."""
+    rows = [(i, float(i % 2), ("green apple tree " if i % 2 else "paper road stone ") * (1 + i % 3) + f"word{i % 4}", float(i % 5)) for i in range(40)]
+    lab = spark.createDataFrame(rows, ["article_id", "label", "text", "size"])
+    features, vectors = ML.fit_features(lab, top_k=6)
+    names = ML.names_of(vectors)
+    assert len(names) == 6 and all(n.startswith(("term:", "feature:")) for n in names)
+    long = {(r["article_id"], f"{r['kind']}:{r['name']}"): r["value"] for r in features.long(lab).collect()}
+    got = {(r["article_id"], r["name"]): r["value"] for r in ML.named_values(vectors).collect()}
+    assert got == {k: v for k, v in long.items() if k[1] in names}
+    t = ML.with_weights(vectors)
+    model = ML.forest(4, 3, 1, "sqrt").fit(t)
+    ML.save_scorer(spark, features, model, 2, f"{tmp_path}/scorer")
+    back, nodes, least = ML.load_scorer(spark, f"{tmp_path}/scorer")
+    a = FO.probabilities(back.transform(lab), nodes, "article_id", least).collect()
+    b = FO.probabilities(vectors, FO.nodes_of(spark, model), "article_id", 2).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 40
+
+
+def test_anova_counts_zeros(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(30, 4)) * (r.random((30, 4)) < 0.4)
+    y = r.integers(0, 2, 30)
+    long = spark.createDataFrame([(int(y[i]), f"c{j}", float(x[i, j])) for i in range(30) for j in range(4) if x[i, j]], "label int, name string, value double")
+    classes = spark.createDataFrame([(c, int((y == c).sum())) for c in (0, 1)], "label int, nc long")
+    got = {q["name"]: q["f_score"] for q in ML.anova_f(long, classes, ["name"], "label", "value").collect()}
+    for j in range(4):
+        groups = [x[y == c, j] for c in (0, 1)]
+        between = sum(len(g) * (g.mean() - x[:, j].mean()) ** 2 for g in groups)
+        within = sum(((g - g.mean()) ** 2).sum() for g in groups) / 28
+        assert abs(got[f"c{j}"] - between / within) < 1e-5
