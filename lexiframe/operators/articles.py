@@ -67,8 +67,8 @@ def clean_tokens(text: Column, stopwords: Sequence[str] = C.STOPWORDS) -> Column
 
 
 def lemma_map_col(pairs=C.LEMMAS) -> Column:
-    """Form -> lemma as a map literal (the lemma table is a bounded dictionary; a larger one
-    would go through ``lexicon.lemmatize_join``)."""
+    """Form -> lemma as a map literal (a short fixed list; tables of any size go through
+    ``lexicon.lemmatize_join``)."""
     return F.create_map(*[F.lit(x) for p in pairs for x in p])
 
 

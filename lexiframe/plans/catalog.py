@@ -93,6 +93,13 @@ LEMMAS = [
     ("los", "el"), ("las", "el"), ("del", "de"),
 ]
 
+# ---- fixed values: namesakes (rule, entity stem or None for all, context word, stem of the surname, words apart) ----
+NAMESAKES = [
+    ("all_1", None, "fact", "th", 4), ("all_2", None, "que", "est", 2), ("the_1", "the", "from", "this", 8),
+    ("the_2", "the", "by", "the", 3), ("of_1", "of", "with", "that", 8), ("de_1", "de", "les", "pour", 5),
+    ("der_1", "der", "von", "die", 4), ("this_1", "this", "is", "no", 6),
+]
+
 # ---- fixed values: article rules (rules engine input) ----
 # scope: 'sentence' (masked passage sentences) or 'doc' (whole text, lower-cased match).
 # any_of / any_of2 / all_of / none_of are word-start (prefix) term lists; mask=True requires the mask

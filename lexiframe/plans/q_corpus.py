@@ -10,6 +10,7 @@ from . import views as V
 from .registry import register
 from ..functions import text as X
 from ..operators import corpus as CO
+from ..operators import namesakes as NS
 from ..sources import tables as TB
 
 ART = S.ART
@@ -136,6 +137,32 @@ def namesake_exclude(spark, d):
                     F.when(hit, F.lit("")).otherwise(F.col("text")).alias("text"))
 
 
+def _namesake_hit(context, surname, gap):
+    return f"regexp_matches(text, '(?:^|{S.NW})(?i:{context})(?:{S.NW}+{S.WD}+){{0,{gap - 1}}}{S.NW}+(?i:{surname})')"
+
+
+_NAMESAKE_RULES = ", ".join(
+    f"CASE WHEN {'true' if stem is None else 'stem = ' + S.q(stem)} AND {_namesake_hit(ctx, sur, gap)} THEN {S.q(rule)} END"
+    for rule, stem, ctx, sur, gap in sorted(C.NAMESAKES))
+_NAMESAKE_CTE = S.with_(ART) + f""",
+nm AS (SELECT article_id, text, list_filter([{_NAMESAKE_RULES}], lambda r: r IS NOT NULL) AS rules FROM art)"""
+
+
+def _namesakes(spark, d):
+    rules = spark.createDataFrame(C.NAMESAKES, "rule string, stem string, context string, surname string, gap int")
+    return NS.split(V.articles(spark, d), rules)
+
+
+@register("namesake_kept", sql=_NAMESAKE_CTE + "SELECT article_id, text FROM nm WHERE len(rules) = 0")
+def namesake_kept(spark, d):
+    return _namesakes(spark, d)[0].select("article_id", "text")
+
+
+@register("namesake_removed", sql=_NAMESAKE_CTE + "SELECT article_id, text, array_to_string(rules, ',') AS rules FROM nm WHERE len(rules) > 0")
+def namesake_removed(spark, d):
+    return _namesakes(spark, d)[1].select("article_id", "text", F.array_join("rules", ",").alias("rules"))
+
+
 _TITLE_MARK = ".\n"  # fixed value: the first title line ends here
 
 

@@ -38,6 +38,17 @@ def lexicon_substring_join(spark, d):
     return LX.substring_join(docs, "doc_id", "text", V.lexicon(spark))
 
 
+@register("term_search", sql="""
+WITH terms AS (SELECT DISTINCT 'w' || length(w) AS category, w AS term
+  FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE length(w) > 3)
+SELECT doc_id, category, count(*) AS n_terms FROM documents JOIN terms ON contains(lower(text), term) GROUP BY ALL""")
+def term_search(spark, d):
+    """The lexicon: every longer word of the benchmark items, its category the length."""
+    words = V.table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("term")).where("length(term) > 3")
+    terms = words.distinct().select(F.concat(F.lit("w"), F.length("term")).alias("category"), "term")
+    return LX.term_search(V.table(spark, d, "documents"), "doc_id", "text", terms)
+
+
 _CAPS = [c for _, c in C.REGION_CAPITALS]
 
 

@@ -10,6 +10,7 @@ from . import views as V
 from .registry import register
 from ..functions import text as X
 from ..operators import articles as AR
+from ..operators import lexicon as LX
 
 ART, PR = S.ART, S.PASSAGE_ROWS
 
@@ -78,6 +79,33 @@ def lemma_map(spark, d):
     return docs.select("doc_id", F.array_join(AR.lemmatize(AR.clean_tokens(F.col("text"))), " ").alias("lemma_text"))
 
 
+def suffix_lemmas(forms):
+    """Lemma table of a vocabulary: the fixed lemmas, else a form in -s is a form of the word without it, if there is one."""
+    fixed = V.fixed(forms.sparkSession, C.LEMMAS, "form string, lemma string")
+    cut = forms.where(F.col("form").endswith("s") & (F.length("form") > 3)).select(
+        "form", F.expr("left(form, length(form) - 1)").alias("lemma"))
+    cut = cut.join(forms.select(F.col("form").alias("lemma")), "lemma", "left_semi").join(fixed.select("form"), "form", "left_anti")
+    return fixed.unionByName(cut.select("form", "lemma"))
+
+
+@register("lemma_table", sql=f"""
+WITH t AS (SELECT doc_id, {_clean_sql('text')} AS w FROM documents),
+tok AS (SELECT doc_id, unnest(w) AS form, unnest(range(len(w))) AS pos FROM t),
+voc AS (SELECT DISTINCT form FROM tok), fixed AS (SELECT * FROM {S.values(C.LEMMAS, ['form', 'lemma'], 'lm')}),
+lem AS (SELECT form, lemma FROM fixed UNION ALL
+        SELECT form, left(form, length(form) - 1) FROM voc WHERE suffix(form, 's') AND length(form) > 3
+          AND left(form, length(form) - 1) IN (FROM voc) AND form NOT IN (SELECT form FROM fixed))
+SELECT t.doc_id, coalesce(any_value(g.lemma_text), '') AS lemma_text FROM t LEFT JOIN (
+  SELECT doc_id, string_agg(coalesce(lemma, tok.form), ' ' ORDER BY pos) AS lemma_text
+  FROM tok LEFT JOIN lem ON lem.form = tok.form GROUP BY doc_id) g ON g.doc_id = t.doc_id GROUP BY t.doc_id""")
+def lemma_table(spark, d):
+    """Texts lemmatised by a table as large as their vocabulary."""
+    docs = V.table(spark, d, "documents").select("doc_id", AR.clean_tokens(F.col("text")).alias("tokens"))
+    forms = docs.select(F.explode("tokens").alias("form")).distinct()
+    out = LX.lemmatize_join(docs, "doc_id", "tokens", suffix_lemmas(forms))
+    return out.select("doc_id", F.array_join("lemmas", " ").alias("lemma_text"))
+
+
 _RAW_SQL = """len(string_split(text, ' ')) AS words, length(text) AS chars, len(string_split(text, '.')) AS sents,
        round(CAST(length(text) AS DOUBLE) / nullif(len(string_split(text, ' ')), 0), 6) AS avg_word,
        round(CAST(len(string_split(text, ' ')) AS DOUBLE) / nullif(len(string_split(text, '.')), 0), 6) AS avg_sent"""
