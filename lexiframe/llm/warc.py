@@ -142,9 +142,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return stored(mapped(marked, write, "path string, records long"), "warc-archives")
 
 
-def read_archives(archives: DataFrame, folder: str, batch_rows: int = 2048) -> DataFrame:
+def read_archives(archives: DataFrame, folder: str, batch_rows: int = 2048, most_tasks: int = 20_000) -> DataFrame:
     """Records of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to. The payload of
-    each response is checked against its digest, and each archive against its number of records."""
+    each response is checked against its digest, and each archive against its number of records. There are as many
+    tasks as archives, ``most_tasks`` at most."""
 
     def read(batches):
         fs, _ = pafs.FileSystem.from_uri(folder)
@@ -178,8 +179,9 @@ def read_archives(archives: DataFrame, folder: str, batch_rows: int = 2048) -> D
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
+    tasks = max(1, min(archives.count(), most_tasks))  # a number of its own, or adaptive execution joins the short rows of paths in one task
     return mapped(
-        archives.repartition("path"), read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        archives.repartition(tasks, "path"), read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op6_warc(spark, sf_dir):

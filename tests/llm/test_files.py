@@ -43,6 +43,7 @@ def test_round_trip(spark):
         archives = write_archives(spark.createDataFrame(pages(), SCHEMA).repartition(3), folder, archive_bytes=2000, min_payload=least)
         out = read_archives(archives, folder)
         assert got(out, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want(archived(pages(), least))
+    assert archives.count() > 5 and out.rdd.getNumPartitions() == archives.count()
     path = Path(archives.first()["path"])
     raw = path.read_bytes()
     magic, n = struct.unpack("<II", raw[:8])
