@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import mapped, table, text_or_empty
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/!?])[^<>]*\Z", re.S)
+START = re.compile(r"</?[a-zA-Z]")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
+BLIND_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in (
     "script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template")}
@@ -44,6 +47,14 @@ BESIDE = set("has no with without".split())
 ENDS = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"},
         "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
+ENDED_BY: dict[str, list[str]] = {}
+for _open, _by in ENDS.items():
+    for _tag in _by or ():
+        ENDED_BY.setdefault(_tag, ["p"]).append(_open)
+SCOPE = ("table", "td", "th", "div", "article", "section", "ul", "ol", "blockquote")
+#: end tags of the first kind reach no further up than the innermost open element of the second
+SHORT = {"p", "li", "dt", "dd", "td", "th", "tr"}
+BARS = ("table", "ul", "ol", "dl", "article", "div", "section")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", *HEADINGS}  # their points go to the element around them
 
@@ -53,11 +64,11 @@ class Node:
     article or main element, without a mark between. Marked elements have the points, plain characters and article
     of their blocks: ``own`` without those of marked elements inside, ``all`` with them; and ``cut``."""
 
-    __slots__ = ("tag", "parent", "furniture", "order", "points", "chars", "linked", "mark", "article", "own", "all", "cut")
+    __slots__ = ("tag", "parent", "furniture", "order", "points", "chars", "linked", "mark", "article", "own", "all", "cut", "far")
 
     def __init__(self, tag, parent, furniture, order, marked=False):
         self.tag, self.parent, self.furniture, self.order = tag, parent, furniture, order
-        self.points, self.chars, self.linked = 0.0, 0, 0
+        self.points, self.far, self.chars, self.linked = 0.0, 0.0, 0, 0
         above = parent is not None and parent.article
         if tag in ("article", "main"):
             self.mark, self.article = parent.mark, above or not marked  # an article of class comment is not the article
@@ -98,9 +109,11 @@ def is_marked(tag: str, attributes: str) -> bool:
 def parse(page: str) -> list[tuple[Node, str, int]]:
     """Blocks of text in page order: (element, text, characters of it in links). Text of inline elements
     belongs to the block that they stand in; furniture is left out, but not marked elements; line breaks are
-    white space."""
+    white space. Time is linear in the page: it is read forward only, and of each tag the places where it is open are known."""
     root = Node("html", None, False, 0)
-    stack, inline, blocks = [root], [], []  # open block elements; open inline elements as (tag, furniture)
+    stack, blocks = [root], []  # open block elements
+    inline: dict[str, list[bool]] = {}  # tag -> whether each open inline element of it is furniture
+    where: dict[str, list[int]] = {}  # tag -> places in ``stack``
     run: list[str] = []
     linked, at, order, links, muted, articles = 0, 0, 0, 0, 0, 0
 
@@ -118,10 +131,15 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
         nonlocal links, muted, articles
         flush()
         while len(stack) > depth:
-            articles -= stack.pop().tag in ("article", "main")
+            gone = stack.pop().tag
+            where[gone].pop()
+            articles -= gone in ("article", "main")
         inline.clear()
         links = muted = 0
 
+    def innermost(tags):
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
     def add(text):
         nonlocal linked
         if not stack[-1].furniture and not muted and text:
@@ -130,21 +148,40 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
             if links:
                 linked += len(" ".join(text.split()))
 
-    pos, size = 0, len(page)
+    pos, at, size = 0, 0, len(page)  # text begins at ``pos``, the next token is sought from ``at``
+    last_open, last_end, blind = page.rfind("<"), page.rfind(">"), False
     while pos < size:
-        m = TOKEN.search(page, pos)
-        if m is None:
+        at = page.find("<", at)
+        if at < 0:
             add(page[pos:])
             break
-        add(page[pos : m.start()])
-        pos = m.end()
-        tag = m[2]
-        if tag is None:
+        m, end = None, 0
+        if page.startswith("<!--", at):
+            found = COMMENT_END.search(page, at + 4)
+            end = found.end() if found else size
+        elif at > last_end:  # no tag ends any more
+            if at == last_open and page[at + 1 : at + 2].isascii() and re.match("[a-zA-Z/!?]", page[at + 1 : at + 2]):
+                end = size
+        elif page[at + 1] in "!?":
+            end = page.index(">", at) + 1
+        elif START.match(page, at):
+            m = None if blind else TAG.match(page, at)
+            if m is None:  # a quote is not closed: from here on tags end at the next >, so that none is sought in vain again
+                blind = True
+                m = BLIND_TAG.match(page, at)
+            end = m.end() if m else 0
+        if not end:
+            at += 1
+            continue
+        add(page[pos:at])
+        pos = at = end
+        if m is None:
             continue
+        tag = m[2]
         tag, closing, attributes = tag.lower(), bool(m[1]), m[3] or ""
         if tag in RAW and not closing:
             end = RAW[tag].search(page, pos)
-            pos = end.end() if end else size
+            pos = at = end.end() if end else size
             continue
         if tag in INLINE:
             if tag == "br":
@@ -152,37 +189,26 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
             elif tag in VOID:
                 continue
             elif closing:
-                for i in range(len(inline) - 1, -1, -1):
-                    if inline[i][0] == tag:
-                        links -= tag == "a"
-                        muted -= inline[i][1]
-                        del inline[i]
-                        break
+                if inline.get(tag):
+                    links -= tag == "a"
+                    muted -= inline[tag].pop()
             elif not attributes.endswith("/"):
                 name = tag if tag != "label" else "span"
                 mute = bool(attributes) and (is_furniture(name, attributes, True) or is_marked(name, attributes)) or tag == "label"
-                inline.append((tag, mute))
+                inline.setdefault(tag, []).append(mute)
                 links += tag == "a"
                 muted += mute
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if tag in ("p", "li", "dt", "dd", "td", "th", "tr") and stack[i].tag in ("table", "ul", "ol", "dl", "article", "div", "section"):
-                    flush()
-                    break
+            i = innermost((tag,))
+            if i > (innermost(BARS) if tag in SHORT else 0):
+                close(i)
             else:
                 flush()
             continue
-        for i in range(len(stack) - 1, 0, -1):  # elements that end where this one begins
-            ends = ENDS.get(stack[i].tag, ())
-            if ends is None or tag in ends:
-                close(i)
-                break
-            if stack[i].tag in SCOPES.get(tag, ("table", "td", "th", "div", "article", "section", "ul", "ol", "blockquote")):
-                break
+        ended = innermost(ENDED_BY.get(tag, ("p",)))  # ends where this one begins
+        if ended and ended >= innermost(SCOPES.get(tag, SCOPE)):
+            close(ended)
         flush()
         if tag in VOID or attributes.endswith("/"):
             continue
@@ -190,6 +216,7 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
         inside = stack[-1]
         if tag == "body":
             continue
+        where.setdefault(tag, []).append(len(stack))
         stack.append(Node(tag, inside, inside.furniture or is_furniture(tag, attributes, articles > 0), order, is_marked(tag, attributes)))
         articles += tag in ("article", "main")
         links, muted = 0, 0
@@ -243,46 +270,76 @@ def weigh(blocks: list[tuple[Node, str, int]], least: int = 250) -> None:
         m.cut = m.cut or m.parent.mark is not None and m.parent.mark.cut
 
 
-def main_text(page: str | None) -> str:
-    """Blocks of the article in page order, joined by a line feed. A page without text has an empty one."""
-    found = parse(page or "")
-    weigh(found)
-    blocks = [b for b in found if not (b[0].mark and b[0].mark.cut)]
+def hand_up(blocks: list[tuple[Node, str, int]]) -> dict[int, Node]:
+    """Pass the points of the blocks to their elements and all above: in full, a half, a sixth, a ninth, then twelfths."""
     candidates: dict[int, Node] = {}
     for node, text, linked in blocks:
         node.chars += len(text)
         node.linked += linked
         points = score_of(text, linked)
-        level, up = 0, node.parent if node.tag in PARAGRAPHS and node.parent else node
-        while up is not None:
-            up.points += points / (1, 2, 6, 9, 12)[min(level, 4)]
-            candidates[id(up)] = up
-            level, up = level + 1, up.parent
+        up = node.parent if node.tag in PARAGRAPHS and node.parent else node
+        for share in (1, 2, 6, 9):
+            if up is not None:
+                up.points += points / share
+                candidates[up.order] = up
+                up = up.parent
+        if up is not None:  # this element and all above get a twelfth
+            up.far += points
+            candidates[up.order] = up
+    for up in list(candidates.values()):
+        while up.parent is not None and up.parent.order not in candidates:
+            up = up.parent
+            candidates[up.order] = up
+    for order in sorted(candidates, reverse=True):  # inner elements have higher numbers
+        node = candidates[order]
+        node.points += node.far / 12
+        if node.parent is not None:
+            node.parent.far += node.far
+    return candidates
+
+
+def main_text(page: str | None) -> str:
+    """Blocks of the article in page order, joined by a line feed. A page without text has an empty one."""
+    found = parse(page or "")
+    weigh(found)
+    blocks = [b for b in found if not (b[0].mark and b[0].mark.cut)]
+    candidates = hand_up(blocks)
     if not candidates:
         return ""
     best = max(candidates.values(), key=lambda n: (n.points * (1.5 if n.tag in ("article", "main") else 1.0), -n.order))
     while best.parent is not None and best.parent.parent is not None and (
             best.tag not in ("article", "main") and (best.parent.tag in ("article", "main") or best.parent.points >= 0.75 * best.points)):
         best = best.parent
-    kept = {id(best)}
-    if best.parent is not None and best.tag not in ("article", "main"):
+    kept = {best.order}
+    beside = best.parent is not None and best.tag not in ("article", "main")
+    if beside:
         bar = max(10.0, 0.2 * best.points)
-        for n in candidates.values():
-            if n.parent is best.parent and n.points >= bar:
-                kept.add(id(n))
+        kept |= {n.order for n in candidates.values() if n.parent is best.parent and n.points >= bar}
+    places: dict[int, Node | None] = {}
 
-    def inside(node, text, linked):
-        direct = node
+    def place(node):
+        """The element kept or beside the best that ``node`` is in, itself included."""
+        path, found = [], None
         while node is not None:
-            if id(node) in kept:
-                return True
-            if node.parent is best.parent and best.parent is not None and best.tag not in ("article", "main"):
-                dense = linked / len(text)
-                return direct is node and (
-                    node.tag in HEADINGS and node.order < best.order and dense < 0.5
-                    or node.tag == "p" and dense < 0.25 and (len(text) > 80 or dense == 0 and text[-1] in ".!?"))
+            path.append(node.order)
+            if node.order in places:
+                found = places[node.order]
+                break
+            if node.order in kept or beside and node.parent is best.parent:
+                found = node
+                break
             node = node.parent
-        return False
+        places.update(dict.fromkeys(path, found))
+        return found
+
+    def inside(node, text, linked):
+        found = place(node)
+        if found is None or found.order in kept:
+            return found is not None
+        dense = linked / len(text)
+        return found is node and (
+            node.tag in HEADINGS and node.order < best.order and dense < 0.5
+            or node.tag == "p" and dense < 0.25 and (len(text) > 80 or dense == 0 and text[-1] in ".!?"))
 
     def stays(node, text, linked):
         if not (node.mark and node.mark.cut):
@@ -293,9 +350,8 @@ def main_text(page: str | None) -> str:
         up = node.parent
         if up.mark and up.mark.cut:
             return False
-        while up is not None and id(up) not in kept:
-            up = up.parent
-        return up is not None
+        found = place(up)
+        return found is not None and found.order in kept
 
     return "\n".join(text for node, text, linked in found if stays(node, text, linked))
 
