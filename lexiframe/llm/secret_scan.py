@@ -91,6 +91,27 @@ def file_features(text: str) -> tuple[str, ...]:
             f"file-lines={min(4, 100 * text.count(chr(10)) // n)}")
 
 
+def beyond(text: str, tagged: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The spans of ``tagged`` with a letter or digit outside all ``base`` spans, in one walk over both by start."""
+    out, covers, i = [], sorted((a, b) for _, a, b in base), 0
+    end = 0  # of the base spans that begin before the place looked at
+    for a, b in sorted(tagged):
+        place = a
+        while place < b:
+            while i < len(covers) and covers[i][0] <= place:
+                end = max(end, covers[i][1])
+                i += 1
+            if end > place:
+                place = end
+                continue
+            stop = min(b, covers[i][0]) if i < len(covers) else b
+            if any(c.isalnum() for c in text[place:stop]):
+                out.append((a, b))
+                break
+            place = stop
+    return out
+
+
 class Field:
     """Weights of features (name -> three scores) and transitions. Features that training never saw weigh 0."""
 
@@ -194,14 +215,12 @@ class Field:
         return spans
 
     def spans(self, text: str, least: int = 6) -> list[tuple[str, int, int]]:
-        """Fixed formats and, clear of those, what the field tags: by start, then kind."""
+        """Fixed formats and what the field tags of ``least`` characters or more, by start, then kind. What the field
+        tags is left out if the fixed formats hold all its letters and digits."""
         found = base_spans(text)
         file = self._sum(file_features(text))
-        taken = sorted((a, b) for _, a, b in found)
-        for lo, hi in self.regions(text):
-            for a, b in self.decode(text, lo, hi, file):
-                if b - a >= least and not any(x < b and a < y for x, y in taken):
-                    found.append(("field", a, b))
+        tagged = [(a, b) for lo, hi in self.regions(text) for a, b in self.decode(text, lo, hi, file) if b - a >= least]
+        found += [("field", a, b) for a, b in beyond(text, tagged, found)]
         return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
