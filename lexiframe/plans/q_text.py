@@ -11,6 +11,7 @@ from .registry import register
 from ..functions import text as X
 from ..operators import articles as AR
 from ..operators import lexicon as LX
+from ..sources import tables as TB
 
 ART, PR = S.ART, S.PASSAGE_ROWS
 
@@ -101,6 +102,7 @@ SELECT t.doc_id, coalesce(any_value(g.lemma_text), '') AS lemma_text FROM t LEFT
 def lemma_table(spark, d):
     """Texts lemmatised by a table as large as their vocabulary."""
     docs = V.table(spark, d, "documents").select("doc_id", AR.clean_tokens(F.col("text")).alias("tokens"))
+    docs = TB.stored(docs, "clean-tokens")  # read for the vocabulary, the frequent forms and the texts
     forms = docs.select(F.explode("tokens").alias("form")).distinct()
     out = LX.lemmatize_join(docs, "doc_id", "tokens", suffix_lemmas(forms))
     return out.select("doc_id", F.array_join("lemmas", " ").alias("lemma_text"))
