@@ -45,11 +45,14 @@ def month_index(month: Column) -> Column:
 
 def panel(df: DataFrame, period: str, measures: Sequence[str], entity: str = "entity", date: str = "date",
           source_filter: Column | None = None) -> DataFrame:
-    """(year, quarter|month, entity) -> total_articles + sum of every measure column, in that order."""
+    """(year, quarter|month, entity) -> total_articles + sum of every measure column, in that order; sums of whole
+    numbers are longs, others are rounded to six places."""
     if source_filter is not None:
         df = df.filter(source_filter)
+    types = dict(df.dtypes)
     keys = [F.year(date).alias("year"), PERIODS[period](date).alias(period), F.col(entity)]
-    aggs = [F.count(F.lit(1)).alias("total_articles")] + [F.sum(m).cast("bigint").alias(m) for m in measures]
+    aggs = [F.count(F.lit(1)).alias("total_articles")] + [
+        (X.r6(F.sum(m)) if types[m] in ("double", "float") else F.sum(m).cast("bigint")).alias(m) for m in measures]
     return df.groupBy(*keys).agg(*aggs).orderBy("year", period, entity)
 
 

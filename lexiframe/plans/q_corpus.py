@@ -373,18 +373,3 @@ def preselected(spark, d):
 @register("preselect_flag", sql=PRESELECT_SQL + "SELECT article_id, text_length, person_count, other_count, selected FROM sel")
 def preselect_flag(spark, d):
     return preselected(spark, d).drop("text")
-
-
-@register("assemble_by_id", sql=S.with_(ART, S.PASSAGE_ROWS) + """
-SELECT a.article_id, a.entity, a.region, a.date, a.publisher, p.sentlength,
-       CAST(CAST(p.sentlength AS DOUBLE) / (p.sentlength + 1) >= 0.5 AS INTEGER) AS predicted
-FROM art a JOIN passage p USING (article_id)""")
-def assemble_by_id(spark, d):
-    """Scored rows with what other steps know of the article, put together by its id."""
-    from ..operators import articles as AR
-    a = V.articles(spark, d)
-    scored = AR.entity_passage(a).select("article_id", "sentlength")
-    known = a.select("article_id", "entity", "region", "date", "publisher")
-    p = F.col("sentlength").cast("double") / (F.col("sentlength") + 1)
-    return known.join(scored, "article_id").select(
-        "article_id", "entity", "region", "date", "publisher", "sentlength", (p >= 0.5).cast("int").alias("predicted"))

@@ -16,6 +16,7 @@ from .registry import register
 from ..functions import text as X
 from ..operators import articles as AR
 from ..operators import rules as RU
+from ..operators.rules import lit
 
 N_MAX = 2
 SUBSTRING = ("representative", "federal")
@@ -35,7 +36,7 @@ CLEAN_SQL = (f"list_filter(regexp_split_to_array(regexp_replace(lower(p.passage)
              f"'{S.SP}+'), lambda w: w <> '' AND length(w) > 1 AND NOT list_contains({S.str_list(C.STOPWORDS)}, w))")
 LEMMA_SQL = "CASE t " + " ".join(f"WHEN {S.q(a)} THEN {S.q(b)}" for a, b in C.LEMMAS) + " ELSE t END"
 CHAIN_SQL = f"""
-chain1 AS (SELECT a.article_id, a.entity, a.region, a.stem, a.text, p.passage, p.sentlength,
+chain1 AS (SELECT a.article_id, a.entity, a.region, a.stem, a.text, a.date, a.publisher, a.label, p.passage, p.sentlength,
                   list_transform({CLEAN_SQL}, lambda t: {LEMMA_SQL}) AS lem FROM art a JOIN passage p USING (article_id)),
 chain2 AS (SELECT *, array_to_string(lem, ' ') AS lemma_text, len(lem) AS n_lem FROM chain1),
 chain AS (SELECT *, {S.word_tokens_sql('lemma_text')} AS tok, {S.word_tokens_sql('passage')} AS ptok,
@@ -48,7 +49,7 @@ def chain(spark, d, articles: DataFrame | None = None) -> DataFrame:
     """article_id, entity, region, stem, text, passage, sentlength and what the steps make of the passage; and the
     label, if the articles have one."""
     a = AR.entity_passage(V.articles(spark, d) if articles is None else articles)
-    kept = ["article_id", "entity", "region", "stem", "text", "passage", "sentlength", "label"]
+    kept = ["article_id", "entity", "region", "stem", "text", "date", "publisher", "passage", "sentlength", "label"]
     a = a.select(*[c for c in kept if c in a.columns])
     a = a.withColumn("lem", AR.lemmatize(AR.clean_tokens(F.col("passage"))))
     a = a.withColumn("lemma_text", F.array_join("lem", " ")).withColumn("n_lem", F.size("lem")).drop("lem")
@@ -62,11 +63,6 @@ def chain(spark, d, articles: DataFrame | None = None) -> DataFrame:
 Feature = tuple[str, str, str]
 
 
-def lit(s: str) -> str:
-    """A Spark SQL string literal."""
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def arr(items) -> str:
     return "array(" + ", ".join(map(lit, items)) + ")"
 
@@ -173,31 +169,49 @@ def squares() -> list[Feature]:
     return [(f"p_{n}", *(f"round(CAST({e} AS DOUBLE) * CAST({e} AS DOUBLE), 6)" for e in base[n])) for n in names]
 
 
+def has_word(terms) -> tuple[str, str]:
+    """Whether a word of the lemmatised passage starts with one of the terms."""
+    terms = [lemma_term(t) for t in terms]
+    return RU.has_word("lemma_text", terms), f"regexp_matches(lemma_text, {S.q(S.prefix_rx(terms))})"
+
+
 def rule(r: dict) -> Feature:
     """A rule over the lemmatised passage, or over its sentences; the mask is a token of theirs."""
+    n_entities = entities()[0]
+    spark = RU.rule_expr(r, "lemma_sents", "lemma_text", form=lemma_term, mask=MASK, n_entities=n_entities[1])
     make = S.word_rx if r.get("whole") else S.prefix_rx
 
-    def cond(x, match):
-        parts = [match(x, make([lemma_term(t) for t in r[k]])) for k in ("any_of", "any_of2") if r.get(k)]
-        parts += [match(x, make(lemma_term(t))) for t in r.get("all_of", [])]
+    def cond(x):
+        parts = [f"regexp_matches({x}, {S.q(make([lemma_term(t) for t in r[k]]))})" for k in ("any_of", "any_of2") if r.get(k)]
+        parts += [f"regexp_matches({x}, {S.q(make(lemma_term(t)))})" for t in r.get("all_of", [])]
         if r.get("none_of"):
-            parts.append("NOT " + match(x, make([lemma_term(t) for t in r["none_of"]])))
+            parts.append(f"NOT regexp_matches({x}, {S.q(make([lemma_term(t) for t in r['none_of']]))})")
         if r.get("proximity"):
             a, b, n = r["proximity"]
-            parts.append(match(x, S.proximity_rx(lemma_term(a), lemma_term(b), n)))
+            parts.append(f"regexp_matches({x}, {S.q(S.proximity_rx(lemma_term(a), lemma_term(b), n))})")
         if r.get("mask"):
             parts.append(f"contains({x}, {S.q(MASK)})")
         return "(" + (" AND ".join(parts) or "true") + ")"
 
-    spark = (lambda x, p: f"regexp_like({x}, {lit(p)})")
-    duck = (lambda x, p: f"regexp_matches({x}, {S.q(p)})")
-    if r["scope"] == "sentence":
-        e = [f"exists(lemma_sents, x -> {cond('x', spark)})", f"len(list_filter(lemma_sents, lambda x: {cond('x', duck)})) > 0"]
-    else:
-        e = [cond("lemma_text", spark), cond("lemma_text", duck)]
+    duck = f"len(list_filter(lemma_sents, lambda x: {cond('x')})) > 0" if r["scope"] == "sentence" else cond("lemma_text")
     if r.get("min_entities") is not None:
-        e = [f"({x} AND {n} > {r['min_entities']})" for x, n in zip(e, entities()[0][1:])]
-    return r["rule_id"], f"cast({e[0]} as int)", f"CAST({e[1]} AS INTEGER)"
+        duck = f"({duck} AND {n_entities[2]} > {r['min_entities']})"
+    return r["rule_id"], spark, f"CAST({duck} AS INTEGER)"
+
+
+def interview() -> Feature:
+    """Rule I23 over the lemmatised passage, with the precedence of the original expression (``and`` binds tighter)."""
+    w = {k: has_word(v) for k, v in C.INTERVIEW_WORDS.items()}
+    masked = (f"contains(lemma_text, {lit(MASK)})", f"contains(lemma_text, {S.q(MASK)})")
+    e = [f"({w['interview'][i]} OR {w['ask'][i]} OR {w['answer1'][i]} OR {w['asking'][i]}"
+         f" OR ({w['answering'][i]} AND {w['question'][i]}) OR ({w['talk'][i]} AND {masked[i]}))" for i in (0, 1)]
+    return "interview", f"cast({e[0]} as int)", f"CAST({e[1]} AS INTEGER)"
+
+
+def meeting() -> Feature:
+    """Rule I24 over the lemmatised passage."""
+    names, title = has_word(C.MEETING_RULE["names"]), has_word(C.MEETING_RULE["title"])
+    return "meeting", f"cast(({names[0]} AND {title[0]}) as int)", f"CAST(({names[1]} AND {title[1]}) AS INTEGER)"
 
 
 def rules(ids) -> list[Feature]:

@@ -1,60 +1,104 @@
-"""Panels and aggregations D1-D12, scored-row flags B16/B17."""
+"""Scored rows (C5, B16, B17), the panels over them and other aggregations D1-D12. All rules and features are those of
+the feature frame (``q_features``)."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import catalog as C
+from . import q_features as QF
 from . import sqlparts as S
 from . import views as V
-from .q_rules import rule_sql
 from .registry import register
 from ..functions import text as X
 from ..operators import articles as AR
 from ..operators import corpus as CO
 from ..operators import panel as P
 from ..operators import rules as RU
+from ..operators import scored as SC
+from ..sources import tables as TB
 
 ART, PR = S.ART, S.PASSAGE_ROWS
-HOS, STC = RU.rules_by_id(["head_of_state", "state_council"])
-MEASURES = ["head_of_state", "state_council", "meeting", "sentlength", "excl", "comma"]
+HOS = RU.rules_by_id(["head_of_state"])[0]
+LISTS = {"list_2010": C.PUBLISHERS_2010, "list_2012": C.PUBLISHERS_2012}
+RULE_IDS = [r["rule_id"] for r in C.RULES]
+POLAR = [f for f in QF.polarity() if f[0] in ("positive", "negative")]
+#: what scored rows take from the feature frame; ``head_of_state`` is ``with_president`` there
+TAKEN = [QF.interview(), ("other_entities", *QF.entities()[2][1:]), *POLAR, *QF.rules(RULE_IDS), QF.meeting(), *QF.punctuation()[:2]]
+MEASURES = ["interview", "other_entities", "with_president", "state_council", "meeting", "positive", "negative", "predicted",
+            "probability", *[n for n, _ in SC.FLAGS], *[n for n, _, _ in SC.MASKED], *LISTS, "sentlength", "excl", "comma"]
+FRACTIONS = {"positive", "negative", "probability", *[n for n, _, _ in SC.MASKED]}
+
+
+def scored_articles(spark, d, texts: bool = False, scores: DataFrame | None = None):
+    """Scored rows of the deduplicated articles: features and rules, the probability that a model of the rules gives
+    (learnt from the labelled ones), flags, masked values and publisher lists; ``texts``: with the raw and clean text.
+    ``scores``: probabilities by article_id of another model; articles that it lacks have none and class 0.
+
+    Texts are read once: the features are stored, and copies, the model and the rows are told from that table."""
+    known = TB.stored(QF.chain(spark, d, V.labelled_articles(spark, d)).select(
+        "article_id", "entity", "date", "publisher", "label", "sentlength", F.sha2("text", 256).alias("digest"),
+        *[F.expr(c).alias(n) for n, c, _ in TAKEN],
+        *(["text", F.col("lemma_text").alias("clean_text")] if texts else [])), "scored-features")
+    keep = CO.dedupe_by(known.select("article_id", "digest", "entity"), ["digest", "entity"], ["article_id"])
+    known = known.join(keep.select("article_id"), "article_id", "left_semi").drop("digest")
+    rows = known.withColumn("with_president", F.col("head_of_state"))
+    if scores is not None:
+        rows = rows.join(scores.select("article_id", F.col("probability").alias("given")), "article_id", "left")
+        return SC.scored_row(rows, F.coalesce("given", F.lit(0.0)), LISTS).drop("given")
+    return SC.scored_row(rows, SC.bayes_probability(SC.flag_bayes(known, RULE_IDS)), LISTS)
+
+
+def _odds(n1: str, n0: str) -> str:
+    return f"ln(({n1} + 1.0) / (n1 + 2.0)) - ln(({n0} + 1.0) / (n0 + 2.0))"
+
+
+# The counts of the model as rows (rule, value, log odds), and a row's log odds as their sum in the order of the rules.
+SCORED_SQL = S.with_(ART, PR, QF.CHAIN_SQL) + f""",
+keep AS (SELECT min(article_id) AS article_id FROM art GROUP BY text, entity),
+known AS (SELECT article_id, entity, date, publisher, label, sentlength, text, lemma_text AS clean_text,
+                 {", ".join(f"{q} AS {n}" for n, _, q in TAKEN)} FROM feat SEMI JOIN keep USING (article_id)),
+learnt AS (SELECT * FROM known WHERE label IS NOT NULL),
+classes AS (SELECT CAST(count(*) FILTER (label = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (label = 0) AS DOUBLE) AS n0 FROM learnt),
+counts AS ({" UNION ALL ".join(f"SELECT {i} AS i, count(*) FILTER (label = 1 AND {r} = 1) AS a, count(*) FILTER (label = 0 AND {r} = 1) AS b FROM learnt"
+                               for i, r in enumerate(RULE_IDS))}),
+odds AS (SELECT list({_odds('a', 'b')} ORDER BY i) AS yes, list({_odds('n1 - a', 'n0 - b')} ORDER BY i) AS no
+         FROM (SELECT i, a, b, n1, n0 FROM counts, classes)),
+raw AS (
+  SELECT k.*, k.head_of_state AS with_president, 1 / (1 + exp(-(ln((c.n1 + 1) / (c.n0 + 1))
+         {"".join(f" + CASE WHEN k.{r} = 1 THEN o.yes[{i + 1}] ELSE o.no[{i + 1}] END" for i, r in enumerate(RULE_IDS))}))) AS p
+  FROM known k, classes c, odds o),
+marked AS (SELECT * EXCLUDE (p), CAST(p >= 0.5 AS INTEGER) AS predicted, round(CASE WHEN p >= 0.5 THEN p ELSE 0 END, 6) AS probability FROM raw),
+scored AS (
+  SELECT *, {", ".join(f"CAST({e} AS INTEGER) AS {n}" for n, e in SC.FLAGS)},
+         {", ".join(f"CASE WHEN {e} THEN {v} ELSE 0 END AS {n}" for n, e, v in SC.MASKED)},
+         year(date) AS year, month(date) AS month,
+         {", ".join(f"CAST(coalesce(publisher IN ({', '.join(S.q(x) for x in names)}), false) AS INTEGER) AS {n}" for n, names in LISTS.items())}
+  FROM marked)
+"""
 
+SCORED_COLS = ["article_id", "entity", "date", "publisher", *MEASURES, "year", "month"]
 
-def scored_articles(spark, d):
-    """Deduplicated articles with passage, two rules, exclamation count and publisher-list flags."""
-    a = V.articles(spark, d)
-    keep = CO.dedupe_by(a.select("article_id", F.sha2("text", 256).alias("digest"), "entity"), ["digest", "entity"], ["article_id"])
-    a = a.join(keep.select("article_id"), "article_id", "left_semi")
-    a = AR.entity_passage(a)
-    a = a.select("article_id", "entity", "date", "publisher", "sentlength",
-                 RU.compile_rule(HOS).alias("head_of_state"), RU.compile_rule(STC).alias("state_council"),
-                 (RU.any_word(F.col("text"), C.MEETING_RULE["names"]) & RU.any_word(F.col("text"), C.MEETING_RULE["title"])).cast("int").alias("meeting"),
-                 X.count_char(F.col("text"), "!").alias("excl"), X.count_char(F.col("text"), ",").alias("comma"))
-    return CO.member_flags(a, "publisher", {"list_2010": C.PUBLISHERS_2010, "list_2012": C.PUBLISHERS_2012})
 
+@register("assemble_by_id", sql=SCORED_SQL + f"SELECT {', '.join(SCORED_COLS)}, text AS raw_text, clean_text FROM scored")
+def assemble_by_id(spark, d):
+    """The whole scored row of every article: features, score, flags, masked values, period, lists and both texts."""
+    return scored_articles(spark, d, texts=True).select(*SCORED_COLS, F.col("text").alias("raw_text"), "clean_text")
 
-SCORED_SQL = S.with_(ART, PR) + f""",
-keep AS (SELECT min(article_id) AS article_id FROM art GROUP BY text, entity),
-scored AS (
-  SELECT a.article_id, any_value(a.entity) AS entity, any_value(a.date) AS date, any_value(a.publisher) AS publisher,
-         any_value(ps.sentlength) AS sentlength, {rule_sql(HOS)} AS head_of_state, {rule_sql(STC)} AS state_council,
-         any_value(length(a.text) - length(replace(a.text, '!', ''))) AS excl,
-         any_value(length(a.text) - length(replace(a.text, ',', ''))) AS comma,
-         CAST(any_value(regexp_matches(a.text, {S.q(S.prefix_rx(C.MEETING_RULE['names']))})
-              AND regexp_matches(a.text, {S.q(S.prefix_rx(C.MEETING_RULE['title']))})) AS INTEGER) AS meeting,
-         CAST(any_value(a.publisher) IN ({', '.join(S.q(x) for x in C.PUBLISHERS_2010)}) AS INTEGER) AS list_2010,
-         CAST(any_value(a.publisher) IN ({', '.join(S.q(x) for x in C.PUBLISHERS_2012)}) AS INTEGER) AS list_2012
-  FROM art a JOIN keep USING (article_id) JOIN passage ps USING (article_id)
-  LEFT JOIN psent p ON p.article_id = a.article_id
-  GROUP BY a.article_id)
-"""
+
+@register("scored_forest")
+def scored_forest(spark, d):
+    """Scored rows with the probabilities of the saved forest (no SQL: MLlib's random numbers)."""
+    from ..operators import ml as ML
+    return scored_articles(spark, d, scores=ML.score_corpus(spark, d)).select(*SCORED_COLS)
 
 
 def _panel_sql(period: str, where: str = "") -> str:
-    sums = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in MEASURES)
+    sums = ", ".join(f"round(sum({m}), 6) AS {m}" if m in FRACTIONS else f"CAST(sum({m}) AS BIGINT) AS {m}" for m in MEASURES)
     return SCORED_SQL + f"""
 SELECT year(date) AS year, {period}(date) AS {period}, entity, count(*) AS total_articles, {sums}
-FROM scored {where} GROUP BY ALL"""
+FROM scored {where} GROUP BY year(date), {period}(date), entity"""
 
 
 @register("panel_quarter", sql=_panel_sql("quarter"))
@@ -103,13 +147,13 @@ def panel_sum(spark, d):
 
 
 @register("audit_totals", sql=SCORED_SQL + """
-SELECT count(*) AS n_articles, CAST(sum(head_of_state) AS BIGINT) AS head_of_state,
+SELECT count(*) AS n_articles, CAST(sum(with_president) AS BIGINT) AS with_president,
        CAST(sum(state_council) AS BIGINT) AS state_council, CAST(sum(list_2010) AS BIGINT) AS list_2010,
        CAST(sum(list_2012) AS BIGINT) AS list_2012 FROM scored""")
 def audit_totals(spark, d):
     s = scored_articles(spark, d)
     return s.agg(F.count(F.lit(1)).alias("n_articles"),
-                 *[F.sum(c).cast("bigint").alias(c) for c in ["head_of_state", "state_council", "list_2010", "list_2012"]])
+                 *[F.sum(c).cast("bigint").alias(c) for c in ["with_president", "state_council", "list_2010", "list_2012"]])
 
 
 @register("density_histogram", sql="""
@@ -144,15 +188,14 @@ def month_hits(spark, d):
 
 # ---- evaluation tables over a fixed prediction: label = annotation, prediction = head-of-state rule
 
-EVAL_SQL = S.with_(ART, PR) + f""",
-ev AS (SELECT a.article_id, any_value(a.label) AS label, {rule_sql(HOS)} AS prediction
-       FROM art a LEFT JOIN psent p ON p.article_id = a.article_id WHERE a.label IS NOT NULL GROUP BY a.article_id)
+EVAL_SQL = S.with_(ART, PR, QF.CHAIN_SQL) + f""",
+ev AS (SELECT article_id, label, {QF.rule(HOS)[2]} AS prediction FROM feat WHERE label IS NOT NULL)
 """
 
 
 def eval_frame(spark, d):
-    a = AR.entity_passage(V.labelled_articles(spark, d).filter(F.col("label").isNotNull()))
-    return a.select("article_id", "label", RU.compile_rule(HOS).alias("prediction"))
+    a = V.labelled_articles(spark, d).filter(F.col("label").isNotNull())
+    return QF.chain(spark, d, a).select("article_id", "label", F.expr(QF.rule(HOS)[1]).alias("prediction"))
 
 
 @register("confusion_matrix", sql=EVAL_SQL + "SELECT label, prediction, count(*) AS n FROM ev GROUP BY ALL")
@@ -187,69 +230,14 @@ def score_summary(spark, d):
     return M.score_summary(per_fold, "score")
 
 
-# ---- scored-row flags (B16) and masked values (B17): predicted = head-of-state rule,
-# probability = sentlength / (sentlength + 1) as a fixed stand-in score
-
-FLAGS_SQL = S.with_(ART, PR) + f""",
-sc AS (
-  SELECT a.article_id, {rule_sql(HOS)} AS predicted, any_value(ps.sentlength) AS sentlength,
-         any_value(len(list_filter({S.str_list(C.ENTITY_STEMS)}, lambda s: s <> a.stem AND contains(lower(a.text), s)))) AS n_entities,
-         {rule_sql(RU.rules_by_id(['council'])[0])} AS council,
-         CAST(any_value(regexp_matches(a.text, {S.q(S.prefix_rx(C.INTERVIEW_WORDS['interview'] + C.INTERVIEW_WORDS['talk']))})) AS INTEGER) AS interview,
-         any_value(least(CAST(len(list_filter({S.word_tokens_sql('a.text')}, lambda x: list_contains({S.str_list([w for k, w in C.POLARITY if k == 'positive'])}, x))) AS DOUBLE) / nullif(len({S.word_tokens_sql('a.text')}), 0), 0.3)) AS positive,
-         any_value(least(CAST(len(list_filter({S.word_tokens_sql('a.text')}, lambda x: list_contains({S.str_list([w for k, w in C.POLARITY if k == 'negative'])}, x))) AS DOUBLE) / nullif(len({S.word_tokens_sql('a.text')}), 0), 0.3)) AS negative
-  FROM art a JOIN passage ps USING (article_id) LEFT JOIN psent p ON p.article_id = a.article_id
-  GROUP BY a.article_id)
-"""
+# ---- scored-row flags (B16) and masked values (B17)
 
 
-def flags_frame(spark, d):
-    from .q_lexicon import entity_mentions
-    from ..operators import lexicon as LX
-    a = AR.entity_passage(V.articles(spark, d))
-    t = X.word_tokens(F.col("text"))
-    pos_w = [w for k, w in C.POLARITY if k == "positive"]
-    neg_w = [w for k, w in C.POLARITY if k == "negative"]
-    return a.select(
-        "article_id", RU.compile_rule(HOS).alias("predicted"), "sentlength",
-        entity_mentions(F.lower("text"), F.col("stem")).alias("n_entities"),
-        RU.compile_rule(RU.rules_by_id(["council"])[0]).alias("council"),
-        RU.any_word(F.col("text"), C.INTERVIEW_WORDS["interview"] + C.INTERVIEW_WORDS["talk"]).cast("int").alias("interview"),
-        F.least(X.safe_div(LX.token_hits(t, pos_w), F.size(t)), F.lit(0.3)).alias("positive"),
-        F.least(X.safe_div(LX.token_hits(t, neg_w), F.size(t)), F.lit(0.3)).alias("negative"),
-    )
-
-
-@register("derived_flags", sql=FLAGS_SQL + """
-SELECT article_id, CAST(n_entities = 0 AS INTEGER) AS no_others, CAST(predicted = 1 AND council = 1 AS INTEGER) AS with_president,
-       CAST(predicted = 1 AND n_entities = 0 AS INTEGER) AS without_others, CAST(interview = 1 AND predicted = 1 AS INTEGER) AS interview_predicted,
-       CAST(interview = 1 AND predicted = 0 AS INTEGER) AS interview_not_predicted, CAST(council = 1 AND n_entities = 0 AS INTEGER) AS president_alone
-FROM sc""")
+@register("derived_flags", sql=SCORED_SQL + f"SELECT article_id, {', '.join(n for n, _ in SC.FLAGS)} FROM scored")
 def derived_flags(spark, d):
-    s = flags_frame(spark, d)
-    p, n0 = F.col("predicted") == 1, F.col("n_entities") == 0
-    return s.select("article_id", n0.cast("int").alias("no_others"),
-                    (p & (F.col("council") == 1)).cast("int").alias("with_president"),
-                    (p & n0).cast("int").alias("without_others"),
-                    ((F.col("interview") == 1) & p).cast("int").alias("interview_predicted"),
-                    ((F.col("interview") == 1) & ~p).cast("int").alias("interview_not_predicted"),
-                    ((F.col("council") == 1) & n0).cast("int").alias("president_alone"))
-
-
-@register("masked_values", sql=FLAGS_SQL + """
-SELECT article_id, round(CASE WHEN predicted = 1 THEN CAST(sentlength AS DOUBLE) / (sentlength + 1) ELSE 0 END, 6) AS probability,
-       round(CASE WHEN predicted = 1 THEN positive ELSE 0 END, 6) AS positive_if_predicted,
-       round(CASE WHEN predicted = 1 THEN negative ELSE 0 END, 6) AS negative_if_predicted,
-       round(CASE WHEN predicted = 1 AND n_entities = 0 THEN positive ELSE 0 END, 6) AS positive_alone,
-       round(CASE WHEN predicted = 1 AND n_entities = 0 THEN negative ELSE 0 END, 6) AS negative_alone
-FROM sc""")
+    return scored_articles(spark, d).select("article_id", *[n for n, _ in SC.FLAGS])
+
+
+@register("masked_values", sql=SCORED_SQL + f"SELECT article_id, probability, {', '.join(n for n, _, _ in SC.MASKED)} FROM scored")
 def masked_values(spark, d):
-    s = flags_frame(spark, d)
-    p = F.col("predicted") == 1
-    alone = p & (F.col("n_entities") == 0)
-    prob = F.col("sentlength").cast("double") / (F.col("sentlength") + 1)
-    return s.select("article_id", X.r6(F.when(p, prob).otherwise(0)).alias("probability"),
-                    X.r6(F.when(p, F.col("positive")).otherwise(0)).alias("positive_if_predicted"),
-                    X.r6(F.when(p, F.col("negative")).otherwise(0)).alias("negative_if_predicted"),
-                    X.r6(F.when(alone, F.col("positive")).otherwise(0)).alias("positive_alone"),
-                    X.r6(F.when(alone, F.col("negative")).otherwise(0)).alias("negative_alone"))
+    return scored_articles(spark, d).select("article_id", "probability", *[n for n, _, _ in SC.MASKED])

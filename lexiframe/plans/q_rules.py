@@ -1,5 +1,4 @@
-"""Rules I23 and I24, and the SQL of rules over masked passage sentences (the panels' rules). The rule families
-over the lemmatised passage are in ``q_features``."""
+"""Rules I23 and I24 over whole articles. The rule families over the lemmatised passage are in ``q_features``."""
 
 from __future__ import annotations
 
@@ -9,45 +8,15 @@ from . import catalog as C
 from . import sqlparts as S
 from . import views as V
 from .registry import register
-from .q_lexicon import ENTITY_MENTION_SQL
 from ..functions import text as X
 from ..operators import rules as RU
 
 ART = S.ART
 
 
-def cond_sql(x: str, rule: dict, mask_sql: str) -> str:
-    parts = []
-    if rule.get("any_of"):
-        parts.append(f"regexp_matches({x}, {S.q(S.prefix_rx(rule['any_of']))})")
-    if rule.get("any_of2"):
-        parts.append(f"regexp_matches({x}, {S.q(S.prefix_rx(rule['any_of2']))})")
-    for t in rule.get("all_of", []):
-        parts.append(f"regexp_matches({x}, {S.q(S.prefix_rx(t))})")
-    if rule.get("none_of"):
-        parts.append(f"NOT regexp_matches({x}, {S.q(S.prefix_rx(rule['none_of']))})")
-    if rule.get("proximity"):
-        a, b, n = rule["proximity"]
-        parts.append(f"regexp_matches({x}, {S.q(S.proximity_rx(a, b, n))})")
-    if rule.get("mask"):
-        parts.append(mask_sql)
-    return " AND ".join(parts) if parts else "true"
-
-
 STEM_HIT_SQL = S.stem_hit_sql("a.text", "a.stem")
 
 
-def rule_sql(rule: dict) -> str:
-    """Expression over ``art a`` joined to per-article aggregates of ``psent p``."""
-    if rule["scope"] == "sentence":
-        e = f"coalesce(bool_or({cond_sql('p.masked', rule, f'contains(p.masked, {S.q(C.MASK)})')}), false)"
-    else:
-        e = f"any_value({cond_sql('a.text', rule, STEM_HIT_SQL)})"
-    if rule.get("min_entities") is not None:
-        e = f"({e} AND any_value({ENTITY_MENTION_SQL}) > {rule['min_entities']})"
-    return f"CAST({e} AS INTEGER)"
-
-
 def _w(name):
     return f"regexp_matches(a.text, {S.q(S.prefix_rx(C.INTERVIEW_WORDS[name]))})"
 
