@@ -24,19 +24,18 @@ def normalised(text: Column) -> Column:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (),
-                prefix_chars: int = 256, slots: int = 1 << 26) -> DataFrame:
+                prefix_chars: int = 256, slots: int = 1 << 26, hot: int = 4096) -> DataFrame:
     """One row per row of ``docs``: id, ``carry`` columns, ``keep_id``, ``group_size``, ``kept``.
 
     ``keep_id`` is the smallest id among rows of equal normalised text, ``kept`` says that the row has it.
     Null text is the empty text, and all empty texts are one group. Rows that repeat an id with the same text
     are counted each and share one decision. A null id never becomes ``keep_id`` unless its group has no other,
     and then the row is kept. An empty table gives an empty result. ``slots`` bounds each broadcast bitmap
-    (bits; 2**26 are at most 2,048 rows of 4 KB).
+    (bits; 2**26 are at most 2,048 rows of 4 KB), ``hot`` the rows of the broadcast table of large groups.
     """
     norm = normalised(F.col(text_col))
     length = F.length(norm).cast("long")
     len_slot = length % slots + 1
-    prefix_slot = F.pmod(F.xxhash64(length, F.substring(norm, 1, prefix_chars)), F.lit(slots)) + 1
 
     by_length = F.broadcast(_renamed(stored(shared_slots(docs.select(len_slot.alias("slot"))), "dedup-lengths"), "l"))
     keyed = docs.select(F.col(id_col).alias("__id"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)],
@@ -54,10 +53,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "__id", *[f"__c{i}" for i in range(len(carry))], "__survives",
         F.when(F.col("__survives"), F.sha2("__norm", 256))
         .otherwise(F.concat_ws("-", F.lit("alone"), F.col("__len"), F.xxhash64("__norm"))).alias("__key"))
-    groups = (full.where("__survives").groupBy("__key")
-              .agg(F.min("__id").alias("__keep"), F.count("*").alias("__n")).where("__n > 1")
-              .withColumnRenamed("__key", "__gkey"))
-    out = full.join(groups, F.col("__key") == F.col("__gkey"), "left")
+    groups = stored(full.where("__survives").groupBy("__key")
+                    .agg(F.min("__id").alias("__keep"), F.count("*").alias("__n")).where("__n > 1"), "dedup-groups")
+    # Groups of a ``hot``-th of all copies or more, ``hot`` of them at most, are broadcast; their rows, which would meet
+    # in one task, go to the join of the others under keys that match nothing.
+    copies = groups.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).first()["n"]
+    is_hot = F.col("__n") * hot >= copies
+    heavy = groups.where(is_hot).select(
+        F.col("__key").alias("__hkey"), F.col("__keep").alias("__hkeep"), F.col("__n").alias("__hn"))
+    light = groups.where(~is_hot).withColumnRenamed("__key", "__gkey")
+    full = full.join(F.broadcast(heavy), F.col("__key") == F.col("__hkey"), "left").withColumn(
+        "__key", F.when(F.col("__hkey").isNull(), F.col("__key")).otherwise(
+            F.concat_ws("-", F.lit("hot"), F.xxhash64("__id"), F.spark_partition_id())))
+    out = full.join(light, F.col("__key") == F.col("__gkey"), "left").withColumn(
+        "__keep", F.when(F.col("__hkey").isNull(), F.col("__keep")).otherwise(F.col("__hkeep"))).withColumn(
+        "__n", F.coalesce("__hn", "__n"))
     keep = F.coalesce("__keep", "__id")
     return out.select(F.col("__id").alias(id_col), *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)],
                       keep.alias("keep_id"), F.coalesce("__n", F.lit(1)).cast("long").alias("group_size"),
