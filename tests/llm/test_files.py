@@ -11,7 +11,7 @@ import numpy as np
 import zstandard
 
 from lexiframe.llm.common import shared_folder
-from lexiframe.llm.sharding import pack, place
+from lexiframe.llm.sharding import pack, place, place_groups
 from lexiframe.llm.warc import DICT_FRAME, parse, read_archives, write_archives
 
 from .util import edge_docs, edge_rows, got, no_docs, prose, want
@@ -106,6 +106,30 @@ def test_pack(spark):
     assert all(len(s) == 1 for t, s in where.items() if not t.startswith("the hot")) and len(where["the hot text of a third of all rows"]) > 1
 
 
+def test_only_groups_that_must_be_are_cut():
+    cells = np.tile([10.0, 2.0, 1.0], (4000, 1))
+
+    def shards_of(vector, fine):
+        vectors = np.vstack([cells, np.tile(np.array(vector) / fine, (fine, 1))])
+        shard = place_groups(vectors, np.append(np.arange(4000), np.full(fine, 4000)), 4, 0.005, 1 / 32)
+        load = np.stack([np.bincount(shard, weights=x, minlength=4) for x in vectors.T])
+        assert (load.max(axis=1) < 1.02 * load.min(axis=1)).all()
+        return len(set(shard[4000:]))
+
+    assert shards_of([5000.0, 1000.0, 500.0], 64) == 1  # half of a shard
+    assert shards_of([25000.0, 5000.0, 2500.0], 300) > 1  # more than a shard
+    assert shards_of([100.0, 20.0, 900.0], 100) > 1  # fits a shard, but leaves its rows unequal
+
+
+def test_pack_rows_without_ids(spark):
+    rows = [(None, "")] * 300 + [(7, "same")] * 60 + [(i, prose(5, i)) for i in range(200)]
+    out = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), n_shards=4).collect()
+    count = Counter(r["shard"] for r in out)
+    assert len(out) == len(rows) and max(count.values()) < 1.2 * min(count.values())
+    for s in count:
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(count[s]))
+
+
 def test_pack_awkward_rows(spark):
     out = pack(edge_docs(spark), n_shards=4)
     assert got(out, "doc_id", "size", "text_crc32") == want(
