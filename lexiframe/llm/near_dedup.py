@@ -3,11 +3,15 @@
 Documents with the same set of shingles are one class, and only classes are compared. Classes that agree in a
 band of their signatures meet in a bucket. A bucket's pairs are compared by batches of signature values: after
 each batch a pair is dropped if the posterior probability that its similarity reaches the threshold (uniform
-prior) is below ``miss``. What survives is verified on the full shingle sets. A bucket of any size is split into
-cells of at most two chunks of members, so every pair meets in one cell and no task holds a whole hot bucket;
-buckets with the same members are compared once, and a pair only in the first band that it shares. Within a
-cell, pairs that accepted links already connect are not verified again, so a cell returns fewer links than it
-has members, whatever its number of similar pairs.
+prior) is below ``miss``. What survives is verified on the full shingle sets. Buckets with the same members are
+compared once, and a pair only in the first band that it shares. Within a cell, pairs that accepted links already
+connect are not verified again, so a cell returns fewer links than it has members, whatever its number of similar pairs.
+
+A bucket of more than a chunk is compared in two steps, in cells of at most two chunks. First one chunk of its members,
+chosen by hash, meets itself and every other chunk: two copies of each text. The links found so far, of all buckets,
+give components; in most hot buckets nearly all members are then in one. Pairs inside a component need no comparison.
+In the second step the members outside a bucket's largest component meet all of its members: every pair of different
+components has such a member. A bucket that is one component is done.
 """
 
 from __future__ import annotations
@@ -59,10 +63,14 @@ def needed(n: int, percent: int, miss: float) -> int:
 
 
 def cell_links(sets, sigs: np.ndarray, sizes: np.ndarray, side: np.ndarray, band: int, rows: int, percent: int,
-               need: list[tuple[int, int]], block: int = 1 << 16) -> list[tuple[int, int]]:
+               need: list[tuple[int, int]], block: int = 1 << 16, labels: list | None = None) -> list[tuple[int, int]]:
     """Links (positions) that connect the members of a cell. ``sets(i)`` gives a member's shingles; ``side``: 0 or 1
-    for the two chunks of a cell (pairs across), all 0 for pairs within one chunk."""
+    for the two chunks of a cell (pairs across), all 0 for pairs within one chunk. Members of one of the ``labels`` are
+    connected already."""
     m = len(sizes)
+    first = {}
+    parent = [first.setdefault(x, i) for i, x in enumerate(range(m) if labels is None else labels)]
+    group = np.array(parent)
     if side.any():
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side)
     else:
@@ -72,7 +80,7 @@ def cell_links(sets, sigs: np.ndarray, sizes: np.ndarray, side: np.ndarray, band
         a, b = (x.ravel() for x in np.meshgrid(left[lo : lo + step], right, indexing="ij"))
         if not side.any():
             a, b = a[a < b], b[a < b]
-        near = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
+        near = (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])) & (group[a] != group[b])
         a, b = a[near], b[near]
         agree, at = np.zeros(len(a), dtype=np.int32), 0
         for upto, least in need:
@@ -87,7 +95,7 @@ def cell_links(sets, sigs: np.ndarray, sizes: np.ndarray, side: np.ndarray, band
         return []
     a, b, agree = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(-agree, kind="stable")
-    parent, links = list(range(m)), []
+    links = []
 
     def root(i):
         while parent[i] != i:
@@ -111,7 +119,7 @@ def cell_links(sets, sigs: np.ndarray, sizes: np.ndarray, side: np.ndarray, band
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85,
                hashes: int = 128, band_rows: int = 5, miss: float = 1e-5, batch: int = 32,
-               chunk: int = 768, with_hash: bool = False, slots: int = 1 << 23) -> DataFrame:
+               chunk: int = 384, with_hash: bool = False, slots: int = 1 << 23) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept`` and, ``with_hash``, the
     xxhash64 of the text as ``text_hash``.
 
@@ -121,7 +129,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unless it has no other id. Rows that repeat an id with the same text share one decision. An empty table
     gives an empty result. A pair at the threshold shares no band with probability (1 - t^rows)^(hashes // rows),
     4e-7 at 85 and 5e-5 at 80, and is pruned with probability ``miss`` at most; above the threshold both fall quickly.
-    ``slots``: bits of the bitmap that tells which texts are compared; when they fill, more texts shuffle.
+    ``chunk``: members on a side of a cell, about. ``slots``: bits of the bitmap that tells which texts are compared; when they fill, more texts shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     need = [(n, needed(n, percent, miss)) for n in range(batch, hashes + 1, batch)]
@@ -163,16 +171,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     likely = with_hit(rows, ["id", "th"], asked.select("rid", "rth"), slots).where("__hit").drop("__hit")
     texts = stored(likely.join(asked, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")))
                    .select(F.col("key").alias("tkey"), "sig", "n", "text").dropDuplicates(["tkey"]), "near-texts")
-    cells = (met.join(texts, F.col("key") == F.col("tkey"))
-             .withColumn("c", F.pmod(F.xxhash64("key", "band"), F.col("chunks")).cast("int"))
-             .withColumn("o", F.explode(F.expr("sequence(0, chunks - 1)")))
-             .select("band", "h", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "key", "sig", "n", "text"))
+    chunk_of = F.pmod(F.xxhash64("key", "band"), F.col("chunks")).cast("int")
+    met = met.withColumn("c", chunk_of)
+    cell = ["band", "h", "i", "j"]
+    columns = [*cell, "side", "label", "key", "sig", "n", "text"]
+
+    def solved(cells):
+        """Links of the cells (``cell`` columns; ``j`` above 0: pairs across sides)."""
+        cells = cells.join(texts, F.col("key") == F.col("tkey")).select(columns)
+        cells = cells.repartition(*cell).sortWithinPartitions(*cell)
+        return stored(mapped(cells, link, "a binary, b binary").distinct(), "near-links")
 
     def link(batches):
         words = Hashes()
 
-        def solve(cell, keys, sides, sigs, sizes, texts):
-            band, _, i, j = cell
+        def solve(cell, sides, labels, keys, sigs, sizes, texts):
+            band, _, _, j = cell
             cache = {}
 
             def sets(k):
@@ -180,30 +194,50 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     cache[k] = shingles(texts[k], words, size)
                 return cache[k]
 
-            side = np.array([int(i != j and c == j) for c in sides])
-            if len(keys) < 2 or (i != j and (side.all() or not side.any())):
+            side = np.array(sides)
+            if len(keys) < 2 or (j > 0 and (side.all() or not side.any())):
                 return []
             got = cell_links(sets, np.frombuffer(b"".join(sigs), dtype=np.uint32).reshape(len(keys), -1),
-                             np.array(sizes), side, band, band_rows, percent, need)
+                             np.array(sizes), side, band, band_rows, percent, need, labels=labels)
             return [(keys[x], keys[y]) for x, y in got]
 
-        held, cell = None, None
+        held, at = None, None
         for b in batches:
             out = []
             d = b.to_pydict()
-            for at in zip(d["band"], d["h"], d["i"], d["j"], d["c"], d["key"], d["sig"], d["n"], d["text"]):
-                if at[:4] != cell:
+            for row in zip(*[d[c] for c in columns]):
+                if row[:4] != at:
                     if held:
-                        out += solve(cell, *held)
-                    cell, held = at[:4], ([], [], [], [], [])
-                for x, v in zip(held, (at[5], at[4], at[6], at[7], at[8])):
+                        out += solve(at, *held)
+                    at, held = row[:4], ([], [], [], [], [], [])
+                for x, v in zip(held, row[4:]):
                     x.append(v)
             yield _pairs(out)
         if held:
-            yield _pairs(solve(cell, *held))
-
-    cells = cells.repartition("band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j")
-    links = stored(mapped(cells, link, "a binary, b binary").distinct(), "near-links")
+            yield _pairs(solve(at, *held))
+
+    # chunk 0 meets itself (j = 0) and every other chunk
+    links = solved(met.withColumn("j", F.explode(F.expr("if(c = 0, sequence(0, chunks - 1), array(c))"))).select(
+        "band", "h", F.lit(0).alias("i"), "j", (F.col("c") > 0).cast("int").alias("side"), F.col("key").alias("label"), "key"))
+    hot = met.where("chunks > 1")
+    if not hot.isEmpty():
+        tree = components(links)
+        hot = stored(hot.join(tree, F.col("key") == F.col("node"), "left").select(
+            "key", "band", "h", "c", "chunks", F.coalesce("root", "key").alias("label")), "near-hot")
+        # the bucket's largest component, one row a chunk, so that the rows of a hot bucket are not one key
+        most = hot.groupBy("band", "h", "chunks", "label").agg(F.count("*").alias("k")).groupBy("band", "h", "chunks").agg(
+            F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("all"))
+        most = most.select(F.col("band").alias("mband"), F.col("h").alias("mh"), F.col("top.label").alias("mlabel"), F.ceil(
+            (F.col("all") - F.col("top.k")) / F.lit(chunk)).cast("int").alias("parts"), "chunks").where("parts > 0")
+        most = most.withColumn("mc", F.explode(F.expr("sequence(0, chunks - 1)"))).drop("chunks")
+        rest = hot.join(most, (F.col("band") == F.col("mband")) & (F.col("h") == F.col("mh")) & (F.col("c") == F.col("mc")))
+        part = F.pmod(F.xxhash64("key", "band", F.lit(1)), F.col("parts")).cast("int")
+        outside = rest.where("label <> mlabel").withColumn("i", part).withColumn(
+            "j", F.explode(F.expr("sequence(1, chunks)"))).withColumn("side", F.lit(0))
+        members = rest.withColumn("i", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("j", F.col("c") + 1).withColumn(
+            "side", F.lit(1))
+        wanted = [*cell, "side", "label", "key"]
+        links = stored(links.union(solved(outside.select(wanted).union(members.select(wanted)))).distinct(), "near-links")
     tree = components(links)
     rooted = classes.select("key", "first").join(tree, F.col("key") == F.col("node"), "left").select(
         "key", "first", F.coalesce("root", "key").alias("root"))

@@ -23,6 +23,8 @@ def test_exact_dedup(spark):
     rows = [(r[0], r[1]) for r in edge_rows()]
     for slots in (1 << 26, 1, 40):  # crowded bitmaps let rows through, and change nothing
         assert got(exact_dedup(docs, carry=["text_sha256"], slots=slots), *EXACT) == want(brute_exact(rows))
+    for hot in (0, 3):  # groups of the broadcast table and groups of the join give the same rows
+        assert got(exact_dedup(docs, carry=["text_sha256"], hot=hot), *EXACT) == want(brute_exact(rows))
     assert exact_dedup(no_docs(spark)).count() == 0
 
 
@@ -55,6 +57,37 @@ def test_near_dedup(spark):
     assert got(near_dedup(docs, chunk=2), *NEAR) == expected  # every bucket is split into cells
 
 
+def hot_rows():
+    """Variants of one template in a hot bucket: near copies, chains that only a few members tie, and outsiders."""
+    r, rows = random.Random(9), []
+    base = prose(120, 77).split()
+    for step in range(4):  # each step changes words of the one before: neighbours link, distant ones do not
+        for _ in range(9):
+            w = list(base)
+            w[r.randrange(len(w))] = r.choice(["edit", "other"])
+            rows.append((len(rows), " ".join(w)))
+        for i in range(3):
+            base[(7 + 19 * (3 * step + i)) % 120] = f"step{step}"
+    return rows
+
+
+def test_near_dedup_hot_bucket(spark):
+    rows = hot_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = want(brute_near(rows))
+    for chunk in (12, 5):
+        assert got(near_dedup(docs, chunk=chunk), *NEAR) == expected
+
+
+def test_cell_links_skip_what_is_connected():
+    sets = [np.arange(100), np.arange(99), np.arange(98)]
+    sigs = np.zeros((3, 10), dtype=np.uint32)
+    sizes, side = np.array([100, 99, 98]), np.array([0, 1, 1])
+    assert len(cell_links(lambda i: sets[i], sigs, sizes, side, 0, 5, 85, [(10, 0)])) == 2
+    assert cell_links(lambda i: sets[i], sigs, sizes, side, 0, 5, 85, [(10, 0)], labels=["x", "x", "y"]) == [(0, 2)]
+    assert len(cell_links(lambda i: sets[i], sigs, sizes, side, 0, 5, 85, [(10, 0)], labels=["x", "y", "y"])) == 1
+
+
 def test_near_dedup_awkward_rows(spark):
     assert got(near_dedup(edge_docs(spark)), *NEAR) == want(brute_near([(r[0], r[1]) for r in edge_rows()]))
     assert near_dedup(no_docs(spark)).count() == 0
