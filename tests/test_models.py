@@ -125,3 +125,18 @@ def test_anova_counts_zeros(spark):
         between = sum(len(g) * (g.mean() - x[:, j].mean()) ** 2 for g in groups)
         within = sum(((g - g.mean()) ** 2).sum() for g in groups) / 28
         assert abs(got[f"c{j}"] - between / within) < 1e-5
+
+
+def test_forest_in_parts(spark, monkeypatch):
+    """A forest of many trees is fitted in parts, none with more trees than the driver is to hold, and has all trees."""
+    seen, fit = [], RandomForestClassifier.fit
+
+    def watched(self, *args):
+        seen.append((self.getNumTrees(), self.getSeed()))
+        return fit(self, *args)
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", watched)
+    t = labelled(spark, 60)
+    nodes = ML.fit_forest(t, ML.forest(230, 3, 1, "sqrt"))
+    assert sorted(n for n, _ in seen) == [30, 100, 100] and len({x for _, x in seen}) == 3 and len(nodes.first) == 230
+    assert FO.probabilities(t, nodes, "article_id", 2).count() == 60
