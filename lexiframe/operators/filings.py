@@ -61,19 +61,23 @@ def lagged(df: DataFrame, part: str, order: str, cols: Sequence[str], lags: Sequ
 
 
 def asof(queries: DataFrame, prices: DataFrame, key: str, qdate: str, pdate: str, value: str,
-         direction: str | None = None) -> DataFrame:
+         direction: str | None = None, n_rows: int = 0, per_task: int = 1_000_000) -> DataFrame:
     """Nearest price on or after (``<value>_after``) and strictly before (``<value>_before``) each query date;
     ``direction`` names the one that is wanted, both by default.
 
     Queries and prices are one frame, exchanged once by key and year, so a hot key spans many tasks. Within a
     year each direction is a growing frame (``last(ignore nulls)`` up to the current row, once in date order and
     once in reverse). Where a year has no price on that side, the first or last price of the nearest year that
-    has one is taken from a table of one row per key and year. Query rows sort before prices of their date."""
+    has one is taken from a table of one row per key and year. Query rows sort before prices of their date.
+    ``n_rows``: queries and prices, about; with it a task sorts ``per_task`` of them, however many there are."""
     qcols = list(queries.columns)
     q = queries.select(*qcols, F.col(qdate).alias("_d"), F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("_v"))
     p = prices.select(*[F.lit(None).cast(queries.schema[c].dataType).alias(c) if c != key else F.col(key)
                         for c in qcols], F.col(pdate).alias("_d"), F.lit(1).alias("_kind"), F.col(value).cast("double").alias("_v"))
-    u = q.unionByName(p).withColumn("_year", F.year("_d")).repartition(key, "_year")
+    u = q.unionByName(p).withColumn("_year", F.year("_d"))
+    usual = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = -(-n_rows // per_task)
+    u = u.repartition(parts, key, "_year") if parts > usual else u.repartition(key, "_year")
     block = Window.partitionBy(key, "_year")
     upto = (Window.unboundedPreceding, Window.currentRow)
     near = u.withColumn("_before", F.last("_v", ignorenulls=True).over(block.orderBy("_d", "_kind").rowsBetween(*upto)))

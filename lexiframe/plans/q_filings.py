@@ -242,6 +242,11 @@ def price_queries(spark, d):
     return q.select("report", "ticker", "horizon", F.add_months("filed", F.col("horizon")).alias("target"))
 
 
+def asof_rows(spark, d) -> int:
+    """Queries and prices together, at most: a query for each line and horizon, and a price for each line."""
+    return V.table(spark, d, "lineitem").count() * (len(HORIZONS) + 1)
+
+
 @register("asof_price", sql=S.with_(PRICES_SQL) + """
 SELECT q.report, q.ticker, q.horizon, a.close AS close_after, b.close AS close_before
 FROM q ASOF LEFT JOIN prices a ON a.ticker = q.ticker AND a.date >= q.target
@@ -249,7 +254,7 @@ FROM q ASOF LEFT JOIN prices a ON a.ticker = q.ticker AND a.date >= q.target
 def asof_price(spark, d):
     q = price_queries(spark, d)
     p = V.prices(spark, d)
-    return FI.asof(q, p, "ticker", "target", "date", "close").select(
+    return FI.asof(q, p, "ticker", "target", "date", "close", n_rows=asof_rows(spark, d)).select(
         "report", "ticker", "horizon", "close_after", "close_before")
 
 
@@ -261,7 +266,7 @@ SELECT report, ticker,
        round(max(CASE WHEN horizon = 12 THEN close END) / max(CASE WHEN horizon = 0 THEN close END) - 1, 6) AS ret_12m
 FROM a GROUP BY report, ticker""")
 def performance_targets(spark, d):
-    after = FI.asof(price_queries(spark, d), V.prices(spark, d), "ticker", "target", "date", "close")
+    after = FI.asof(price_queries(spark, d), V.prices(spark, d), "ticker", "target", "date", "close", "after", n_rows=asof_rows(spark, d))
     w = after.groupBy("report", "ticker").pivot("horizon", HORIZONS).agg(F.max("close_after"))
     base = F.col("0")
     return w.select("report", "ticker", *[F.round(F.col(str(h)) / base - 1, 6).alias(f"ret_{h}m") for h in HORIZONS[1:]])
