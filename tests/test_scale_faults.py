@@ -104,3 +104,37 @@ def test_stacking_scores_without_probability(spark):
     df = spark.createDataFrame([(i, float(i % 2), Vectors.dense([i % 2 + 0.1 * (i % 5), 1.0])) for i in range(40)], ["article_id", "label", "features"])
     out = ML._score(LinearSVC(maxIter=5).fit(df).transform(df)).collect()
     assert len(out) == 40 and all(isinstance(r["s"], float) for r in out)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_stay_with_their_document(spark):
+    """Texts are exchanged, the long table of terms is not; and n-grams are not made where texts are read. Rows that
+    repeat an id, or have none, count as one document."""
+    docs = spark.createDataFrame([(1, "red fish"), (1, "red fish"), (2, "blue fish"), (None, "red"), (None, "red"), (3, None), (4, "")], "doc_id long, text string")
+    toks = M.by_document(docs, "doc_id", 7).select("doc_id", M.doc_tokens("text").alias("_t"))
+    tf = M.term_counts(toks.select("doc_id", M.uni_bi_grams(F.col("_t")).alias("g")), "doc_id", "g")
+    plan = _plan(tf)
+    assert plan.count("Exchange") == 1 and plan.index("HashAggregate") < plan.index("Exchange") and "Filter (size" not in plan
+    assert {(r["doc_id"], r["term"], r["tf"]) for r in tf.collect()} == {
+        (1, "red", 2), (1, "fish", 2), (1, "red fish", 2), (2, "blue", 1), (2, "fish", 1), (2, "blue fish", 1), (None, "red", 2)}
+    assert M.by_document(docs, "doc_id", 4_000_000).rdd.getNumPartitions() == 1000
+
+
+def test_a_filter_on_passages_splits_sentences_once(spark):
+    from lexiframe.operators import articles as AR
+    a = spark.createDataFrame([(1, "One is here. The Tree stands! Nothing. More.", "tree"), (2, "No such word. End", "tree"), (3, None, "tree"), (4, "A tree. X", None)],
+                              "article_id long, text string, stem string")
+    empty = AR.entity_passage(a).filter(F.size("passage_sents") == 0).select("article_id")
+    assert _plan(empty).count("split(") == 1
+    assert [r["article_id"] for r in empty.orderBy("article_id").collect()] == [2, 4]
+
+
+def test_asof_sorts_a_bounded_number_of_rows(spark):
+    q = spark.createDataFrame([("a", 1)], "k string, n int").select("k", F.lit("2020-01-02").cast("date").alias("t"))
+    p = spark.createDataFrame([("a", 3.0)], "k string, close double").select("k", F.lit("2020-01-01").cast("date").alias("d"), "close")
+    out = FI.asof(q, p, "k", "t", "d", "close", n_rows=640_000_000)
+    assert "hashpartitioning(k" in _plan(out) and ", 640)" in _plan(out)
+    assert FI.asof(q, p, "k", "t", "d", "close").first()["close_before"] == 3.0
