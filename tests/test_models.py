@@ -140,3 +140,33 @@ def test_forest_in_parts(spark, monkeypatch):
     nodes = ML.fit_forest(t, ML.forest(230, 3, 1, "sqrt"))
     assert sorted(n for n, _ in seen) == [30, 100, 100] and len({x for _, x in seen}) == 3 and len(nodes.first) == 230
     assert FO.probabilities(t, nodes, "article_id", 2).count() == 60
+
+
+def test_forest_grown_in_tasks(spark, monkeypatch):
+    """Trees grown in tasks: no fit by MLlib and no nodes in the driver, limits of depth and rows hold, rows of a node are
+    those of its children, all features and some of them find the only split there is, and more rows go to MLlib."""
+    monkeypatch.setattr(ML, "fit_forest", None)
+    r = np.random.default_rng(4)
+    rows = [(i, float(i % 4 > 0), Vectors.dense([float(i % 4 > 0) + r.random() / 2, *r.integers(0, 5, 8).astype(float), 0.0]), 1.0 + (i % 4 == 0)) for i in range(120)]
+    t = spark.createDataFrame(rows, ["article_id", "label", "features", "weight"])
+    for columns, least, depth in (("all", 2, 30), ("sqrt", 12, 30), ("sqrt", 2, 2)):
+        nodes = FO.Nodes(ML.forest_nodes(t, ML.forest(23, depth, 3, columns), least).toArrow())
+        assert len(nodes.first) == 23
+        inner = ~nodes.leaf
+        assert (nodes.rows[inner] == nodes.rows[nodes.left[inner]] + nodes.rows[nodes.right[inner]]).all()
+        assert nodes.rows[inner].min() >= max(least, 6) and (nodes.rows[nodes.left[inner]] >= 3).all() and (nodes.rows[nodes.right[inner]] >= 3).all()
+        if columns == "all":
+            assert (nodes.feature[inner] == 0).all() and inner.sum() == 23 and set(nodes.share[nodes.leaf]) == {0.0, 1.0}
+    scores = {q["article_id"]: q["s"] for q in ML.forest_scores(t, t, ML.forest(60, 30, 1, "sqrt"), 2).collect()}
+    assert len(scores) == 120 and all((s > 0.5) == (i % 4 > 0) for i, s in scores.items())
+    with_weight = FO.binned(t)
+    assert with_weight.weights == (2.0, 1.0) and with_weight.rows == 120
+    monkeypatch.setattr(FO, "WHOLE", 100)
+    assert ML.forest_rows(t) is None and ML.forest_nodes(t, ML.forest(3, 2, 1, "sqrt"), 2).select("tree").distinct().count() == 3
+
+
+def test_fine_edges():
+    """A feature that is mostly 0 is cut where it is not."""
+    x = np.concatenate((np.zeros(900), np.random.default_rng(3).random(100)))
+    e = FO.fine_edges(x, 32)
+    assert 25 <= len(e) <= 31 and (np.bincount(np.searchsorted(e, x))[1:] <= 8).all()
