@@ -170,3 +170,13 @@ def test_fine_edges():
     x = np.concatenate((np.zeros(900), np.random.default_rng(3).random(100)))
     e = FO.fine_edges(x, 32)
     assert 25 <= len(e) <= 31 and (np.bincount(np.searchsorted(e, x))[1:] <= 8).all()
+
+
+def test_compressed_vectors(spark):
+    v = [[0.0] * 50, [0.0] * 49 + [2.0], [1.5] * 50]
+    meta = {"ml_attr": {"attrs": {"numeric": [{"idx": i, "name": f"term:{i}"} for i in range(50)]}, "num_attrs": 50}}
+    t = spark.createDataFrame([(i, Vectors.dense(x)) for i, x in enumerate(v)], ["article_id", "features"]).withMetadata("features", meta)
+    out = ML.compressed(t)
+    got = {r["article_id"]: r["features"] for r in out.collect()}
+    assert [got[i].toArray().tolist() for i in range(3)] == v and len(got[1].indices) == 1
+    assert ML.names_of(out) == ML.names_of(t) and out.columns == t.columns
