@@ -180,3 +180,18 @@ def test_compressed_vectors(spark):
     got = {r["article_id"]: r["features"] for r in out.collect()}
     assert [got[i].toArray().tolist() for i in range(3)] == v and len(got[1].indices) == 1
     assert ML.names_of(out) == ML.names_of(t) and out.columns == t.columns
+
+
+def test_linear_fits_read_sparse_rows_over_cores(spark, monkeypatch):
+    """Few rows are fitted as they are stored, more of them sparse and in as many tasks as there are cores."""
+    seen = []
+    monkeypatch.setattr(ML, "linear_scores", lambda train, test, est: (
+        seen.append((train.rdd.getNumPartitions(), type(train.first()["features"]).__name__)),
+        test.selectExpr("article_id", "0.5D as s"))[1])
+    rows = [(i, float(i % 2), Vectors.dense([float(i % 2)] + [0.0] * 30), 1.0) for i in range(40)]
+    t = spark.createDataFrame(rows, ["article_id", "label", "features", "weight"]).coalesce(1)
+    monkeypatch.setattr(ML, "training_frame", lambda s, d: t)
+    assert ML.linear_report(spark, None).count() == 4 and set(seen) == {(1, "DenseVector")}
+    seen.clear()
+    monkeypatch.setattr(ML.B, "ROWS", 30)
+    assert ML.linear_report(spark, None).count() == 4 and set(seen) == {(spark.sparkContext.defaultParallelism, "SparseVector")}
