@@ -96,6 +96,31 @@ def asof(queries: DataFrame, prices: DataFrame, key: str, qdate: str, pdate: str
         *qcols, *[c.alias(f"{value}_{k}") for k, c in found.items() if direction in (None, k)])
 
 
+def value_lists(prices: DataFrame, date: str, value: str) -> DataFrame:
+    """One row per key (all other columns): ``_p``, its dated values in order of date, and ``_undated``. A key has a value
+    for each day at most, so a list is bounded by the calendar."""
+    keys = [c for c in prices.columns if c not in (date, value)]
+    entry = F.struct(F.col(date).alias("d"), F.col(value).cast("double").alias("v"))
+    return prices.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.when(F.col(date).isNotNull(), entry))).alias("_p"),
+        F.max(F.when(F.col(date).isNull(), F.col(value).cast("double"))).alias("_undated"))
+
+
+def value_from(at: Column, own_year: Column) -> Column:
+    """The value of ``_p`` on or after a date, found by halving; of the date's own year only, where ``own_year``. Without a
+    date, ``_undated``."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size("_p") + 1)).cast("int"))
+
+    def halve(a, _):
+        mid = F.shiftright(a["lo"] + a["hi"], 1)
+        late = F.get(F.col("_p"), mid)["d"] < at
+        return F.struct(F.when((a["lo"] < a["hi"]) & late, mid + 1).otherwise(a["lo"]).alias("lo"),
+                        F.when((a["lo"] < a["hi"]) & ~late, mid).otherwise(a["hi"]).alias("hi"))
+
+    found = F.get(F.col("_p"), F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size("_p").alias("hi")), halve, lambda a: a["lo"]))
+    return F.when(at.isNull(), F.col("_undated")).when(~own_year | (F.year(found["d"]) == F.year(at)), found["v"])
+
+
 def period_return(prices: DataFrame, key: str, date: str, value: str, start: str, end: str) -> DataFrame:
     """last / first - 1 inside [start, end] (dates as 'yyyy-MM-dd')."""
     p = prices.filter(F.col(date).between(F.lit(start).cast("date"), F.lit(end).cast("date")))

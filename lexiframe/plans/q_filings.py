@@ -266,10 +266,26 @@ SELECT report, ticker,
        round(max(CASE WHEN horizon = 12 THEN close END) / max(CASE WHEN horizon = 0 THEN close END) - 1, 6) AS ret_12m
 FROM a GROUP BY report, ticker""")
 def performance_targets(spark, d):
-    after = FI.asof(price_queries(spark, d), V.prices(spark, d), "ticker", "target", "date", "close", "after", n_rows=asof_rows(spark, d))
-    w = after.groupBy("report", "ticker").pivot("horizon", HORIZONS).agg(F.max("close_after"))
-    base = F.col("0")
-    return w.select("report", "ticker", *[F.round(F.col(str(h)) / base - 1, 6).alias(f"ret_{h}m") for h in HORIZONS[1:]])
+    """A report's dates stay in one row: rows meet their ticker's list of prices, and every horizon is looked up there, so
+    that neither horizons nor prices are exchanged as rows of an as-of join."""
+    parts = -(-V.table(spark, d, "lineitem").count() // 1_000_000)
+
+    def dealt(df, *keys):  # about a million rows a task, however many there are
+        return df.repartition(parts, *keys) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+    li = dealt(V.table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey")
+    o = dealt(V.table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("filed")), "o_orderkey")
+    key = [F.coalesce("ticker", F.lit(0)).alias("_k"), F.col("ticker").isNull().alias("_none")]
+    q = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(F.col("l_orderkey").alias("report"), F.col("l_partkey").alias("ticker")).agg(
+        F.collect_set(F.struct("filed")).alias("_filed"))
+    q = dealt(q.select("*", *key), "_k", "_none")
+    p = FI.value_lists(dealt(V.prices(spark, d).select(*key, "date", "close"), "_k", "_none"), "date", "close")
+
+    def close(h):
+        return F.array_max(F.transform("_filed", lambda f: FI.value_from(F.add_months(f["filed"], h), F.col("_none"))))
+
+    w = q.join(p, ["_k", "_none"], "left").select("report", "ticker", *[close(h).alias(str(h)) for h in HORIZONS])
+    return w.select("report", "ticker", *[F.round(F.col(str(h)) / F.col("0") - 1, 6).alias(f"ret_{h}m") for h in HORIZONS[1:]])
 
 
 @register("period_return", sql="""
